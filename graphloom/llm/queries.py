@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.common import table
-from graphloom.llm import merkle
+from graphloom.llm import merkle, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,3 +42,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_collapsed(spark: SparkSession, d: str) -> DataFrame:
     parts = [merkle.collapsed(table(spark, d, t), "id", c).select(F.lit(t).alias("tbl"), "keep_id", "copies") for t, c in (("entity2id", "ent"), ("relation2id", "rel"))]
     return parts[0].unionByName(parts[1])
+
+
+_P10 = """
+WITH w AS (SELECT doc_id, s, substr(text, s + 1, 200) k FROM (SELECT doc_id, text, unnest(range(0, length(text) - 199)) s FROM documents)),
+g AS (SELECT k FROM w GROUP BY k HAVING min(doc_id) <> max(doc_id)),
+h AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) p FROM w SEMI JOIN g USING (k)),
+i AS (SELECT doc_id, s, sum(CASE WHEN p IS NULL OR s > p + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) r FROM h)
+SELECT doc_id, min(s) AS span_start, max(s) + 200 AS span_end FROM i GROUP BY doc_id, r
+"""
+
+
+@query(_P10)
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(table(spark, d, "documents"))
