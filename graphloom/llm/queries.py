@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.common import table
-from graphloom.llm import merkle, spans
+from graphloom.llm import merkle, near, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -56,3 +56,18 @@ SELECT doc_id, min(s) AS span_start, max(s) + 200 AS span_end FROM i GROUP BY do
 @query(_P10)
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(table(spark, d, "documents"))
+
+
+_P4 = """
+WITH t AS (SELECT article_id, trim(regexp_replace(lower(coalesce(title, '') || ' ' || abstract), '[ \\t\\r\\n]+', ' ', 'g'), ' ') v
+           FROM clean_text WHERE abstract IS NOT NULL AND abstract <> '**NONE**'),
+s AS (SELECT DISTINCT article_id, substr(v, i, 5) k FROM (SELECT article_id, v, unnest(range(1, length(v) - 3)) i FROM t)),
+n AS (SELECT article_id, count(*) n FROM s GROUP BY 1),
+p AS (SELECT x.article_id a, y.article_id b, count(*) c FROM s x JOIN s y ON x.k = y.k AND x.article_id < y.article_id GROUP BY 1, 2)
+SELECT a AS article_a, b AS article_b FROM p JOIN n m ON m.article_id = a JOIN n o ON o.article_id = b WHERE c >= 0.7 * (m.n + o.n - c)
+"""
+
+
+@query(_P4)
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return near.near_pairs(table(spark, d, "clean_text"))
