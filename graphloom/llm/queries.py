@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.common import table
-from graphloom.llm import merkle, near, spans
+from graphloom.llm import merkle, near, sentences, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,3 +71,14 @@ SELECT a AS article_a, b AS article_b FROM p JOIN n m ON m.article_id = a JOIN n
 @query(_P4)
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return near.near_pairs(table(spark, d, "clean_text"))
+
+
+@query()
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    papers = table(spark, d, "clean_text")
+    return sentences.sentences(papers.where(~F.col("abstract").contains("\n")))
+
+
+@query()
+def p2_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "clean_text"))
