@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.common import table
-from graphloom.llm import merkle, near, sentences, spans
+from graphloom.llm import garbled, merkle, near, sentences, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,3 +82,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p2_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "clean_text"))
+
+
+@query()
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.restored(table(spark, d, "clean_text")).where("garbled").select("article_id", "field")
+
+
+@query()
+def p7_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.restored(table(spark, d, "clean_text")).where("garbled")
