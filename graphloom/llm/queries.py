@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.common import table
-from graphloom.llm import garbled, merkle, near, sentences, spans
+from graphloom.llm import garbled, merkle, near, scans, sentences, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -92,3 +92,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p7_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled.restored(table(spark, d, "clean_text")).where("garbled")
+
+
+@query()
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.scanned(table(spark, d, "clean_text"))
+
+
+@query()
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(table(spark, d, "clean_text"))
