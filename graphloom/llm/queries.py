@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.common import table
-from graphloom.llm import garbled, merkle, near, scans, sentences, spans
+from graphloom.llm import garbled, merkle, names, near, scans, sentences, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -102,3 +102,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
     return scans.repaired(table(spark, d, "clean_text"))
+
+
+@query()
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variant_pairs(table(spark, d, "clean_text"))
+
+
+@query()
+def p1_entities(spark: SparkSession, d: str) -> DataFrame:
+    return names.entities(table(spark, d, "clean_text")).groupBy("entity").agg(F.count("*").alias("spellings"), F.min("name").alias("name"))
