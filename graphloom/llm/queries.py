@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.common import table
-from graphloom.llm import garbled, merkle, names, near, scans, sentences, spans
+from graphloom.llm import garbled, merkle, mixing, names, near, packing, scans, sentences, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -112,3 +112,24 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p1_entities(spark: SparkSession, d: str) -> DataFrame:
     return names.entities(table(spark, d, "clean_text")).groupBy("entity").agg(F.count("*").alias("spellings"), F.min("name").alias("name"))
+
+
+@query()
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+
+
+@query()
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    sizes = table(spark, d, "pack_sizes")
+    return packing.report(packing.packed(table(spark, d, "documents"), sizes), sizes)
+
+
+@query()
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+@query()
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
