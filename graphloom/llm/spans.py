@@ -8,10 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from graphloom.common import attach_groups, cut
 
 SPAN = 200  # characters
+BUCKETS = 1 << 17
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 
 
@@ -80,7 +82,7 @@ def _scan(span: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cols: list[list] = [[], [], [], []]
+            rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
                 if len(text) < span:
                     continue
@@ -88,12 +90,9 @@ def _scan(span: int):
                 w = h.windows(gram)
                 at = anchors(w, width)
                 context = h.at(np.maximum(at - (span - gram), 0), np.minimum(at + span, h.n))
-                cols[0].append(np.full(len(at), doc))
-                cols[1].append(w[at].view(np.int64))
-                cols[2].append(at)
-                cols[3].append(context.view(np.int64))
-            if cols[0]:
-                yield pd.DataFrame(dict(zip(("doc_id", "anchor", "pos", "context"), map(np.concatenate, cols))))
+                rows.append((doc, w[at].view(np.int64), at.astype(np.int32), context.view(np.int64)))
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "anchor", "pos", "context"])
 
     return run
 
@@ -103,27 +102,24 @@ def _windows(span: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
+            rows = []
             for doc, text, spots in zip(pdf["doc_id"], pdf["text"], pdf["spots"]):
                 first, second = Hashes(text, BASES[0]), Hashes(text, BASES[1])
                 starts = np.unique(np.concatenate([np.arange(max(0, p - (span - gram)), min(p, first.n - span) + 1) for p in spots]))
-                out.append(pd.DataFrame({"doc_id": doc, "start": starts, "h1": first.at(starts, starts + span).view(np.int64), "h2": second.at(starts, starts + span).view(np.int64)}))
-            if out:
-                yield pd.concat(out)
+                rows.append((doc, starts.astype(np.int32), first.at(starts, starts + span).view(np.int64), second.at(starts, starts + span).view(np.int64)))
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "start", "h1", "h2"])
 
     return run
 
 
-def _merge(span: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lows, highs = zip(*sorted(zip(pdf["lo"], pdf["hi"])))
-        tops = np.maximum.accumulate(np.array(highs))
-        fresh = np.flatnonzero(np.array(lows)[1:] > tops[:-1]) + 1
-        begin = np.concatenate([[0], fresh])
-        end = np.concatenate([fresh, [len(lows)]]) - 1
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "span_start": np.array(lows)[begin], "span_end": tops[end]})
-
-    return run
+def merged(runs: DataFrame) -> DataFrame:
+    """Maximal runs (doc_id, span_start, span_end) of the intervals [lo, hi) of each document that touch or overlap."""
+    order = W.Window.partitionBy("doc_id").orderBy("lo", "hi")
+    top = F.max("hi").over(order.rowsBetween(W.Window.unboundedPreceding, -1))
+    fresh = runs.withColumn("fresh", F.when(F.col("lo") <= top, 0).otherwise(1)).where("lo < hi")
+    numbered = fresh.withColumn("run", F.sum("fresh").over(order.rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)))
+    return numbered.groupBy("doc_id", "run").agg(F.min("lo").alias("span_start"), F.max("hi").alias("span_end")).drop("run")
 
 
 def shared_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
@@ -133,7 +129,7 @@ def shared_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     no whole sentence, so the units are cut by content instead: of the half-span grams the locally
     least hashes are anchors, every stretch of the span holds one, and equal stretches hold the same.
     1. Texts are hashed whole; of equal texts only one is searched and its spans hold for all.
-    2. Anchors that occur in one text only are dropped.
+    2. Anchors that occur once are dropped.
     3. An anchor whose whole surroundings recur is shared without more ado. Around the others the
        stretches of the span are hashed (two independent 64-bit hashes) and counted by text.
     Every step groups by hashes with partial aggregation; nothing is listed by group. A document with null id or text has no spans; empty tables give none; a text is never cut.
@@ -144,10 +140,11 @@ def shared_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     marks = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("mark"), F.char_length("text").alias("n"))
     classes = marks.groupBy("mark", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     reps = classes.select(F.col("rep").alias("doc_id"), "copies", F.col("n").alias("size"))
-    spots = docs.mapInPandas(_scan(span), "doc_id bigint, anchor bigint, pos bigint, context bigint").join(reps.select("doc_id", "size"), "doc_id")
+    spots = docs.mapInPandas(_scan(span), "doc_id bigint, anchor array<bigint>, pos array<int>, context array<bigint>").join(reps.select("doc_id"), "doc_id", "left_semi")
     spots = cut(spots)  # the texts are hashed once, and plans stay short
-    live = spots.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("anchor", "n")
-    spots = cut(attach_groups(spots, live, ["anchor"], "n", total))
+    spots = spots.select("doc_id", F.explode(F.arrays_zip("anchor", "pos", "context")).alias("s")).select("doc_id", "s.*")
+    often = spots.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")  # most anchors are single; only a count of them is shuffled
+    spots = cut(attach_groups(spots, often, ["anchor"], "n", total).drop("n").join(reps.select("doc_id", "size"), "doc_id"))
     around = spots.groupBy("anchor", "context").agg(F.count("*").alias("m"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
     around = around.select("anchor", "context", "m", (F.col("a") != F.col("b")).alias("whole"))
     spots = cut(attach_groups(spots.select("doc_id", "anchor", "context", "pos", "size"), around, ["anchor", "context"], "m", total))
@@ -159,11 +156,16 @@ def shared_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     keep = cut(keep)
     partial = keep.groupBy("anchor").agg(F.count("*").alias("k"), F.bool_or(~F.col("whole")).alias("open")).where("open and k > 1").select("anchor", "k")
     edges = attach_groups(keep, partial, ["anchor"], "k", total).groupBy("doc_id").agg(F.collect_set("pos").alias("spots"))
-    rows = cut(docs.join(edges, "doc_id").mapInPandas(_windows(span), "doc_id bigint, start bigint, h1 bigint, h2 bigint"))
+    edges = cut(edges)
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
+    some = F.broadcast(edges.select(bucket.alias("bucket")).distinct())  # at most BUCKETS rows, whatever the data
+    near = docs.withColumn("bucket", bucket).join(some, "bucket", "left_semi").drop("bucket")  # spares most texts the shuffle
+    rows = cut(near.join(edges, "doc_id").mapInPandas(_windows(span), "doc_id bigint, start array<int>, h1 array<bigint>, h2 array<bigint>"))
+    rows = rows.select("doc_id", F.explode(F.arrays_zip("start", "h1", "h2")).alias("s")).select("doc_id", "s.*")
     both = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("h1", "h2", "n")
     parts = attach_groups(rows, both, ["h1", "h2"], "n", total).select("doc_id", F.col("start").alias("lo"), (F.col("start") + span).alias("hi"))
     runs = wholes.unionByName(parts)
     copied = reps.where(f"copies > 1 and size >= {span}").select("doc_id", F.lit(0).cast("bigint").alias("lo"), F.col("size").cast("bigint").alias("hi"))
-    merged = runs.unionByName(copied).groupBy("doc_id").applyInPandas(_merge(span), "doc_id bigint, span_start bigint, span_end bigint")
+    found = merged(runs.unionByName(copied))
     members = attach_groups(marks.select("doc_id", "mark", "n"), classes.where("copies > 1"), ["mark", "n"], "copies", total).where("doc_id <> rep").select("doc_id", F.lit(0).cast("bigint").alias("span_start"), F.col("n").cast("bigint").alias("span_end")).where(f"span_end >= {span}")
-    return merged.unionByName(members)
+    return found.select("doc_id", F.col("span_start").cast("bigint"), F.col("span_end").cast("bigint")).unionByName(members)
