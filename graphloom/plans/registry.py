@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.common import table
-from graphloom.operators import references
+from graphloom.common import cut, table
+from graphloom.functions import columns as C
+from graphloom.operators import components, embedding, graph, kg, mln, references, text
+from graphloom.streaming import arrivals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,5 +53,260 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return _orphans(spark, d).groupBy(tbl, "period", "kind").agg(F.count("*").alias("n_refs"), F.countDistinct("triple_id").alias("n_triples"))
 
 
+
+_FACTS = """
+f AS (SELECT DISTINCT head, tail, relation FROM train2id WHERE head IS NOT NULL AND tail IS NOT NULL AND relation IS NOT NULL AND head <> -1 AND tail <> -1 AND relation <> -1)
+"""
+_EDGES = _FACTS + ", e AS (SELECT DISTINCT least(head, tail) src, greatest(head, tail) dst FROM f)"
+_WORDS = "w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id, unnest(w) token FROM w)"
+
+
+def _triples(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "train2id")
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.undirected(kg.facts(_triples(spark, d)), "head", "tail")
+
+
+def _early(spark: SparkSession, d: str) -> DataFrame:
+    """The graph known half way: triples extracted in odd years stand for the observed graph."""
+    t = _triples(spark, d).where(F.year("extracted_at") % 2 == 1)
+    return graph.undirected(kg.facts(t), "head", "tail")
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+@query(f"WITH {_FACTS} SELECT * FROM f")
+def kg_facts(spark, d):
+    return kg.facts(_triples(spark, d))
+
+
+@query("SELECT id, count(*) AS n FROM (SELECT unnest([head, tail]) id FROM train2id) WHERE id IS NOT NULL AND id <> -1 GROUP BY id ORDER BY n DESC, id LIMIT 100")
+def kg_top_entities(spark, d):
+    return kg.top_entities(_triples(spark, d), 100)
+
+
+@query("SELECT relation AS id, count(*) AS n FROM train2id WHERE relation IS NOT NULL AND relation <> -1 GROUP BY relation ORDER BY n DESC, id LIMIT 50")
+def kg_top_relations(spark, d):
+    return kg.top_relations(_triples(spark, d), 50)
+
+
+@query("SELECT ent AS name, row_number() OVER (ORDER BY ent) - 1 AS id FROM (SELECT DISTINCT ent FROM entity2id WHERE ent IS NOT NULL)")
+def kg_dense_ids(spark, d):
+    return kg.dense_ids(table(spark, d, "entity2id"), "ent")
+
+
+@query(f"WITH {_FACTS} SELECT relation, count(DISTINCT head) AS n_heads, count(DISTINCT tail) AS n_tails FROM f GROUP BY relation")
+def kg_type_constraints(spark, d):
+    return kg.type_constraints(_triples(spark, d))
+
+
+@query(f"WITH {_FACTS} SELECT DISTINCT relation, 'head' AS side, head AS id FROM f UNION SELECT relation, 'tail', tail FROM f")
+def kg_constraint_members(spark, d):
+    return kg.constraint_members(_triples(spark, d))
+
+
+@query(f"""WITH {_FACTS}, n AS (SELECT id, max(ent) name FROM entity2id WHERE ent IS NOT NULL GROUP BY id), r AS (SELECT id, max(rel) name FROM relation2id WHERE rel IS NOT NULL GROUP BY id)
+SELECT head, tail, relation, coalesce(a.name, 'missing') AS head_name, coalesce(b.name, 'missing') AS tail_name, coalesce(r.name, 'missing') AS relation_name
+FROM f LEFT JOIN n a ON a.id = head LEFT JOIN n b ON b.id = tail LEFT JOIN r ON r.id = relation""")
+def kg_named(spark, d):
+    return kg.named(_triples(spark, d), table(spark, d, "entity2id"), table(spark, d, "relation2id"))
+
+
+@query(f"WITH {_FACTS}, k AS (SELECT DISTINCT id FROM entity2id WHERE lower(ent) LIKE '%virus%') SELECT * FROM f WHERE head IN (SELECT id FROM k) OR tail IN (SELECT id FROM k)")
+def kg_incident(spark, d):
+    ids = table(spark, d, "entity2id").where(F.lower("ent").contains("virus")).select("id")
+    return kg.incident(_triples(spark, d), ids)
+
+
+_SURFACE = "w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, w[i] subj, w[i + 1] rel, w[i + 2] obj FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1, 3)) i FROM w WHERE len(w) >= 3))"
+
+
+@query(f"WITH {_SURFACE} SELECT doc_id, subj, rel, obj FROM s WHERE NOT regexp_matches(subj || rel || obj, '\\p{{Nd}}') AND regexp_matches(subj, '^[A-Za-z]') AND regexp_matches(rel, '^[A-Za-z]') AND regexp_matches(obj, '^[A-Za-z]') AND length(subj) >= 3 AND length(rel) >= 3 AND length(obj) >= 3")
+def kg_admissible_triples(spark, d):
+    return kg.admissible(kg.surface_triples(_docs(spark, d)))
+
+
+@query(f"WITH {_EDGES} SELECT src, dst FROM e")
+def graph_edges(spark, d):
+    return _edges(spark, d)
+
+
+@query(f"WITH {_EDGES}, d AS (SELECT node, count(*) k FROM (SELECT unnest([src, dst]) node FROM e) GROUP BY node) SELECT node, round(k / (SELECT count(*) - 1 FROM d), 6) AS centrality FROM d")
+def graph_degree_centrality(spark, d):
+    return _rounded(graph.degree_centrality(_edges(spark, d)), "centrality")
+
+
+@query()
+def graph_eigenvector_centrality(spark, d):
+    return graph.eigenvector_centrality(_edges(spark, d))
+
+
+@query()
+def graph_components(spark, d):
+    return components.connected_components(_edges(spark, d))
+
+
+_CHANGE = _EDGES + """,
+o AS (SELECT DISTINCT least(head, tail) src, greatest(head, tail) dst FROM train2id WHERE year(extracted_at) % 2 = 1 AND head IS NOT NULL AND tail IS NOT NULL AND relation IS NOT NULL AND head <> -1 AND tail <> -1 AND relation <> -1),
+d AS (SELECT node, count(*) k FROM (SELECT unnest([src, dst]) node FROM e) GROUP BY node), p AS (SELECT node, count(*) k FROM (SELECT unnest([src, dst]) node FROM o) GROUP BY node),
+c AS (SELECT node, p.k / (SELECT count(*) - 1 FROM p) old, d.k / (SELECT count(*) - 1 FROM d) new FROM p FULL JOIN d USING (node)),
+g AS (SELECT node, round(old, 6) AS old, round(new, 6) AS new, round((new - old) / (old + 1), 6) AS change FROM c)
+"""
+
+
+def _changes(spark: SparkSession, d: str) -> DataFrame:
+    both = graph.compare(graph.degree_centrality(_early(spark, d)), graph.degree_centrality(_edges(spark, d)))
+    return _rounded(both, "old", "new", "change")
+
+
+@query(f"WITH {_CHANGE} SELECT * FROM g")
+def graph_centrality_change(spark, d):
+    return _changes(spark, d)
+
+
+@query(f"WITH {_CHANGE} SELECT * FROM g WHERE change IS NOT NULL ORDER BY change DESC, node LIMIT 20")
+def graph_top_gains(spark, d):
+    return graph.gains(_changes(spark, d), 20)
+
+
+@query(f"WITH {_CHANGE} SELECT * FROM g WHERE change IS NOT NULL ORDER BY change, node LIMIT 20")
+def graph_top_losses(spark, d):
+    return graph.losses(_changes(spark, d), 20)
+
+
+@query(f"WITH {_CHANGE}, k AS (SELECT head, tail, relation, round(coalesce(a.change, 0) + coalesce(b.change, 0), 5) AS score FROM f LEFT JOIN g a ON a.node = head LEFT JOIN g b ON b.node = tail) SELECT * FROM k ORDER BY score DESC, head, tail, relation LIMIT 50")
+def graph_key_triples(spark, d):
+    rows = graph.key_triples(kg.facts(_triples(spark, d)), _changes(spark, d), 2**31 - 1).withColumn("score", F.round("score", 5))
+    return rows.orderBy(F.desc("score"), "head", "tail", "relation").limit(50)
+
+
+@query()
+def graph_ndcg(spark, d):
+    old, new = graph.degree_centrality(_early(spark, d)), graph.degree_centrality(_edges(spark, d))
+    both = old.select("node", F.col("centrality").alias("predicted")).join(new.select("node", F.col("centrality").alias("actual")), "node")
+    return graph.ndcg(cut(both), 100)
+
+
+@query()
+def graph_masked(spark, d):
+    e = cut(_edges(spark, d))
+    return graph.without_nodes(e, graph.masked_nodes(e, 0.25))
+
+
+@query()
+def graph_completed(spark, d):
+    e = cut(_edges(spark, d))
+    w = graph.kron_initiator(e)
+    n, m = e.agg(F.max("dst"), F.count("*")).first()
+    return graph.completed(e, graph.kronecker_edges(spark, w, max(1, int(n or 1).bit_length()), int(m)))
+
+
+@query(f"WITH {_WORDS} SELECT token, count(*) AS n FROM t GROUP BY token HAVING count(*) >= 5")
+def text_vocabulary(spark, d):
+    return text.vocabulary(_docs(spark, d), 5)
+
+
+@query(f"WITH {_WORDS}, f AS (SELECT doc_id, token, count(*) tf FROM t GROUP BY ALL), g AS (SELECT token, count(*) df FROM f GROUP BY token) SELECT doc_id, token, tf, df, round(tf * ln(((SELECT count(DISTINCT doc_id) FROM w) + 1) / (df + 1)), 6) AS tfidf FROM f JOIN g USING (token)")
+def text_tf_idf(spark, d):
+    return _rounded(text.tf_idf(_docs(spark, d)), "tfidf")
+
+
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, unnest(w) t, generate_subscripts(w, 1) i FROM w), k AS (SELECT t FROM p GROUP BY t HAVING count(*) >= 5),
+c AS (SELECT least(x.t, y.t) a, greatest(x.t, y.t) b, y.i - x.i d FROM p x JOIN p y ON x.doc_id = y.doc_id AND y.i BETWEEN x.i + 1 AND x.i + 10)
+SELECT a, b, round(sum(1.0::double / d), 6) AS weight FROM c WHERE a IN (FROM k) AND b IN (FROM k) GROUP BY a, b""")
+def text_cooccurrence(spark, d):
+    return _rounded(text.cooccurrence(_docs(spark, d)), "weight")
+
+
+@query(f"WITH {_WORDS} SELECT doc_id, round(avg(length(token)), 6) AS mean_length FROM t GROUP BY doc_id HAVING avg(length(token)) >= 2")
+def text_admissible(spark, d):
+    return _rounded(text.admissible_sentences(_docs(spark, d)), "mean_length")
+
+
+@query(f"WITH {_WORDS}, k AS (SELECT len(w) k FROM w) SELECT count(*) AS count, round(avg(k), 6) AS mean, round(stddev_samp(k), 6) AS sd, min(k) AS least, max(k) AS most FROM k")
+def text_length_statistics(spark, d):
+    return _rounded(text.length_statistics(_docs(spark, d)), "mean", "sd")
+
+
+@query()
+def text_clean_abstracts(spark, d):
+    return table(spark, d, "clean_text").select("article_id", C.clean_abstract(F.col("abstract")).alias("abstract"), C.clean_article(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 500 AND strpos(substr(text, 2), substr(text, 1, 500)) > 0 THEN substr(text, 1, strpos(substr(text, 2), substr(text, 1, 500)) - 1) ELSE text END AS text FROM documents")
+def text_drop_repeat(spark, d):
+    return _docs(spark, d).select("doc_id", C.drop_repeat(F.col("text")).alias("text"))
+
+
+@query("SELECT label, i - 1 AS i, round(avg(v), 6) AS mean FROM (SELECT label, unnest(embedding)::double v, generate_subscripts(embedding, 1) i FROM embeddings) GROUP BY label, i")
+def embedding_centroids(spark, d):
+    return _rounded(embedding.label_centroids(table(spark, d, "embeddings")), "mean")
+
+
+@query("SELECT vec_id, i - 1 AS i, round((v - avg(v) OVER (PARTITION BY i)) / stddev_pop(v) OVER (PARTITION BY i), 5) AS z FROM (SELECT vec_id, unnest(embedding)::double v, generate_subscripts(embedding, 1) i FROM embeddings)")
+def embedding_standardised(spark, d):
+    return embedding.standardised(table(spark, d, "embeddings")).withColumn("z", F.round("z", 5))
+
+
+_SIM = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"
+
+
+@query(f"SELECT a.vec_id, CASE WHEN max({_SIM}) >= 0.3 THEN arg_max(b.vec_id, {_SIM}) ELSE -1 END AS match, round(max({_SIM}), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 GROUP BY a.vec_id")
+def embedding_best_match(spark, d):
+    """The stated query set: every vector whose id is divisible by 20, against all."""
+    v = table(spark, d, "embeddings")
+    return _rounded(embedding.best_match(v.where("vec_id % 20 = 0"), v, 0.3), "similarity")
+
+
+_USES = "u AS (SELECT relation clust, 'head' argtype, head child FROM train2id WHERE head IS NOT NULL AND tail IS NOT NULL AND relation IS NOT NULL AND head <> -1 AND tail <> -1 AND relation <> -1 UNION ALL SELECT relation, 'tail', tail FROM train2id WHERE head IS NOT NULL AND tail IS NOT NULL AND relation IS NOT NULL AND head <> -1 AND tail <> -1 AND relation <> -1), t AS (SELECT clust, argtype, child, count(*) n FROM u GROUP BY ALL)"
+
+
+@query(f"WITH {_USES} SELECT * FROM t")
+def mln_counts(spark, d):
+    return mln.counts(mln.parts(_triples(spark, d)))
+
+
+@query(f"WITH {_USES} SELECT a.clust AS c1, b.clust AS c2, count(*) AS shared FROM t a JOIN t b ON a.argtype = b.argtype AND a.child = b.child AND a.clust < b.clust GROUP BY ALL HAVING count(*) >= 10")
+def mln_merge_candidates(spark, d):
+    return mln.merge_candidates(mln.counts(mln.parts(_triples(spark, d))))
+
+
+@query(f"""WITH {_USES}, k AS (SELECT clust, sum(n) n FROM t GROUP BY clust),
+s AS (SELECT a.clust c1, b.clust c2, count(*) m, sum((a.n + b.n) * ln(a.n + b.n) - a.n * ln(a.n) - b.n * ln(b.n) + 5) g FROM t a JOIN t b ON a.argtype = b.argtype AND a.child = b.child AND a.clust < b.clust GROUP BY ALL HAVING count(*) >= 10)
+SELECT c1, c2, round(g - ((x.n + y.n) * ln(x.n + y.n) - x.n * ln(x.n) - y.n * ln(y.n)), 4) AS score FROM s JOIN k x ON x.clust = c1 JOIN k y ON y.clust = c2""")
+def mln_merge_scores(spark, d):
+    t = cut(mln.counts(mln.parts(_triples(spark, d))))
+    return mln.merge_scores(t, mln.merge_candidates(t)).withColumn("score", F.round("score", 4))
+
+
+@query()
+def mln_induced(spark, d):
+    return mln.induce(_triples(spark, d))
+
+
+@query(f"WITH {_USES} SELECT clust, child, sum(n) AS n FROM t GROUP BY clust, child HAVING sum(n) * (sum(n) - 1) / 2 >= 1225")
+def mln_compose_candidates(spark, d):
+    return mln.compose_candidates(mln.counts(mln.parts(_triples(spark, d))))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+def stream_windowed_counts(spark, d):
+    return arrivals.windowed_counts(table(spark, d, "events"), "ts", "event_type")
+
+
+@query("SELECT DISTINCT triple_id, head, tail, relation, extracted_at, loaded_at FROM train2id")
+def stream_first_deliveries(spark, d):
+    return arrivals.first_deliveries(_triples(spark, d))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return _orphans(spark, d)
+    return graph_key_triples(spark, d)
