@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.common import cut, table
 from graphloom.functions import columns as C
-from graphloom.operators import components, embedding, graph, kg, mln, references, text
+from graphloom.operators import components, corpus, embedding, graph, kg, linking, mln, references, text
 from graphloom.streaming import arrivals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -308,5 +308,105 @@ def stream_first_deliveries(spark, d):
     return arrivals.first_deliveries(_triples(spark, d))
 
 
+@query("SELECT file, count(*) AS deliveries, arg_max(article_id, (harvested_at, article_id)) AS article_id FROM clean_text WHERE file IS NOT NULL AND harvested_at IS NOT NULL GROUP BY file")
+def corpus_latest_delivery(spark, d):
+    rows = table(spark, d, "clean_text").where("file is not null and harvested_at is not null")
+    last = corpus.latest(rows.select("file", "article_id", "harvested_at"), ["file"], [F.col("harvested_at"), F.col("article_id")])
+    return rows.groupBy("file").agg(F.count("*").alias("deliveries")).join(last.select("file", "article_id"), "file")
+
+
+@query("SELECT doc_id, CASE WHEN k < 70 THEN 'train' WHEN k < 90 THEN 'dev' ELSE 'test' END AS part FROM (SELECT doc_id, ('0x' || substr(md5(doc_id::varchar), 1, 8))::bigint % 100 k FROM documents)")
+def corpus_split(spark, d):
+    return corpus.split(_docs(spark, d).select("doc_id"), "doc_id", {"train": 70, "dev": 20, "test": 10})
+
+
+@query(f"""WITH {_WORDS}, v AS (SELECT token FROM t GROUP BY token HAVING count(*) >= 5),
+k AS (SELECT doc_id, sum(CASE WHEN token IN (FROM v) AND length(token) > 2 AND regexp_matches(token, '^\\p{{L}}+$') THEN 1 ELSE 0 END) / count(*) r FROM t GROUP BY doc_id)
+SELECT doc_id, round(r, 6) AS ratio, r < 0.2 AS removed FROM k""")
+def corpus_in_vocabulary(spark, d):
+    return _rounded(corpus.in_vocabulary(_docs(spark, d), text.vocabulary(_docs(spark, d), 5)), "ratio")
+
+
+@query("SELECT doc_id, question FROM (SELECT doc_id, trim(unnest(regexp_extract_all(text, '[^.!?]*\\?')), ' ') question FROM documents WHERE text IS NOT NULL) WHERE question <> '?'")
+def corpus_questions(spark, d):
+    return corpus.questions(_docs(spark, d))
+
+
+@query()
+def corpus_equations(spark, d):
+    return corpus.equations(_docs(spark, d))
+
+
+@query("SELECT doc_id, len(w) AS n, label FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w, unnest([0, 1]) AS label FROM documents WHERE text IS NOT NULL)")
+def corpus_negatives(spark, d):
+    return corpus.shuffled_negatives(_docs(spark, d)).select("doc_id", F.size("tokens").cast("bigint").alias("n"), "label")
+
+
+@query(f"""WITH {_WORDS}, v AS (SELECT token, row_number() OVER (ORDER BY token) + 2 id FROM (SELECT token FROM t GROUP BY token HAVING count(*) >= 5)),
+p AS (SELECT doc_id, unnest(w[1:150]) token, generate_subscripts(w[1:150], 1) i FROM w),
+x AS (SELECT doc_id, list(coalesce(v.id, 1) ORDER BY i) ids FROM p LEFT JOIN v USING (token) GROUP BY doc_id)
+SELECT doc_id, list_resize(ids, 150, 0) AS ids FROM x""")
+def corpus_encoded(spark, d):
+    ids = kg.dense_ids(text.vocabulary(_docs(spark, d), 5), "token").select(F.col("name").alias("token"), (F.col("id") + 3).alias("id"))
+    return corpus.encoded(_docs(spark, d), ids)
+
+
+@query(f"WITH {_WORDS}, v AS (SELECT DISTINCT token FROM t), o AS (SELECT DISTINCT unnest(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+')) token FROM clean_text) SELECT token, token IN (FROM v) AS both FROM o")
+def corpus_vocabulary_overlap(spark, d):
+    titles = table(spark, d, "clean_text").select(F.explode(C.tokens(F.col("title"))).alias("token")).distinct()
+    known = text.vocabulary(_docs(spark, d)).select("token", F.lit(True).alias("k"))
+    return titles.join(known, "token", "left").select("token", F.coalesce("k", F.lit(False)).alias("both"))
+
+
+@query("WITH m AS (SELECT DISTINCT id % 97 c, ent FROM entity2id WHERE ent IS NOT NULL AND id IS NOT NULL), g AS (SELECT c, sum(length(ent)) n, min(ent) f, string_agg(ent, ' | ' ORDER BY ent) j FROM m GROUP BY c) SELECT c AS cluster, CASE WHEN n <= 80 THEN j ELSE f END AS name FROM g")
+def corpus_representatives(spark, d):
+    """Entities by a remainder of their id stand for clusters."""
+    m = table(spark, d, "entity2id").where("ent is not null and id is not null").select((F.col("id") % 97).alias("cluster"), F.col("ent").alias("name")).distinct()
+    return corpus.representatives(m)
+
+
+@query("SELECT label, vec_id, round(CASE WHEN n > 1 THEN (r - 1) / (n - 1) ELSE 0 END, 6) AS v FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY embedding[1], vec_id) r, count(*) OVER (PARTITION BY label) n FROM embeddings)")
+def corpus_rank_normalised(spark, d):
+    v = table(spark, d, "embeddings").select("label", "vec_id", F.element_at("embedding", 1).alias("x"))
+    return _rounded(corpus.rank_normalised(v, "label", "x", "vec_id"), "v").select("label", "vec_id", "v")
+
+
+@query("SELECT article_id, translate(title, 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ', 'aaaaaaceeeeiiiinoooooouuuuyyAAAAAACEEEEIIIINOOOOOOUUUUY') AS title FROM clean_text")
+def corpus_folded_titles(spark, d):
+    return table(spark, d, "clean_text").select("article_id", corpus.folded(F.col("title")).alias("title"))
+
+
+@query("SELECT a.label AS a, b.label AS b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) AS similarity FROM (SELECT label, arg_min(embedding, vec_id) embedding FROM embeddings GROUP BY label) a JOIN (SELECT label, arg_min(embedding, vec_id) embedding FROM embeddings GROUP BY label) b ON a.label < b.label")
+def embedding_label_similarity(spark, d):
+    """Between the first vectors of the labels, which are few."""
+    v = table(spark, d, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("e"))
+    pairs = v.select(F.col("label").alias("a"), F.col("e").alias("x")).join(v.select(F.col("label").alias("b"), F.col("e").alias("y")), F.col("a") < F.col("b"))
+    return pairs.select("a", "b", F.round(C.cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
+
+
+@query(f"WITH {_FACTS}, k AS (SELECT id FROM entity2id WHERE lower(ent) LIKE '%contact%') SELECT DISTINCT head, relation FROM f WHERE head IN (FROM k)")
+def link_topic_queries(spark, d):
+    return linking.topic_queries(_triples(spark, d), table(spark, d, "entity2id"), "contact")
+
+
+@query()
+def link_topic_expansion(spark, d):
+    t = _triples(spark, d)
+    e, r = linking.fit_translations(t)
+    return linking.tails(linking.topic_queries(t, table(spark, d, "entity2id"), "contact"), e, r)
+
+
+@query()
+def link_scores(spark, d):
+    t = _triples(spark, d)
+    e, r = linking.fit_translations(t)
+    return embedding.translation_scores(kg.facts(t), e, r)
+
+
+@query(f"WITH {_USES}, r AS (SELECT *, row_number() OVER (PARTITION BY clust ORDER BY n DESC, argtype, child) k FROM t) SELECT clust, string_agg(argtype || ':' || child || ':' || n, ' | ' ORDER BY k) AS line FROM r WHERE k <= 5 GROUP BY clust")
+def mln_printed(spark, d):
+    return mln.printed(mln.counts(mln.parts(_triples(spark, d))))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return graph_key_triples(spark, d)
