@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,15 +53,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs whose results nothing holds any more.
-
-    It does so when the driver collects its garbage, which a driver with much memory seldom needs to.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 HOT_GROUPS = 1000  # at most so many groups can each hold more than a 1/HOT_GROUPS part of the rows
 
 
