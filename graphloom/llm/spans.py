@@ -140,7 +140,7 @@ def shared_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     marks = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("mark"), F.char_length("text").alias("n"))
     classes = marks.groupBy("mark", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     reps = classes.select(F.col("rep").alias("doc_id"), "copies", F.col("n").alias("size"))
-    spots = docs.mapInPandas(_scan(span), "doc_id bigint, anchor array<bigint>, pos array<int>, context array<bigint>").join(reps.select("doc_id"), "doc_id", "left_semi")
+    spots = docs.mapInPandas(_scan(span), "doc_id bigint, anchor array<bigint>, pos array<int>, context array<bigint>")
     spots = cut(spots)  # the texts are hashed once, and plans stay short
     spots = spots.select("doc_id", F.explode(F.arrays_zip("anchor", "pos", "context")).alias("s")).select("doc_id", "s.*")
     often = spots.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")  # most anchors are single; only a count of them is shuffled
