@@ -220,11 +220,65 @@ def split(text: str, declared: str | None = None) -> list[tuple[int, int]]:
     return out
 
 
+GARBLED = regex.compile(r"[^\x00-\x7f]{2,}")
+LEADS = regex.compile(r"[ÃÂâãäåæçèéàÐÑØÙ√‚├Γðã]")
+DECODERS = ("cp1252", "latin-1", "mac_roman", "cp437")
+
+
+def _bytes(c: str, decoder: str) -> bytes | None:
+    try:
+        return c.encode(decoder)
+    except UnicodeEncodeError:
+        return bytes([ord(c)]) if decoder == "cp1252" and ord(c) < 256 else None
+
+
+def shadow(text: str) -> tuple[str, list[int]] | None:
+    """(text with UTF-8 that was decoded bytewise put right, position of each of its characters); None if there is none.
+
+    Only runs whose bytes are whole UTF-8 sequences are put right, which hardly happens to sound text.
+    """
+    if not LEADS.search(text):
+        return None
+    out: list[str] = []
+    at: list[int] = []
+    end = 0
+    for m in GARBLED.finditer(text):
+        for decoder in DECODERS:
+            raw = [_bytes(c, decoder) for c in m[0]]
+            if None in raw:
+                continue
+            try:
+                fixed = b"".join(raw).decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+            out.append(text[end : m.start()])
+            at += range(end, m.start())
+            i = m.start()
+            for c in fixed:
+                out.append(c)
+                at.append(i)
+                i += len(c.encode("utf-8"))
+            end = m.end()
+            break
+    if not end:
+        return None
+    return "".join([*out, text[end:]]), [*at, *range(end, len(text)), len(text)]
+
+
+def split_any(text: str, declared: str | None = None) -> list[tuple[int, int]]:
+    """Like split, and terminators and quotation marks are also known where UTF-8 was decoded as single bytes."""
+    seen = shadow(text)
+    if seen is None:
+        return split(text, declared)
+    plain, at = seen
+    return [(at[a], at[b]) for a, b in split(plain, declared)]
+
+
 def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         ids, starts, ends = [], [], []
         for i, lang, text in zip(pdf["article_id"], pdf["lang"], pdf["abstract"]):
-            for a, b in split(text, lang):
+            for a, b in split_any(text, lang):
                 ids.append(i)
                 starts.append(a)
                 ends.append(b)

@@ -78,6 +78,13 @@ def test_sentences_cover_everything_but_space():
     assert all(text[i].isspace() for i in range(len(text)) if i not in inside)
 
 
+def test_sentences_of_garbled_text():
+    text = "He noted: “It rained. It stopped.” We left. Señora came."
+    bad = text.encode().decode("latin-1")
+    assert [bad[a:b].encode("latin-1").decode() for a, b in sentences.split_any(bad)] == sents(text)
+    assert sentences.split_any(text) == sentences.split(text)
+
+
 def test_sentences_of_null_and_empty(spark):
     assert rows(sentences.sentences(papers(spark, (1, None, None, None), (2, None, "**NONE**", None), (3, None, "", None), (4, None, "A b.", None)))) == [(4, 0, 4)]
 
