@@ -150,12 +150,17 @@ def shared_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     spots = cut(attach_groups(spots.select("doc_id", "anchor", "context", "pos", "size"), around, ["anchor", "context"], "m", total))
     lo, hi = F.greatest(F.col("pos") - (span - gram), F.lit(0)), F.least(F.col("pos") + span, F.col("size"))
     wholes = spots.where("whole").select("doc_id", lo.alias("lo"), hi.alias("hi"))
-    # one occurrence stands for each surroundings; the whole ones are needed as partners only where an anchor has others too
-    one = spots.where("whole").groupBy("anchor", "context").agg(F.min(F.struct("doc_id", "pos")).alias("o")).select("anchor", "o.doc_id", "o.pos", F.lit(True).alias("whole"))
-    keep = spots.where("not whole").select("anchor", "doc_id", "pos", "whole").unionByName(one)
-    keep = cut(keep)
-    partial = keep.groupBy("anchor").agg(F.count("*").alias("k"), F.bool_or(~F.col("whole")).alias("open")).where("open and k > 1").select("anchor", "k")
-    edges = attach_groups(keep, partial, ["anchor"], "k", total).groupBy("doc_id").agg(F.collect_set("pos").alias("spots"))
+    # occurrences of the least and the greatest doc_id stand for each surroundings, so that one is in another document than any
+    # occurrence that differs; the whole ones are needed as partners only where an anchor has others too
+    at = F.struct("doc_id", "pos")
+    two = spots.where("whole").groupBy("anchor", "context").agg(F.min(at).alias("a"), F.max(at).alias("b"))
+    two = two.select("anchor", "a.doc_id", "a.pos", F.col("b.doc_id").alias("doc2"), F.col("b.pos").alias("pos2"))
+    keep = spots.where("not whole").select("anchor", "doc_id", "pos").unionByName(two, allowMissingColumns=True)
+    keep = cut(keep)  # those without doc2 are not whole
+    partial = keep.groupBy("anchor").agg(F.count("*").alias("k"), F.bool_or(F.col("doc2").isNull()).alias("open")).where("open and k > 1").select("anchor", "k")
+    ends = F.array(at, F.struct(F.col("doc2").alias("doc_id"), F.col("pos2").alias("pos")))
+    edges = attach_groups(keep, partial, ["anchor"], "k", total).select(F.explode(ends).alias("o")).select("o.*").where("doc_id is not null")
+    edges = edges.groupBy("doc_id").agg(F.collect_set("pos").alias("spots"))
     edges = cut(edges)
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
     some = F.broadcast(edges.select(bucket.alias("bucket")).distinct())  # at most BUCKETS rows, whatever the data

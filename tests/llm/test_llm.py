@@ -239,3 +239,14 @@ def test_spans_like_brute_force(spark, seed):
     data += [(100, data[0][1]), (101, "a" * 300), (102, "a" * 150), (103, ""), (104, "ab" * 100)]
     docs = spark.createDataFrame([*data, (105, None)], "doc_id long, text string")
     assert rows(spans.shared_spans(docs, 40)) == brute_spans(data, 40)
+
+
+def test_spans_within_the_least_document_that_has_them_twice(spark):
+    r = random.Random(7)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    data = []
+    for k in range(0, 30, 3):
+        around, passage = (text(100), text(100)), text(60)
+        data += [(k, around[0] + passage + around[1] + text(100) + passage + text(100)), (k + 1, text(9) + around[0] + passage + around[1])]
+        data += [(k + 2, text(50))]
+    assert rows(spans.shared_spans(spark.createDataFrame(data, "doc_id long, text string"), 40)) == brute_spans(data, 40)
