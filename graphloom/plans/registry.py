@@ -392,14 +392,14 @@ def link_topic_queries(spark, d):
 @query()
 def link_topic_expansion(spark, d):
     t = _triples(spark, d)
-    e, r = linking.fit_translations(t)
+    e, r = linking.fit_translations(t, entities=table(spark, d, "entity2id"), relations=table(spark, d, "relation2id"))
     return linking.tails(linking.topic_queries(t, table(spark, d, "entity2id"), "contact"), e, r)
 
 
 @query()
 def link_scores(spark, d):
     t = _triples(spark, d)
-    e, r = linking.fit_translations(t)
+    e, r = linking.fit_translations(t, entities=table(spark, d, "entity2id"), relations=table(spark, d, "relation2id"))
     return embedding.translation_scores(kg.facts(t), e, r)
 
 

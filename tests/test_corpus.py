@@ -1,4 +1,8 @@
-from graphloom.operators import corpus, linking
+import math
+
+import numpy as np
+
+from graphloom.operators import corpus, embedding, kg, linking
 from pyspark.sql import functions as F
 
 
@@ -51,3 +55,23 @@ def test_translations_prefer_true_tails(spark):
     q = spark.createDataFrame([(3, 1)], "head long, relation long")
     best = linking.tails(q, e, r, 2).collect()
     assert len(best) == 2 and all(x["tail"] != 3 for x in best)
+
+
+def test_every_fact_is_scored_whatever_the_block(spark):
+    t = spark.createDataFrame([(i, i, i + 1000, i % 7) for i in range(300)], "triple_id long, head long, tail long, relation long")
+    ids = spark.createDataFrame([(i,) for i in (3, 5000, None)], "id long")
+    e, r = linking.fit_translations(t, block=40)
+    scores = embedding.translation_scores(kg.facts(t), e, r).collect()
+    assert len(scores) == 300 and all(math.isfinite(x["score"]) for x in scores)
+    e, r = linking.fit_translations(t, epochs=1, entities=ids, block=40)
+    assert e.count() == e.select("id").distinct().count() == 601 and r.count() == 7
+    assert len(linking.tails(spark.createDataFrame([(i, i % 7) for i in range(300)], "head long, relation long"), e, r, 1).collect()) == 300
+
+
+def test_blocks_train_all_facts(spark):
+    """Trained over several blocks, true tails fit better than wrong ones."""
+    t = spark.createDataFrame([(i, i, i + 1000, 1) for i in range(200)], "triple_id long, head long, tail long, relation long")
+    wrong = t.withColumn("tail", (F.col("head") * 3 + 7) % 200 + 1000)
+    e, r = linking.fit_translations(t, epochs=6, block=60)
+    mean = lambda facts: np.mean([x["score"] for x in embedding.translation_scores(facts, e, r).collect()])
+    assert mean(t) < mean(wrong)
