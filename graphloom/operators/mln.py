@@ -42,11 +42,12 @@ def merge_scores(table: DataFrame, pairs: DataFrame, bonus: float = 5.0) -> Data
     return shared.join(t1, "c1").join(t2, "c2").select("c1", "c2", (F.col("gain") - delta(F.col("n1"), F.col("n2"))).alias("score"))
 
 
-def induce(triples: DataFrame, rounds: int = 5, least: int = 10, active: float = 10.0) -> DataFrame:
-    """(clust, merged): clusters after rounds of merges.
+def induce(triples: DataFrame, rounds: int = 100_000, least: int = 10, active: float = 10.0) -> DataFrame:
+    """(clust, merged): clusters after rounds of merges, until no pair reaches the active score.
 
     A round executes all best pairs that do not conflict: each cluster's best partner is the other's best, too. Counts
-    are then recomputed for the merged clusters and the agenda is scored anew.
+    are then recomputed for the merged clusters and the agenda is scored anew. Each round merges the best pair at least, so
+    there are fewer rounds than clusters. Compose operations are not executed.
     """
     uses = cut(parts(triples))
     label = cut(uses.select("clust").distinct().withColumn("merged", F.col("clust")))
@@ -57,10 +58,10 @@ def induce(triples: DataFrame, rounds: int = 5, least: int = 10, active: float =
         best = both.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("s"), "b")).alias("m")).select("a", F.col("m.b").alias("b"))
         mutual = cut(best.join(best.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.col("a") == F.col("y")) & (F.col("b") == F.col("x"))).where("a < b").select("a", "b"))
         if not mutual.limit(1).count():
-            break
+            return label
         # mutual bests are pairs, so the larger id takes the smaller one's label
         label = cut(label.join(mutual, F.col("merged") == F.col("b"), "left").select("clust", F.coalesce("a", "merged").alias("merged")))
-    return label
+    raise RuntimeError("pairs of clusters still reach the active score")
 
 
 def conjunctions(deps: DataFrame) -> DataFrame:

@@ -106,6 +106,12 @@ def test_induced_clusters_merge(spark):
     assert got == {1: 1, 2: 1, 3: 3}
 
 
+def test_induction_ends_when_no_pair_is_active(spark):
+    """Equal relations all prefer the first, so one merges in a round."""
+    t = spark.createDataFrame([(i, i, i + 100, r) for i in range(12) for r in range(1, 9)], "triple_id long, head long, tail long, relation long")
+    assert dict(rows(mln.induce(t))) == dict.fromkeys(range(1, 9), 1)
+
+
 def test_index_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("x y", 1), ("z", 2)], "ent string, id long")
     sinks.index_table(df, str(tmp_path / "e"))
