@@ -44,6 +44,28 @@ def test_initials_that_fit_two_people_link_to_none(spark):
     assert rows(names.variant_pairs(p)) == []
 
 
+def test_middle_initials_keep_people_apart(spark):
+    p = papers(spark, (1, None, None, ["Anna B. Smith", "Anna C. Smith", "Anna D. Smith", "Anna Smith", "A. C. Smith", "SMITH, Anna C."]))
+    assert rows(names.variant_pairs(p)) == [("A. C. Smith", "Anna C. Smith"), ("A. C. Smith", "SMITH, Anna C."), ("Anna C. Smith", "SMITH, Anna C.")]
+    # neither may two that differ come together over one without an initial, nor over two of those
+    p = papers(spark, (1, None, None, ["Anna B. Smithson", "Anna Smithson", "Anna Smithsen", "Anna C. Smithsn"]))
+    assert not any({"Anna B. Smithson", "Anna C. Smithsn"} <= set(x) for x in rows(names.variant_pairs(p)))
+
+
+def test_merged_spellings_rematch(spark):
+    p = papers(spark, (1, None, None, ["Nadia Kikenebra", "N. Kikenbra", "N. Kikenra"]))
+    assert len(rows(names.variant_pairs(p))) == 3
+
+
+def test_short_forms_are_learned(spark):
+    surs = ["Abelard", "Brockhus", "Cantorov", "Dimmlich", "Ebersold", "Fenwick", "Gorodets", "Hallmann"]
+    found = [f"{g}, {f}" for g in surs[:4] for f in ("Wilhelmina", "Quilla")]
+    found = [", ".join(x.split(", ")) for x in found] + [f"{s}, Wilhelmina" for s in surs[4:]] + [f"Ottosen{x}, {x}" for x in ("Rudolfo", "Marvin", "Sigrun")] * 10
+    others = [f"Sur{chr(97 + i)}{chr(97 + j)}xem, Person{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(10)]
+    got = rows(names.variant_pairs(papers(spark, (1, None, None, [*found, *others]))))
+    assert ("Abelard, Quilla", "Abelard, Wilhelmina") in got and all(a.split(",")[0] == b.split(",")[0] for a, b in got)
+
+
 # p2
 
 
