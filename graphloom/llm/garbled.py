@@ -21,6 +21,7 @@ MAPPINGS = [
     ("latin-1", "cp1252"),
 ]
 MAPPINGS = list(dict.fromkeys(MAPPINGS))
+WRONG = list(dict.fromkeys(wrong for wrong, _ in MAPPINGS))
 HOMOGLYPHS = frozenset("аеорсухіѕԁɑ")
 MAX_PAIRS = 2_000_000  # classes of characters squared; far above what scripts with letters need
 NEVER = regex.compile(r"[�\u0080-\u009F-]")
@@ -76,7 +77,9 @@ WITHIN = {"一": 10.0, "あ": 5.0, "ア": 5.5, "가": 10.0}  # bits that tell a
 
 
 class Model:
-    """Mutual information of adjacent characters: log2 p(ab) / (p(a) p(b)), and log2 p(b | a)."""
+    """Mutual information of adjacent characters, and log2 p(b | a), from counts over the corpus."""
+
+    PRIOR, LEAST = 0.01, 2.0**-12  # part of all characters that is spread evenly over the alphabet; ratio of p(ab) and p(a) p(b) of a pair never seen
 
     def __init__(self, counts: dict[str, int]):
         self.pairs = counts
@@ -85,31 +88,48 @@ class Model:
         for pair, n in counts.items():
             self.first[pair[0]] += n
         self.known = {c for c, n in self.first.items() if n >= 3}
-        self.cache: dict[str, tuple[float, float]] = {}
-
-    def pair(self, ab: str) -> tuple[float, float]:
-        """(mutual information, log likelihood); pairs and characters never seen get what half a sight would."""
-        if ab not in self.cache:
-            a, b = ab
-            joint, fa, fb = self.pairs.get(ab, 0), self.first.get(a, 0), self.first.get(b, 0)
-            pb = (fb + 0.05) / self.total
-            like = math.log2((joint + 2 * pb) / (fa + 2))
-            self.cache[ab] = like - math.log2(pb), like
-        return self.cache[ab]
+        self.even = self.PRIOR * self.total / max(1, len(self.first))
+        self.likes: dict[str, float] = {}
+        self.scores: dict[str, float] = {}
+
+    def sure(self, ab: str) -> float:
+        """The count two deviations below what was seen, so that the garbled fields among the counted ones vouch for nothing."""
+        joint = self.pairs.get(ab, 0)
+        return max(0.0, joint - 2 * joint**0.5)
+
+    def info(self, ab: str) -> float:
+        """log2 p(ab) / (p(a) p(b))."""
+        joint = self.sure(ab)
+        return math.log2(joint * self.total / ((self.first.get(ab[0], 0) + self.even) * (self.first.get(ab[1], 0) + self.even)) + self.LEAST)
+
+    def score(self, ab: str) -> float:
+        """Above zero for pairs whose mutual information lies below -6 bits, as it hardly does in sound text."""
+        if ab not in self.scores:
+            sound = 2.0 if ab[0] < "\x80" and ab[1] < "\x80" else 0.7
+            self.scores[ab] = max(-sound, min(2.0, (-6 - self.info(ab)) / 3))
+        return self.scores[ab]
+
+    def like(self, ab: str) -> float:
+        """log2 p(b | a); pairs and characters never seen get what half a sight would."""
+        if ab not in self.likes:
+            pb = (self.first.get(ab[1], 0) + 0.05) / self.total
+            self.likes[ab] = math.log2((self.sure(ab) + 2 * pb) / (self.first.get(ab[0], 0) + 2))
+        return self.likes[ab]
 
     def likelihood(self, text: str) -> float:
         if text.isupper():
             text = text.lower()  # capitals are rarer, not less sound
         s = classes(text)
-        return sum(self.pair(s[i : i + 2])[1] for i in range(len(s) - 1)) - sum(WITHIN.get(c, 0) for c in s)
+        return sum(map(self.like, map(str.__add__, s, s[1:]))) - sum(WITHIN.get(c, 0) for c in s)
 
     def improbable(self, text: str, least: float = 2.0) -> list[tuple[int, int]]:
-        """Maximum-scoring segments of pairs whose mutual information lies below what sound pairs have."""
+        """Maximum-scoring segments of the pairs, scored by their mutual information."""
         s = classes(text)
+        pairs = list(map(str.__add__, s, s[1:]))
+        if max(map(self.score, set(pairs)), default=0.0) <= 0:
+            return []
         out, best, total, begin, end = [], 0.0, 0.0, 0, 0
-        for i in range(len(s) - 1):
-            info, like = self.pair(s[i : i + 2])
-            score = 2.0 if like < -11.5 else -1.5 if s[i] < "\x80" and s[i + 1] < "\x80" else -0.7
+        for i, score in enumerate(map(self.scores.__getitem__, pairs)):
             if total <= 0:
                 if best >= least:
                     out.append((begin, end))
@@ -122,20 +142,30 @@ class Model:
         return out
 
 
+def _raw(text: str, wrong: str) -> bytes | None:
+    """The bytes which `wrong` decoded; None if there are none."""
+    try:
+        return text.encode(wrong)
+    except UnicodeEncodeError:
+        if wrong not in ("cp1252", "cp1254"):
+            return None
+    raw = bytearray()
+    for c in text:
+        try:
+            raw += c.encode(wrong)
+        except UnicodeEncodeError:
+            if ord(c) >= 256:
+                return None
+            raw.append(ord(c))  # bytes without a character pass as controls
+    return bytes(raw)
+
+
 def inverse(text: str, wrong: str, right: str) -> str | None:
     """The text that `right` gives for the bytes which `wrong` decoded; None if there are none."""
+    raw = _raw(text, wrong)
     try:
-        raw = bytearray()
-        for c in text:
-            try:
-                raw += c.encode(wrong)
-            except UnicodeEncodeError:
-                if wrong in ("cp1252", "cp1254") and ord(c) < 256:
-                    raw.append(ord(c))  # bytes without a character pass as controls
-                else:
-                    return None
-        return bytes(raw).decode(right)
-    except (UnicodeDecodeError, LookupError):
+        return None if raw is None else raw.decode(right)
+    except UnicodeDecodeError:
         return None
 
 
@@ -146,19 +176,26 @@ def _best(model: Model, text: str, a: int, b: int) -> tuple[float, str, tuple[st
     before = model.likelihood(left + piece + right_)
     if before > -4.5 * (len(piece) + 1) and model.known.issuperset(classes(piece)):
         return None
-    best = None
+    if piece in HOMOGLYPHS:
+        return None  # a lone letter of similar look is a misreading
+    best, lone = None, len(FOREIGN.findall(piece)) == 1  # a single byte may be read as anything
+    raws = {wrong: _raw(piece, wrong) for wrong in WRONG}
+    seen: set[str] = set()
     for mapping in MAPPINGS:
-        fixed = inverse(piece, *mapping)
+        raw = raws[mapping[0]]
+        try:
+            fixed = None if raw is None else raw.decode(mapping[1])
+        except UnicodeDecodeError:
+            continue
         if fixed is None or fixed == piece or NEVER.search(fixed) and not NEVER.search(piece) or "\x00" in fixed:
             continue
         twice = _twice(fixed)
-        for f in {fixed, twice}:
+        for f in {fixed, twice} - seen:
+            seen.add(f)
             strange = set(classes(f)) - model.known
             if len(strange) > 0.2 * len(f):
                 continue
-            gain = model.likelihood(left + f + right_) - before
-            if piece in HOMOGLYPHS:
-                continue  # a lone letter of similar look is a misreading
+            gain = model.likelihood(left + f + right_) - before - (7.0 if lone and mapping[1] != "utf-8" else 0.0)
             if best is None or gain > best[0]:
                 best = gain, f, mapping
     return best

@@ -182,6 +182,19 @@ def test_garbled_text_comes_back(spark):
     assert got[100, "title"]["restored"] == russian and got[101, "title"]["restored"] == russian
 
 
+def test_segments_come_from_mutual_information(monkeypatch):
+    """Without the information no segment is found, and nothing is restored."""
+    sound = "la taille finale chez les élèves a été mesurée à körné près de la rivière où l’été fut sévère "
+    counts = {}
+    for a, b in zip(garbled.classes(sound * 300), garbled.classes(sound * 300)[1:]):
+        counts[a + b] = counts.get(a + b, 0) + 1
+    bad = "mesurée près de la riviÃ¨re où"
+    assert garbled.restore(garbled.Model(counts), bad)[0] == "mesurée près de la rivière où"
+    assert garbled.Model(counts).improbable("mesurée près de la rivière") == []
+    monkeypatch.setattr(garbled.Model, "info", lambda self, ab: 0.0)
+    assert garbled.restore(garbled.Model(counts), bad) == (bad, [])
+
+
 # p8
 
 
