@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,8 +18,6 @@ CONFUSIONS = [
     ("g", "q", 1.2), ("o", "0", 0.5), ("l", "1", 0.5), ("i", ";", 0.5), ("a", "ɑ", 0.3), ("n", "ri", 1.2), ("w", "vv", 1.0),
     ("i", "1", 0.6), ("s", "5", 0.6), ("b", "6", 0.8), ("i", "l", 1.6), ("rn", "m", 1.4), ("cl", "d", 1.4), ("ri", "n", 1.6), ("c", "e", 1.4),
 ]
-ONE = 1.25
-FREQUENT, RATIO, CONTEXT_RATIO, CONTEXT = 20, 30, 5, 3
 WORD = r"\p{L}(?:[\p{L}\p{M}0156;]*\p{L})?"
 STRONG = regex.compile(r"(?<=\p{Latin})[01](?=\p{Ll})|(?<=\p{Ll})[01](?=\p{Latin})|(?<=\p{Latin});(?=\p{Ll})|ɑ")
 STRONG_JVM = r"\p{IsLatin}[01]\p{Ll}|\p{Ll}[01]\p{IsLatin}|\p{IsLatin};\p{Ll}|ɑ"
@@ -94,78 +91,116 @@ def _flow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"article_id": pdf["article_id"], "field": pdf["field"], "text": [t for t, _ in done], "traces": [x for _, x in done], "strong": strong})
 
 
-def units(word: str, side: int) -> list[tuple[int, int, int]]:
-    """(position, length, confusion) where a unit of the side (0: page, 1: reading) stands in the word."""
-    out = []
-    for k, c in enumerate(CONFUSIONS):
-        at = word.find(c[side])
-        while at >= 0:
-            out.append((at, len(c[side]), k))
-            at = word.find(c[side], at + 1)
-    return out
+# a misread letter outside the list, a lost or an added one; neighbours that changed places; the dearest repair
+OTHER, SWAP, DEAREST = 2.0, 1.8, 2.6
+PREFIX = 7  # deletions are made in so many first characters; what follows is compared
+NATS, SURE, STRANGE = 3.0, 1.8, 7.0  # a unit of cost; evidence a repair needs; what a character that words do not have tells
+RATIO = 5  # a repair is so many times as frequent at least
+BUCKETS = 1 << 18
+
 
+def deletions(word: str, most: int) -> set[str]:
+    """The first characters of the word with up to `most` of them deleted."""
+    out = {word[:PREFIX]}
+    last = out
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
 
-def keys(word: str, side: int, most: int = 2) -> Iterator[tuple[str, float]]:
-    """(key, cost): the word with one or two confusable units deleted, a mark telling which confusion stood there."""
-    found = sorted(units(word, side))
-    for at, n, k in found:
-        yield f"{word[:at]}{chr(0xE000 + k)}{word[at + n :]}", CONFUSIONS[k][2]
-    if most > 1:
-        for (a, n, k), (b, m, j) in itertools.combinations(found, 2):
-            if a + n <= b:
-                yield f"{word[:a]}{chr(0xE000 + k)}{word[a + n : b]}{chr(0xE000 + j)}{word[b + m :]}", CONFUSIONS[k][2] + CONFUSIONS[j][2]
 
+def cost(page: str, reading: str, other: float = OTHER, swap: float = SWAP) -> float:
+    """Weighted edit distance: what it takes to read the word of the page so, confusions of the list being cheap."""
+    n, m = len(page), len(reading)
+    d = [[float("inf")] * (m + 1) for _ in range(n + 1)]
+    d[0][0] = 0.0
+    for i in range(n + 1):
+        for j in range(m + 1):
+            here = d[i][j]
+            if here > DEAREST:
+                continue
+            if i < n and j < m:
+                step = here + (0.0 if page[i] == reading[j] else other)
+                d[i + 1][j + 1] = min(d[i + 1][j + 1], step)
+                if page[i : i + 2] == reading[j : j + 2][::-1] and i + 1 < n:
+                    d[i + 2][j + 2] = min(d[i + 2][j + 2], here + swap)
+            if i < n:
+                d[i + 1][j] = min(d[i + 1][j], here + other)
+            if j < m:
+                d[i][j + 1] = min(d[i][j + 1], here + other)
+            for p, r, c in CONFUSIONS:
+                if page.startswith(p, i) and reading.startswith(r, j):
+                    d[i + len(p)][j + len(r)] = min(d[i + len(p)][j + len(r)], here + c)
+    return d[n][m]
+
+
+def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [(w, n, most, key) for w, n, most in zip(pdf["word"], pdf["n"], pdf["most"]) for key in deletions(w, most)]
+        yield pd.DataFrame(rows, columns=["word", "n", "most", "key"]).astype({"n": "int64"})
 
-def _keys(side: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(w, n, key, cost) for w, n, two in zip(pdf["word"], pdf["n"], pdf["two"]) for key, cost in keys(w, side, 2 if two else 1)]
-            yield pd.DataFrame(rows, columns=["word", "n", "key", "cost"]).astype({"n": "int64", "cost": "float64"})
 
-    return run
+def _costs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = pdf.assign(cost=[cost(b, w) for b, w in zip(pdf["better"], pdf["word"])])
+        out = out[out["cost"] <= DEAREST]
+        yield out.assign(alike=[cost(b, w, DEAREST + 1, DEAREST + 1) <= DEAREST for b, w in zip(out["better"], out["word"])])
 
 
 def candidates(words: DataFrame) -> DataFrame:
-    """(word, n, better, m, cost): corrections of rare words by a deletion index over the frequent ones.
+    """(word, n, better, m, cost, alike): possible repairs by a symmetric-delete index, at a weighted edit distance of DEAREST at most.
 
-    words has word, n (fields that hold it) and lower (whether it ever stands in lower case). A
-    word is read wrong if a confusion leads from a much more frequent word to it. Names, of which there are
-    many, get one deletion, others two.
+    words has word, n (fields that hold it) and lower (whether it ever stands in lower case). Both the words of the
+    corpus and their readings are entered with up to two characters deleted, any of them (names, which are many and rare, and words of three letters with one), and
+    meet where these agree. A repair is RATIO times as frequent at least. It is alike if confusions of the list alone lead to the reading.
     """
-    latin = words.where(F.col("word").rlike(r"\p{IsLatin}") & (F.char_length("word") >= 3))
-    two = (F.col("lower") | F.col("word").rlike("[01;ɑ]")) & (F.char_length("word") <= 24)
-    schema = "word string, n bigint, key string, cost double"
-    pages = latin.where((F.col("n") >= FREQUENT) & ~F.col("word").rlike("[01;ɑ]")).withColumn("two", F.char_length("word") <= 24).mapInPandas(_keys(0), schema)
-    reads = latin.withColumn("two", two).mapInPandas(_keys(1), schema)
-    pairs = reads.select("word", "n", "key", "cost").join(pages.select(F.col("word").alias("better"), F.col("n").alias("m"), "key"), "key")
-    return pairs.where(f"m >= {CONTEXT_RATIO} * n").groupBy("word", "n", "better", "m").agg(F.min("cost").alias("cost"))
+    latin = words.where(F.col("word").rlike(r"\p{IsLatin}") & (F.char_length("word") >= 3) & (F.char_length("word") <= 40))
+    odd = F.col("word").rlike("[0-9;ɑ]")
+    most = F.when((F.char_length("word") >= 4) & (F.col("lower") | odd), 2).otherwise(1).alias("most")
+    schema = "word string, n bigint, most int, key string"
+    pages = latin.where((F.col("n") >= RATIO) & ~odd).select("word", "n", most).mapInPandas(_keys, schema).select(F.col("word").alias("better"), F.col("n").alias("m"), F.xxhash64("key").alias("key"))
+    reads = latin.select("word", "n", most).mapInPandas(_keys, schema).select("word", "n", F.xxhash64("key").alias("key"))
+    met = reads.join(pages, "key").where(f"m >= {RATIO} * n and word <> better").where((F.levenshtein("word", "better", 4) >= 0) & (F.abs(F.char_length("word") - F.char_length("better")) <= 2))
+    return met.select("word", "n", "better", "m").distinct().mapInPandas(_costs, "word string, n bigint, better string, m bigint, cost double, alike boolean")
+
+
+def _some(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose column may be among the wanted: a filter of at most BUCKETS rows, whatever the data, that spares the others the shuffle."""
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+    return rows.join(F.broadcast(wanted.select(bucket(column).alias("bucket")).distinct()), bucket(F.col(column)) == F.col("bucket"), "left_semi")
 
 
 def repairs(flow: DataFrame) -> DataFrame:
-    """(article_id, field, word, better): the repair of each misread word, by cost, frequency and bigram context."""
+    """(article_id, field, word, better, alike, evidence): the repair of each misread word.
+
+    The evidence for a repair is the logarithm of how much more frequent it is, the mutual information with the
+    words before and after, and what the cost of the confusion takes away; only ratios of counts enter, so a
+    corpus of any size is judged alike.
+    """
     tokens = flow.select("article_id", "field", F.expr(f"regexp_extract_all(text, '{WORD.replace(chr(92), chr(92) * 2)}', 0)").alias("w"))
     each = tokens.select("article_id", "field", F.explode(F.array_distinct("w")).alias("t"))
-    words = each.groupBy(F.lower("t").alias("word")).agg(F.count("*").alias("n"), F.bool_or(F.col("t").rlike(r"^\p{Ll}")).alias("lower"))
+    words = cut(each.groupBy(F.lower("t").alias("word")).agg(F.count("*").alias("n"), F.bool_or(F.col("t").rlike(r"^\p{Ll}")).alias("lower")))
+    total = float(words.agg(F.sum("n")).first()[0] or 1)
     options = cut(candidates(words))
-    grams = tokens.select("article_id", "field", F.transform("w", lambda x: F.lower(x)).alias("w")).where("size(w) > 0")
-    grams = grams.select("article_id", "field", F.posexplode(F.arrays_zip(F.col("w").alias("x"), F.slice(F.col("w"), 2, 2**30).alias("y"))).alias("i", "p")).select("article_id", "field", "i", F.col("p.x").alias("x"), F.col("p.y").alias("y")).where("y is not null")
-    better = options.select(F.col("better").alias("b")).distinct()
-    left = grams.join(better, F.col("x") == F.col("b"), "left_semi").groupBy("x", "y").agg(F.count("*").alias("c"))
-    right = grams.join(better, F.col("y") == F.col("b"), "left_semi").groupBy("x", "y").agg(F.count("*").alias("c"))
-    suspects = options.select("word").distinct()
-    here = grams.join(suspects, F.col("x") == F.col("word"), "left_semi").select("article_id", "field", F.col("x").alias("word"), F.col("y").alias("next"), F.lit(None).cast("string").alias("prev"))
-    there = grams.join(suspects, F.col("y") == F.col("word"), "left_semi").select("article_id", "field", F.col("y").alias("word"), F.lit(None).cast("string").alias("next"), F.col("x").alias("prev"))
-    seen = here.unionByName(there).join(options, "word")
-    seen = seen.join(left.select(F.col("x").alias("better"), F.col("y").alias("next"), F.col("c").alias("c1")), ["better", "next"], "left")
-    seen = seen.join(right.select(F.col("y").alias("better"), F.col("x").alias("prev"), F.col("c").alias("c2")), ["better", "prev"], "left")
-    alone = each.select("article_id", "field", F.lower("t").alias("word")).join(options, "word").select("article_id", "field", "word", "better", "n", "m", "cost", F.lit(0).cast("bigint").alias("c"))
-    rows = seen.select("article_id", "field", "word", "better", "n", "m", "cost", (F.coalesce("c1", F.lit(0)) + F.coalesce("c2", F.lit(0))).alias("c")).unionByName(alone)
-    scored = rows.groupBy("article_id", "field", "word", "better", "n", "m", "cost").agg(F.max("c").alias("c"))
-    strong = F.col("word").rlike(STRONG_JVM)
-    sure = strong | (F.col("m") >= RATIO * F.col("n")) | (F.col("c") >= CONTEXT)
-    score = F.log("m") + 2 * F.log1p("c") - 3 * F.col("cost")
-    best = F.max_by(F.struct("better", "cost"), F.struct(score.alias("s"), F.col("better").alias("b"))).alias("r")
-    return scored.where(sure).groupBy("article_id", "field", "word").agg(best).select("article_id", "field", "word", "r.better", "r.cost")
+    low = tokens.select("article_id", "field", F.transform("w", lambda x: F.lower(x)).alias("w")).where("size(w) > 0")
+    around = F.transform("w", lambda x, i: F.struct(F.get("w", i - 1).alias("prev"), x.alias("word"), F.get("w", i + 1).alias("next")))
+    each = low.select("article_id", "field", F.explode(around).alias("a")).select("article_id", "field", "a.*")
+    suspects = options.groupBy("word").agg(F.collect_list(F.struct("better", "n", "m", "cost", "alike")).alias("o"))  # a word has few neighbours at this distance
+    seen = cut(_some(each, "word", suspects).join(suspects, "word").select("article_id", "field", "word", "prev", "next", F.explode("o").alias("o")).select("article_id", "field", "word", "prev", "next", "o.*"))
+    ways = F.array(F.struct(F.col("prev").alias("x"), F.col("better").alias("y"), F.col("prev").alias("other")), F.struct(F.col("better").alias("x"), F.col("next").alias("y"), F.col("next").alias("other")))
+    asked = seen.select("article_id", "field", "word", "better", "n", "m", "cost", "alike", F.explode(ways).alias("p")).select("article_id", "field", "word", "better", "n", "m", "cost", "alike", "p.*")
+    pair = F.concat_ws(" ", "x", "y")
+    wanted = asked.where("other is not null").select(pair.alias("pair"), "other").distinct()
+    pairs = low.select(F.explode(F.transform(F.slice("w", 2, 2**30), lambda y, i: F.concat_ws(" ", F.get("w", i), y))).alias("pair"))
+    counted = _some(pairs, "pair", wanted).join(wanted.select("pair").distinct(), "pair", "left_semi").groupBy("pair").agg(F.count("*").alias("c"))
+    often = words.select(F.col("word").alias("other"), F.col("n").alias("f"))
+    known = wanted.join(counted, "pair").join(often, "other").select("pair", "other", F.log(1 + F.col("c") * total / F.col("f")).alias("info"))
+    info = F.coalesce(F.greatest(F.col("info") - F.log("m"), F.lit(0.0)), F.lit(0.0))
+    rated = asked.withColumn("pair", pair).join(known, ["pair", "other"], "left").groupBy("article_id", "field", "word", "better", "n", "m", "cost", "alike").agg(F.sum(info).alias("info"))
+    evidence = F.log(F.col("m") / F.col("n")) + F.col("info") - NATS * F.col("cost") + F.when(F.col("word").rlike(STRONG_JVM), STRANGE).otherwise(0.0)
+    told = rated.withColumn("evidence", evidence).where(F.col("evidence") >= SURE)
+    best = F.max_by(F.struct("better", "alike", "evidence"), F.struct("evidence", "better")).alias("r")
+    return told.groupBy("article_id", "field", "word").agg(best).select("article_id", "field", "word", "r.better", "r.alike", "r.evidence")
 
 
 def flows(papers: DataFrame) -> DataFrame:
@@ -175,11 +210,11 @@ def flows(papers: DataFrame) -> DataFrame:
 def scanned(papers: DataFrame) -> DataFrame:
     """(article_id, field) of titles and abstracts with a word cut at a line end, misread letters, or a header or page number among the lines.
 
-    Null and `**NONE**` fields are no case; an empty table gives no rows.
+    Misread words are those for which the index has a repair of similar look, and those with a character that words do not have. Null
+    and `**NONE**` fields are no case; an empty table gives no rows.
     """
     flow = cut(flows(papers))
-    plain = repairs(flow).where(f"cost <= {ONE} and char_length(word) >= 4")  # alone, only one likely confusion in a longer word tells
-    return flow.where("traces or strong").select("article_id", "field").unionByName(plain.select("article_id", "field")).distinct()
+    return flow.where("traces or strong").select("article_id", "field").unionByName(repairs(flow).where("alike").select("article_id", "field")).distinct()
 
 
 _PLAIN = {"ɑ": "a", "0": "o", "1": "l", ";": "i"}
@@ -204,8 +239,11 @@ def _apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def repaired(papers: DataFrame) -> DataFrame:
-    """(article_id, field, text): the scanned titles and abstracts in continuous paragraphs, without headers and page numbers, misread words repaired."""
+    """(article_id, field, text): the scanned titles and abstracts in continuous paragraphs, without headers and page numbers, misread words repaired.
+
+    In these, words are also repaired whose reading is not among the listed confusions.
+    """
     flow = cut(flows(papers))
-    pairs = repairs(flow).groupBy("article_id", "field").agg(F.collect_list(F.struct("word", "better")).alias("pairs"))
-    rows = flow.join(pairs, ["article_id", "field"], "left").where("traces or strong or pairs is not null")
+    pairs = repairs(flow).groupBy("article_id", "field").agg(F.collect_list(F.struct("word", "better")).alias("pairs"), F.bool_or("alike").alias("alike"))
+    rows = flow.join(pairs, ["article_id", "field"], "left").where("traces or strong or alike")
     return rows.select("article_id", "field", "text", "pairs").mapInPandas(_apply, "article_id bigint, field string, text string")

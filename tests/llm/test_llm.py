@@ -169,6 +169,21 @@ def test_misread_words(spark):
     assert "were measured" in fixed[100]
 
 
+def test_deletion_index_finds_readings_that_no_list_has(spark):
+    assert scans.cost("virus", "vims") > scans.cost("modern", "modem") and scans.cost("were", "wcre") == 1.0
+    assert scans.deletions("abc", 2) == {"abc", "ab", "ac", "bc", "a", "b", "c"}
+    words = spark.createDataFrame([("population", 900, True), ("popuiation", 1, True), ("virus", 500, True), ("virs", 2, True), ("xylo", 1, True)], "word string, n long, lower boolean")
+    got = {(r["word"], r["better"], r["alike"]) for r in scans.candidates(words).collect()}
+    assert got == {("popuiation", "population", False), ("virs", "virus", False)}
+
+
+def test_without_the_index_misread_words_are_lost(spark, monkeypatch):
+    data = [(i, None, "the force of infection were measured in every town", None) for i in range(40)] + [(100, None, "the force of infection wcre measured in every town", None)]
+    assert rows(scans.scanned(papers(spark, *data))) == [(100, "abstract")]
+    monkeypatch.setattr(scans, "candidates", lambda words: words.limit(0).selectExpr("word", "n", "word better", "n m", "0d cost", "true alike"))
+    assert rows(scans.scanned(papers(spark, *data))) == []
+
+
 # p7
 
 
