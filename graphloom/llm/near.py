@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,18 @@ from graphloom.common import cut
 from graphloom.llm.spans import _mix
 
 SHINGLE, THRESHOLD = 5, 0.7
-BANDS, ROWS = 64, 6  # a pair at the threshold is missed with (1 - 0.7**6)**64 = 0.03 %
-_SEEDS = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+MISS, BANDS = 1e-5, 96  # a pair at the threshold is missed with this probability at most; bands of a text at most
+
+
+def banding(threshold: float, miss: float = MISS, most: int = BANDS) -> tuple[int, int]:
+    """(bands, rows): the most rows a band for which no more than `most` bands miss a pair at the threshold with the probability `miss`."""
+    if threshold >= 1:
+        return 1, 32
+    need = lambda rows: math.ceil(math.log(miss) / math.log1p(-(threshold**rows)))
+    rows = 1
+    while need(rows + 1) <= most and rows < 32:
+        rows += 1
+    return need(rows), rows
 
 
 def shingles(text: str, width: int = SHINGLE) -> np.ndarray:
@@ -30,36 +41,41 @@ def shingles(text: str, width: int = SHINGLE) -> np.ndarray:
     return np.unique(h)
 
 
-def bands(s: np.ndarray) -> np.ndarray:
-    """Composite tokens: each joins the least members of the set under ROWS random orders."""
-    least = np.empty(len(_SEEDS), np.uint64)
-    for i in range(0, len(_SEEDS), 32):
-        # an odd multiplier and a shift are an order good enough once the members are mixed
-        x = s[None, :] ^ _SEEDS[i : i + 32, None]
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        least[i : i + 32] = x.min(axis=1)
-    h = np.zeros(BANDS, np.uint64)
-    for i in range(ROWS):
-        h = _mix(h * np.uint64(0x100000001B3) + least.reshape(BANDS, ROWS)[:, i])
-    return _mix(h + np.arange(BANDS, dtype=np.uint64))
+def bands(s: np.ndarray, n: int, rows: int) -> np.ndarray:
+    """MinHash bands: each joins the least members of the set under so many random orders."""
+    k = np.arange(1, n * rows + 1, dtype=np.uint64)
+    times = (_mix(k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    # the members are mixed well, so an odd factor gives an order; half of the orders come from each half of the members
+    halves = (s & np.uint64(0xFFFFFFFF)).astype(np.uint32), (s >> np.uint64(32)).astype(np.uint32)
+    least = np.empty(n * rows, np.uint64)
+    for i in range(0, n * rows, 64):
+        j = min(i + 64, n * rows)
+        least[i:j] = (halves[i // 64 % 2][None, :] * times[i:j, None]).min(axis=1)
+    h = np.zeros(n, np.uint64)
+    for i in range(rows):
+        h = _mix(h * np.uint64(0x100000001B3) + least.reshape(n, rows)[:, i] + np.uint64(1))
+    return _mix(h + np.arange(n, dtype=np.uint64))
+
 
+def _tokens(n: int, rows: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in range(0, len(pdf), 500):
+                part = pdf.iloc[k : k + 500]
+                sets = [shingles(t) for t in part["text"]]
+                some = [i for i, s in enumerate(sets) if len(s)]
+                if some:
+                    tokens = np.concatenate([bands(sets[i], n, rows) for i in some]).view(np.int64)
+                    yield pd.DataFrame({"grp": part["grp"].to_numpy()[some].repeat(n), "size": np.repeat([len(sets[i]) for i in some], n), "token": tokens})
 
-def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return run
+
+
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for k in range(0, len(pdf), 500):
             part = pdf.iloc[k : k + 500]
-            sets = [shingles(t) for t in part["text"]]
-            some = [i for i, s in enumerate(sets) if len(s)]
-            if some:
-                yield pd.DataFrame(
-                    {
-                        "grp": part["grp"].to_numpy()[some].repeat(BANDS),
-                        "size": np.repeat([len(sets[i]) for i in some], BANDS),
-                        "token": np.concatenate([bands(sets[i]) for i in some]).view(np.int64),
-                    }
-                )
+            yield pd.DataFrame({"grp": part["grp"], "tokens": [shingles(t).view(np.int64) for t in part["text"]]})
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,7 +90,7 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sims = []
         for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"]):
             p, q = of(a, x), of(b, y)
-            common = len(np.intersect1d(p, q, assume_unique=True))
+            common = int((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).sum())
             sims.append(common / (len(p) + len(q) - common))
             if len(known) > 2000:
                 known.clear()
@@ -94,28 +110,59 @@ def groups_of_equals(records: DataFrame) -> DataFrame:
     return marks.join(named, ["mark", "n"]).select("id", "grp")
 
 
-def group_links(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def banded_candidates(records: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of records (id, text) that share a MinHash band; bands follow the threshold."""
+    tokens = records.select(F.col("id").alias("grp"), "text").mapInPandas(_tokens(*banding(threshold)), "grp bigint, size int, token bigint").repartition("token")
+    left = tokens.select(F.col("grp").alias("a"), F.col("size").alias("sa"), "token")  # both sides read one shuffle
+    right = tokens.select(F.col("grp").alias("b"), F.col("size").alias("sb"), "token")
+    fits = (F.col("a") < F.col("b")) & (F.least("sa", "sb") >= threshold * F.greatest("sa", "sb"))
+    return left.join(right, "token").where(fits).select("a", "b").distinct()
+
+
+def prefix_candidates(records: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of records (id, text) that the grouped prefix join cannot exclude; no pair of the threshold is missing.
+
+    Shingles are ordered by their number of texts, rarest first; two sets of the threshold share one of
+    their first n - ceil(threshold x n) + 1. Records with the same prefix and size are one group; groups that share a
+    token of their prefix and whose sizes fit are paired, and pairs of groups are expanded to their members.
+    """
+    sets = cut(records.select(F.col("id").alias("grp"), "text").mapInPandas(_sets, "grp bigint, tokens array<bigint>").where("size(tokens) > 0"))
+    each = sets.select("grp", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("df"))
+    ordered = each.join(often, "token").groupBy("grp", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))  # one text's own shingles
+    length = (F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1).cast("int")
+    prefixes = cut(ordered.select("grp", "size", F.transform(F.slice("t", F.lit(1), length), lambda x: x["token"]).alias("prefix")).withColumn("key", F.sha2(F.to_json("prefix"), 256)))
+    groups = prefixes.groupBy("key", "size").agg(F.min("grp").alias("g"), F.first("prefix").alias("prefix"))
+    tokens = cut(groups.select("g", "size", F.explode("prefix").alias("token")))
+    left = tokens.select(F.col("g").alias("ga"), F.col("size").alias("sa"), "token")
+    right = tokens.select(F.col("g").alias("gb"), F.col("size").alias("sb"), "token")
+    fits = (F.col("ga") <= F.col("gb")) & (F.least("sa", "sb") >= threshold * F.greatest("sa", "sb"))
+    pairs = left.join(right, "token").where(fits).select("ga", "gb").distinct()
+    members = prefixes.join(groups.select("key", "size", "g"), ["key", "size"]).select("g", "grp")
+    both = pairs.join(members.select(F.col("g").alias("ga"), F.col("grp").alias("x")), "ga").join(members.select(F.col("g").alias("gb"), F.col("grp").alias("y")), "gb").where("x <> y")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+CANDIDATES = {"bands": banded_candidates, "prefix": prefix_candidates}
+
+
+def group_links(records: DataFrame, threshold: float = THRESHOLD, method: str = "bands") -> DataFrame:
     """(a, b, similarity): pairs of different groups whose shingle sets reach the threshold.
 
-    records has id and text, one row for each group. Groups meet where they share a token of their
-    prefix; pairs whose sizes exclude the threshold are dropped, the others are verified exactly on
-    the whole texts. A prefix of the rarest shingles is not selective here (the alphabet of
-    five-character substrings stays small while the collection grows, so its pairs grow with the square),
-    therefore the prefix consists of composite tokens, each of ROWS shingles that are least under
-    random orders. Texts shorter than a shingle have no set and no links.
+    records has id and text, one row for each group. Candidates are those of equal MinHash bands, which miss
+    a pair at the threshold with a probability of MISS, or, by the method "prefix", those of the grouped
+    prefix join, which misses none. A prefix of the rarest shingles is not selective here (the alphabet of
+    five-character substrings stays small while the collection grows, so its pairs grow with the square). Candidates are
+    verified exactly on the whole texts. Texts shorter than a shingle have no set and no links.
     """
-    tokens = cut(records.select(F.col("id").alias("grp"), "text").mapInPandas(_tokens, "grp bigint, size int, token bigint"))
-    left = tokens.select(F.col("grp").alias("a"), F.col("size").alias("sa"), "token")
-    right = tokens.select(F.col("grp").alias("b"), F.col("size").alias("sb"), "token")
-    fits = (F.col("a") < F.col("b")) & (F.least("sa", "sb") >= threshold * F.greatest("sa", "sb"))
-    pairs = cut(left.join(right, "token").where(fits).select("a", "b").distinct())
+    pairs = cut(CANDIDATES[method](records, threshold))
     used = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     texts = records.join(used, "id", "left_semi").select("id", "text")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return both.sortWithinPartitions("b").mapInPandas(_verify, "a bigint, b bigint, similarity double").where(F.col("similarity") >= threshold)
 
 
-def near_duplicates(papers: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(papers: DataFrame, threshold: float = THRESHOLD, method: str = "bands") -> tuple[DataFrame, DataFrame]:
     """(membership id/grp, links a/b between groups) of papers with article_id, title and abstract.
 
     A null title is empty; rows with a null abstract or `**NONE**` or a null id take no part. Repeated rows
@@ -125,12 +172,12 @@ def near_duplicates(papers: DataFrame, threshold: float = THRESHOLD) -> tuple[Da
     records = rows.select(F.col("article_id").alias("id"), normal_text(F.col("title"), F.col("abstract")).alias("text")).where(F.char_length("text") >= SHINGLE)
     members = cut(groups_of_equals(records))
     firsts = records.join(members.where("id = grp"), "id", "left_semi")
-    return members, cut(group_links(firsts, threshold))
+    return members, cut(group_links(firsts, threshold, method))
 
 
-def near_pairs(papers: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_pairs(papers: DataFrame, threshold: float = THRESHOLD, method: str = "bands") -> DataFrame:
     """All pairs (article_a, article_b): links between groups expanded to their members, and the pairs within groups."""
-    members, links = near_duplicates(papers, threshold)
+    members, links = near_duplicates(papers, threshold, method)
     left = members.select(F.col("grp").alias("a"), F.col("id").alias("x"))
     right = members.select(F.col("grp").alias("b"), F.col("id").alias("y"))
     across = links.select("a", "b").join(left, "a").join(right, "b").select(F.least("x", "y").alias("article_a"), F.greatest("x", "y").alias("article_b"))

@@ -129,13 +129,13 @@ def test_hot_group_of_copies(spark):
 # p4
 
 
-def brute(texts):
+def brute(texts, threshold=0.7):
     sets = {i: {t[k : k + 5] for k in range(len(t) - 4)} for i, t in texts}
-    return sorted((a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b]))
+    return sorted((a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]))
 
 
-def test_near_pairs_like_brute_force(spark):
-    r = random.Random(1)
+def edited_papers(seed=1):
+    r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
     data = []
     for k in range(12):
@@ -146,9 +146,24 @@ def test_near_pairs_like_brute_force(spark):
                 text[r.randrange(60)] = word()
             data.append((k * 10 + v, None, " ".join(text), None))
     data.append((900, None, data[0][2], None))
-    data += [(901, None, None, None), (902, None, "**NONE**", None), (903, "ab", "", None)]
+    return data + [(901, None, None, None), (902, None, "**NONE**", None), (903, "ab", "", None)]
+
+
+@pytest.mark.parametrize("method", ["bands", "prefix"])
+def test_near_pairs_like_brute_force(spark, method):
+    data = edited_papers()
     want = brute([(i, f" {a}".strip()) for i, _, a, _ in data if a and a != "**NONE**"])
-    assert rows(near.near_pairs(papers(spark, *data))) == want
+    assert rows(near.near_pairs(papers(spark, *data), method=method)) == want
+    assert near.near_pairs(papers(spark, *data).limit(0), method=method).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.8, 0.9])
+def test_bands_follow_the_threshold(spark, threshold):
+    n, k = near.banding(threshold)
+    assert n <= near.BANDS and (1 - threshold**k) ** n <= near.MISS
+    data = edited_papers(2)
+    want = brute([(i, f" {a}".strip()) for i, _, a, _ in data if a and a != "**NONE**"], threshold)
+    assert rows(near.near_pairs(papers(spark, *data), threshold)) == want
 
 
 # p5
