@@ -57,22 +57,19 @@ HOT_GROUPS = 1000  # at most so many groups can each hold more than a 1/HOT_GROU
 
 
 def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int, confirm: Column | None = None) -> DataFrame:
-    """Inner join of rows with one-row-per-key groups that stands any skew of the keys.
+    """Inner join of rows with one-row-per-key groups that stands any skew of the keys; rows are computed once.
 
-    Groups with more than total / HOT_GROUPS rows are at most HOT_GROUPS, so they are broadcast;
-    their rows never meet in one shuffle partition. All others take a shuffle join.
-    `confirm` is an extra condition over the aliases r (rows) and g (groups).
+    `count` holds the rows of a group and `total` the rows of all. Groups with more than total / HOT_GROUPS rows are at
+    most HOT_GROUPS, so a list of them is broadcast; their rows are split by a hash of the row over parts of that
+    size, each with its own copy of the group. `confirm` is an extra condition over the aliases r (rows) and g (groups).
     """
     least = max(1000, total // HOT_GROUPS)
-    hot = groups.where(F.col(count) > least)
-    cold = groups.where(F.col(count) <= least)
-
-    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
-        on = functools.reduce(lambda a, b: a & b, [F.col(f"r.{k}") == F.col(f"g.{k}") for k in keys])
-        if confirm is not None:
-            on = on & confirm
-        keep = [F.col(f"r.{c}") for c in rows.columns] + [F.col(f"g.{c}") for c in groups.columns if c not in keys]
-        return left.alias("r").join(right.alias("g"), on).select(*keep)
-
-    rest = rows.join(F.broadcast(hot.select(*keys).distinct()), keys, "left_anti").select(*rows.columns)
-    return joined(rows, F.broadcast(hot)).unionByName(joined(rest, cold))
+    parts = F.when(F.col(count) > least, F.ceil(F.col(count) / least)).otherwise(1)
+    hot = groups.where(F.col(count) > least).groupBy(*keys).agg(F.max(parts).alias("_parts"))
+    salt = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.col("_parts"))).otherwise(0).cast("int")
+    left = rows.join(F.broadcast(hot), keys, "left").select(*rows.columns, salt.alias("_salt"))
+    # groups that share a key take the parts of the largest
+    right = groups.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), (F.coalesce("_parts", F.lit(1)) - 1).cast("int")))).drop("_parts")
+    on = functools.reduce(lambda a, b: a & b, [F.col(f"r.{k}") == F.col(f"g.{k}") for k in [*keys, "_salt"]])
+    keep = [F.col(f"r.{c}") for c in rows.columns] + [F.col(f"g.{c}") for c in groups.columns if c not in keys]
+    return left.alias("r").join(right.alias("g"), on if confirm is None else on & confirm).select(*keep)

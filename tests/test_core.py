@@ -52,7 +52,9 @@ def test_orphans_split_ranges_and_hot_keys(spark):
 def test_attach_groups_keeps_all_rows(spark):
     data = spark.range(5000).select("id", F.when(F.col("id") < 3000, F.lit(1)).otherwise(F.col("id")).alias("k"))
     groups = data.groupBy("k").agg(F.count("*").alias("n"))
-    assert attach_groups(data, groups, ["k"], "n", 5000).count() == 5000
+    got = attach_groups(data, groups, ["k"], "n", 5000)
+    assert got.count() == 5000 and got.where("n = if(id < 3000, 3000, 1)").count() >= 4999 and got.columns == ["id", "k", "n"]
+    assert attach_groups(data.limit(0), groups, ["k"], "n", 0).count() == 0
 
 
 def test_components(spark):
