@@ -77,7 +77,8 @@ def anchors(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(_rolling(around, width, np.maximum, 0) == hashes)
 
 
-def _scan(span: int):
+def _scan(span: int, whole: bool = True):
+    """The anchors of each text; whole: with their positions and the hashes of their surroundings."""
     gram, width = span // 2, span - span // 2 + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,10 +90,13 @@ def _scan(span: int):
                 h = Hashes(text, BASES[0])
                 w = h.windows(gram)
                 at = anchors(w, width)
+                if not whole:
+                    rows.append((w[at].view(np.int64),))
+                    continue
                 context = h.at(np.maximum(at - (span - gram), 0), np.minimum(at + span, h.n))
                 rows.append((doc, w[at].view(np.int64), at.astype(np.int32), context.view(np.int64)))
             if rows:
-                yield pd.DataFrame(rows, columns=["doc_id", "anchor", "pos", "context"])
+                yield pd.DataFrame(rows, columns=["doc_id", "anchor", "pos", "context"] if whole else ["anchor"])
 
     return run
 
@@ -140,14 +144,16 @@ def shared_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     marks = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("mark"), F.char_length("text").alias("n"))
     classes = marks.groupBy("mark", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     reps = classes.select(F.col("rep").alias("doc_id"), "copies", F.col("n").alias("size"))
+    # most anchors are single; only a count of them is shuffled, and texts are hashed twice rather than all anchors written
+    often = docs.select("doc_id", "text").mapInPandas(_scan(span, whole=False), "anchor array<bigint>").select(F.explode("anchor").alias("anchor"))
+    often = cut(often.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    n_spots = often.agg(F.sum("n")).first()[0] or 0
     spots = docs.mapInPandas(_scan(span), "doc_id bigint, anchor array<bigint>, pos array<int>, context array<bigint>")
-    spots = cut(spots)  # the texts are hashed once, and plans stay short
     spots = spots.select("doc_id", F.explode(F.arrays_zip("anchor", "pos", "context")).alias("s")).select("doc_id", "s.*")
-    often = spots.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")  # most anchors are single; only a count of them is shuffled
-    spots = cut(attach_groups(spots, often, ["anchor"], "n", total).drop("n").join(reps.select("doc_id", "size"), "doc_id"))
+    spots = cut(attach_groups(spots, often, ["anchor"], "n", n_spots).drop("n").join(reps.select("doc_id", "size"), "doc_id"))
     around = spots.groupBy("anchor", "context").agg(F.count("*").alias("m"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
     around = around.select("anchor", "context", "m", (F.col("a") != F.col("b")).alias("whole"))
-    spots = cut(attach_groups(spots.select("doc_id", "anchor", "context", "pos", "size"), around, ["anchor", "context"], "m", total))
+    spots = cut(attach_groups(spots.select("doc_id", "anchor", "context", "pos", "size"), around, ["anchor", "context"], "m", n_spots))
     lo, hi = F.greatest(F.col("pos") - (span - gram), F.lit(0)), F.least(F.col("pos") + span, F.col("size"))
     wholes = spots.where("whole").select("doc_id", lo.alias("lo"), hi.alias("hi"))
     # occurrences of the least and the greatest doc_id stand for each surroundings, so that one is in another document than any
@@ -159,7 +165,7 @@ def shared_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     keep = cut(keep)  # those without doc2 are not whole
     partial = keep.groupBy("anchor").agg(F.count("*").alias("k"), F.bool_or(F.col("doc2").isNull()).alias("open")).where("open and k > 1").select("anchor", "k")
     ends = F.array(at, F.struct(F.col("doc2").alias("doc_id"), F.col("pos2").alias("pos")))
-    edges = attach_groups(keep, partial, ["anchor"], "k", total).select(F.explode(ends).alias("o")).select("o.*").where("doc_id is not null")
+    edges = attach_groups(keep, partial, ["anchor"], "k", keep.count()).select(F.explode(ends).alias("o")).select("o.*").where("doc_id is not null")
     edges = edges.groupBy("doc_id").agg(F.collect_set("pos").alias("spots"))
     edges = cut(edges)
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
@@ -168,7 +174,9 @@ def shared_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     rows = cut(near.join(edges, "doc_id").mapInPandas(_windows(span), "doc_id bigint, start array<int>, h1 array<bigint>, h2 array<bigint>"))
     rows = rows.select("doc_id", F.explode(F.arrays_zip("start", "h1", "h2")).alias("s")).select("doc_id", "s.*")
     both = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("h1", "h2", "n")
-    parts = attach_groups(rows, both, ["h1", "h2"], "n", total).select("doc_id", F.col("start").alias("lo"), (F.col("start") + span).alias("hi"))
+    both = cut(both)
+    n_both = both.agg(F.sum("n")).first()[0] or 0
+    parts = attach_groups(rows, both, ["h1", "h2"], "n", n_both).select("doc_id", F.col("start").alias("lo"), (F.col("start") + span).alias("hi"))
     runs = wholes.unionByName(parts)
     copied = reps.where(f"copies > 1 and size >= {span}").select("doc_id", F.lit(0).cast("bigint").alias("lo"), F.col("size").cast("bigint").alias("hi"))
     found = merged(runs.unionByName(copied))
