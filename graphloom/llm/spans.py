@@ -39,15 +39,18 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
+_CODES = _mix(np.arange(1, 0x110001, dtype=np.uint64))
+
+
 class Hashes:
     """Hashes of all windows of a text, from sums over its prefixes."""
 
     def __init__(self, text: str, base: int):
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         self.n = len(codes)
         up, self.down = _powers(base, self.n + 1)
         self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(_mix(codes + np.uint64(1)) * up[:-1], out=self.sums[1:])
+        np.cumsum(_CODES[codes] * up[:-1], out=self.sums[1:])
 
     def windows(self, size: int) -> np.ndarray:
         return _mix((self.sums[size:] - self.sums[:-size]) * self.down[: self.n - size + 1])
@@ -77,8 +80,8 @@ def anchors(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(_rolling(around, width, np.maximum, 0) == hashes)
 
 
-def _scan(span: int, whole: bool = True):
-    """The anchors of each text; whole: with their positions and the hashes of their surroundings."""
+def _scan(span: int):
+    """The anchors of each text with their positions and the hashes of their surroundings."""
     gram, width = span // 2, span - span // 2 + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,13 +93,10 @@ def _scan(span: int, whole: bool = True):
                 h = Hashes(text, BASES[0])
                 w = h.windows(gram)
                 at = anchors(w, width)
-                if not whole:
-                    rows.append((w[at].view(np.int64),))
-                    continue
                 context = h.at(np.maximum(at - (span - gram), 0), np.minimum(at + span, h.n))
                 rows.append((doc, w[at].view(np.int64), at.astype(np.int32), context.view(np.int64)))
             if rows:
-                yield pd.DataFrame(rows, columns=["doc_id", "anchor", "pos", "context"] if whole else ["anchor"])
+                yield pd.DataFrame(rows, columns=["doc_id", "anchor", "pos", "context"])
 
     return run
 
@@ -144,11 +144,10 @@ def shared_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     marks = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("mark"), F.char_length("text").alias("n"))
     classes = marks.groupBy("mark", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     reps = classes.select(F.col("rep").alias("doc_id"), "copies", F.col("n").alias("size"))
-    # most anchors are single; only a count of them is shuffled, and texts are hashed twice rather than all anchors written
-    often = docs.select("doc_id", "text").mapInPandas(_scan(span, whole=False), "anchor array<bigint>").select(F.explode("anchor").alias("anchor"))
-    often = cut(often.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    spots = cut(docs.mapInPandas(_scan(span), "doc_id bigint, anchor array<bigint>, pos array<int>, context array<bigint>"))  # the texts are hashed once
+    often = spots.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    often = cut(often)  # most anchors are single; only a count of them is shuffled
     n_spots = often.agg(F.sum("n")).first()[0] or 0
-    spots = docs.mapInPandas(_scan(span), "doc_id bigint, anchor array<bigint>, pos array<int>, context array<bigint>")
     spots = spots.select("doc_id", F.explode(F.arrays_zip("anchor", "pos", "context")).alias("s")).select("doc_id", "s.*")
     spots = cut(attach_groups(spots, often, ["anchor"], "n", n_spots).drop("n").join(reps.select("doc_id", "size"), "doc_id"))
     around = spots.groupBy("anchor", "context").agg(F.count("*").alias("m"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
