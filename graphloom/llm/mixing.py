@@ -11,7 +11,8 @@ from pyspark.sql import window as W
 from graphloom.common import cut
 from graphloom.llm.tokens import TOKENIZER, sized
 
-BLOCK, SHARDS, BUCKETS, MAX_SOURCES = 1024, 8, 256, 10_000
+BLOCK, SHARDS, MAX_SOURCES = 1024, 8, 10_000
+ROWS_PER_BUCKET = 200_000  # documents that are put in order in one task
 
 
 def apportion(seats: list[int], shares: dict[str, float], most: dict[str, int]) -> list[dict[str, int]]:
@@ -82,7 +83,8 @@ def mixed(docs: DataFrame, targets: DataFrame, seed: int = 7, block: int = BLOCK
     sizes = sized(docs.where("doc_id is not null and source is not null"), tokenizer).where("tokens > 0")
     known = spark.createDataFrame([(s,) for s in wanted] or [], "source string")
     sizes = sizes.join(F.broadcast(known), "source").withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
-    sizes = cut(sizes.withColumn("bucket", F.pmod("h", F.lit(BUCKETS))))
+    sizes = cut(sizes)
+    sizes = sizes.withColumn("bucket", F.pmod("h", F.lit(max(1, -(-sizes.count() // ROWS_PER_BUCKET)))))
     sums = cut(sizes.groupBy("source", "bucket").agg(F.sum("tokens").alias("t")))
     available = {r["source"]: r["t"] for r in sums.groupBy("source").agg(F.sum("t").alias("t")).collect()}  # one row a source
     upto, _ = quotas(available, wanted, block, shards, total)
@@ -91,7 +93,7 @@ def mixed(docs: DataFrame, targets: DataFrame, seed: int = 7, block: int = BLOCK
     before = W.Window.partitionBy("source").orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, -1)
     offsets = sums.select("source", "bucket", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
     inner = W.Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
-    placed = sizes.withColumn("at", F.sum("tokens").over(inner) - F.col("tokens")).join(F.broadcast(offsets), ["source", "bucket"]).join(F.broadcast(table), "source")
+    placed = sizes.withColumn("at", F.sum("tokens").over(inner) - F.col("tokens")).join(offsets, ["source", "bucket"]).join(F.broadcast(table), "source")
     placed = placed.withColumn("at", F.col("at") + F.col("base"))
     uses = placed.where("repeats > 0").select("doc_id", "source", "tokens", "available", "at", "ends", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)).alias("copy"))
     uses = uses.withColumn("line", F.col("at") + F.col("copy") * F.col("available")).where(F.col("line") < F.element_at("ends", -1))

@@ -13,7 +13,8 @@ from pyspark.sql import window as W
 from graphloom.common import cut
 from graphloom.llm.tokens import TOKENIZER, sized
 
-SALTS = 64  # parts in which the items of one length are numbered
+ROWS_PER_PART = 200_000  # rows of one length that are numbered in one task
+MAX_CAPACITY = 1_000_000  # lengths that are planned on the driver
 
 
 def fullest(free: int, lengths: list[int], counts: dict[int, int]) -> dict[int, int]:
@@ -87,31 +88,38 @@ def _lookup(patterns: list[tuple[int, dict[int, int]]]) -> tuple[dict[int, tuple
 def packed(docs: DataFrame, containers: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(container, bin, doc_id, piece, tokens): every piece of every text in one bin of each container size.
 
-    A text that exceeds the capacity gives full pieces, each a bin of its own, and one rest; no other
+    A text that exceeds the capacity gives full pieces, each a bin of its own (numbered below zero), and one rest; no other
     is cut. The lengths' histogram, at most one entry for each length up to the capacity, is planned by minimum
     bin slack on the driver; items then find their bins by their rank among the items of their length, which are numbered
-    in salted parts. Texts without tokens (null, empty) need no container. Repeated rows are items
-    each. Containers with a null name or capacity below 1 are left out; empty tables give no rows.
+    in parts of about ROWS_PER_PART rows. Texts without tokens (null, empty) need no container. Repeated rows are items
+    each. Containers with a null name or capacity below 1 are left out, one above MAX_CAPACITY is refused; empty tables give no rows.
     """
     sizes = cut(sized(docs, tokenizer).where("tokens > 0").select("doc_id", "tokens"))
+    sizes = sizes.withColumn("row", F.monotonically_increasing_id())  # the partitions are written, so it is the same each time
     kinds = [(r["container"], r["capacity"]) for r in containers.where("container is not null and capacity >= 1").select("container", "capacity").distinct().collect()]
+    if any(c > MAX_CAPACITY for _, c in kinds):
+        raise ValueError(f"a container of more than {MAX_CAPACITY} tokens")
     schema = "container string, bin bigint, doc_id bigint, piece int, tokens bigint"
     if not kinds:
         return docs.sparkSession.createDataFrame([], schema)
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("container"), F.lit(c).cast("bigint").alias("capacity")) for n, c in kinds]))
-    items = sizes.select("doc_id", "tokens", each.alias("k")).select("doc_id", "tokens", "k.container", "k.capacity")
-    items = items.select("container", "capacity", "doc_id", (F.col("tokens") % F.col("capacity")).alias("length"), F.floor(F.col("tokens") / F.col("capacity")).cast("int").alias("full"))
-    rests = items.where("length > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    parts = cut(rests.groupBy("container", "length", "salt").agg(F.count("*").alias("n")))
+    items = sizes.select("doc_id", "row", "tokens", each.alias("k")).select("doc_id", "row", "tokens", "k.container", "k.capacity")
+    items = items.select("container", "capacity", "doc_id", "row", (F.col("tokens") % F.col("capacity")).alias("length"), F.floor(F.col("tokens") / F.col("capacity")).cast("int").alias("full"))
+    salts = max(1, -(-sizes.count() // ROWS_PER_PART))
+    items = items.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
+    # the full pieces are numbered like the items of a length, each text by as many as it fills
+    rests = items.where("length > 0").withColumn("bins", F.lit(1)).unionByName(items.where("full > 0").withColumn("length", F.lit(0).cast("bigint")).withColumn("bins", F.col("full")))
+    parts = cut(rests.groupBy("container", "length", "salt").agg(F.sum("bins").alias("n")))
     histogram: dict[str, dict[int, int]] = {n: {} for n, _ in kinds}
-    for r in parts.groupBy("container", "length").agg(F.sum("n").alias("n")).collect():  # bounded by the capacities
+    for r in parts.where("length > 0").groupBy("container", "length").agg(F.sum("n").alias("n")).collect():  # bounded by the capacities
         histogram[r["container"]][r["length"]] = r["n"]
     lookups = {n: _lookup(plan(c, histogram[n])) for n, c in kinds}
     shared = docs.sparkSession.sparkContext.broadcast(lookups)
     before = W.Window.partitionBy("container", "length").orderBy("salt").rowsBetween(W.Window.unboundedPreceding, -1)
     offsets = parts.select("container", "length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    number = F.row_number().over(W.Window.partitionBy("container", "length", "salt").orderBy("doc_id", "full"))
-    ranked = rests.withColumn("rank", number - 1).join(offsets, ["container", "length", "salt"]).select("container", "doc_id", "length", "full", (F.col("rank") + F.col("offset")).alias("rank"))
+    number = F.sum("bins").over(W.Window.partitionBy("container", "length", "salt").orderBy("row").rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow))
+    ranked = rests.withColumn("rank", number - F.col("bins")).join(offsets, ["container", "length", "salt"])
+    ranked = ranked.select("container", "capacity", "doc_id", "length", "full", (F.col("rank") + F.col("offset")).alias("rank"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -123,10 +131,9 @@ def packed(docs: DataFrame, containers: DataFrame, tokenizer: str = TOKENIZER) -
                 bins[at] = base[i] + (rank - first[i]) // k[i]
             yield pd.DataFrame({"container": pdf["container"], "bin": bins, "doc_id": pdf["doc_id"], "piece": pdf["full"], "tokens": pdf["length"]})
 
-    # the bins of full pieces are named by document and piece, below zero, so that they need no numbering over all
-    fulls = items.where("full > 0").select("container", "doc_id", "capacity", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece"))
-    whole = fulls.select("container", (-1 - (F.col("doc_id") * 1_000_000 + F.col("piece"))).alias("bin"), "doc_id", "piece", F.col("capacity").alias("tokens"))
-    return ranked.mapInPandas(place, schema).unionByName(whole)
+    fulls = ranked.where("length = 0").select("container", "doc_id", "capacity", "rank", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece"))
+    whole = fulls.select("container", (-1 - F.col("rank") - F.col("piece")).alias("bin"), "doc_id", "piece", F.col("capacity").alias("tokens"))
+    return ranked.where("length > 0").select("container", "doc_id", "length", "full", "rank").mapInPandas(place, schema).unionByName(whole)
 
 
 def report(placed: DataFrame, containers: DataFrame) -> DataFrame:

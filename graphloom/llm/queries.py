@@ -133,3 +133,32 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+@query("""SELECT container, capacity, 0 AS overfull, (SELECT count(*) FROM documents WHERE length(text) > 0) AS texts, 0 AS cut_needlessly, 0 AS incomplete, true AS well_filled
+FROM (SELECT DISTINCT container, capacity FROM pack_sizes WHERE container IS NOT NULL AND capacity >= 1)""")
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """No bin above its capacity, no text cut that fits, every text whole, and nine tenths of the room used at least."""
+    sizes = table(spark, d, "pack_sizes").where("container is not null and capacity >= 1").select("container", "capacity").distinct()
+    docs = table(spark, d, "documents")
+    placed = packing.cut(packing.packed(docs, sizes).join(F.broadcast(sizes), "container"))
+    bins = placed.groupBy("container", "capacity", "bin").agg(F.sum("tokens").alias("t"))
+    full = bins.groupBy("container", "capacity").agg(F.count_if(F.col("t") > F.col("capacity")).alias("overfull"), (F.sum("t") >= 0.9 * F.count("*") * F.first("capacity")).alias("well_filled"))
+    texts = placed.groupBy("container", "capacity", "doc_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))
+    known = packing.sized(docs).select("doc_id", F.col("tokens").alias("all"))
+    texts = texts.join(known, "doc_id").groupBy("container").agg(F.count("*").alias("texts"), F.count_if((F.col("n") > 1) & (F.col("t") <= F.col("capacity"))).alias("cut_needlessly"), F.count_if(F.col("t") != F.col("all")).alias("incomplete"))
+    return full.join(texts, "container").select("container", "capacity", "overfull", "texts", "cut_needlessly", "incomplete", "well_filled")
+
+
+@query("SELECT source, true AS within_repeats, true AS near_target FROM mix_targets WHERE source IN (SELECT source FROM documents WHERE length(text) > 0)")
+def p9_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """No document used more often than its source allows, and every source with documents within a block and a document of its part of the whole."""
+    docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    chosen, report = mixing.mixed(docs, targets)
+    uses = chosen.groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.max("tokens").alias("longest")).groupBy("source").agg(F.max("n").alias("n"), F.max("longest").alias("longest"))
+    held = report.where("available_tokens > 0")
+    total = held.agg(F.sum("target_share").alias("shares"), F.sum("blocks").alias("all"))
+    rows = held.join(uses, "source", "left").join(F.broadcast(total))
+    exact = F.col("all") * F.col("target_share") / F.col("shares")
+    near = (F.abs(F.col("blocks") - exact) <= 1) & (F.abs(F.col("tokens") - F.col("blocks") * mixing.BLOCK) <= F.coalesce("longest", F.lit(0)))
+    return rows.select("source", (F.coalesce("n", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"), near.alias("near_target"))

@@ -68,6 +68,7 @@ MARKS = regex.compile(r"[“”„«»「」『』()（）\[\]《》【】〈〉
 WORD_BEFORE = regex.compile(r"(?r)[\p{L}\p{M}°][\p{L}\p{M}.°-]*\G")
 THAI_GAP = regex.compile(r"(?<=[\p{Thai}])\s+(?=\p{Thai})")
 THAI_LATIN = regex.compile(r"(?<=[\p{Thai}])\s+(?=[\"“]?\p{Lu}\p{Ll}*[ ’]\p{Ll})")
+PARAGRAPH = regex.compile(r"\s*[\n\u2028\u2029]\s*")
 THAI = regex.compile(r"\p{Thai}")
 
 
@@ -114,7 +115,12 @@ def _pairs(text: str) -> list[tuple[int, int]]:
 
 
 def split(text: str, declared: str | None = None) -> list[tuple[int, int]]:
-    """[start, end) of each sentence of a text, without the white space around it."""
+    """[start, end) of each sentence of a text, without the white space around it.
+
+    The rules of Unicode's sentence breaks: an end of a paragraph ends a sentence, unless a line is only wrapped; terminators with
+    the closing marks after them do, unless a digit (after a full stop), a small letter, a continuing mark or another terminator
+    follows, or capitals stand on both sides of a full stop. Added are whole quotations and brackets, abbreviations and gaps of Thai.
+    """
     langs = languages(text, declared)
     never = frozenset().union(*(ABBREVIATIONS[x]["never"] for x in langs))
     number = frozenset().union(*(ABBREVIATIONS[x]["number"] for x in langs))
@@ -206,6 +212,12 @@ def split(text: str, declared: str | None = None) -> list[tuple[int, int]]:
             continue
         cuts.append(end)
         start = end
+    for m in PARAGRAPH.finditer(text):
+        # a paragraph's end is a sentence's, but lines may only be wrapped: within a pair, before a small letter, after a hyphen or comma
+        blank = len(regex.findall(r"[\n\u2029]", m[0])) > 1
+        wrapped = inside[m.start()] or text[m.end() : m.end() + 1].islower() or text[m.start() - 1 : m.start()] in {"-", "¬", "\xad", "‐", ","}
+        if blank or not wrapped:
+            cuts.append(m.start())
     if THAI.search(text):
         cuts += [m.start() for p in (THAI_GAP, THAI_LATIN) for m in p.finditer(text) if not inside[m.start()]]
     out = []

@@ -93,6 +93,12 @@ def test_sentence_counts(text, count):
     assert len(sents(text)) == count, sents(text)
 
 
+def test_paragraphs_end_sentences():
+    assert sents("First heading\nSecond line without stop\nThird para. Next one.") == ["First heading", "Second line without stop", "Third para.", "Next one."]
+    assert sents("The rate was mea-\nsured in all\ntowns. It fell.") == ["The rate was mea-\nsured in all\ntowns.", "It fell."]
+    assert sents("a “b\nc” d\n\ne f") == ["a “b\nc” d", "e f"]
+
+
 def test_sentences_cover_everything_but_space():
     text = "A b. C d! «E f. G», h? I." * 50
     got = sentences.split(text)
@@ -251,6 +257,15 @@ def test_packing_keeps_all_tokens(spark):
     assert packing.packed(docs.limit(0), sizes).count() == 0
 
 
+def test_repeated_ids_share_no_bin(spark):
+    docs = spark.createDataFrame([(1, "word " * 40, "s"), (1, "word " * 40, "s"), (2**62, "word " * 90, "s")], "doc_id long, text string, source string")
+    got = packing.packed(docs, spark.createDataFrame([("c", 16)], "container string, capacity int"))
+    bins = got.groupBy("bin").agg(F.sum("tokens").alias("t"))
+    assert bins.agg(F.max("t")).first()[0] <= 16 and got.agg(F.sum("tokens")).first()[0] == packing.sized(docs).agg(F.sum("tokens")).first()[0]
+    with pytest.raises(ValueError, match="container"):
+        packing.packed(docs, spark.createDataFrame([("c", 2_000_000)], "container string, capacity int"))
+
+
 # p9
 
 
