@@ -7,6 +7,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 
 def local_session(name: str = "graphloom", cores: str = "8", **conf: str) -> SparkSession:
@@ -56,6 +57,19 @@ def cut(df: DataFrame) -> DataFrame:
 HOT_GROUPS = 1000  # at most so many groups can each hold more than a 1/HOT_GROUPS part of the rows
 
 
+def numbered(df: DataFrame, order: list[str], name: str = "row") -> DataFrame:
+    """Rows with their number from 0 in the order of columns that tell all rows apart, without ordering all of them in one task.
+
+    Rows are sorted into ranges, written, and numbered within the ranges, whose sizes are summed first.
+    """
+    parts = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    inner = F.row_number().over(W.Window.partitionBy("_part").orderBy(*order))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = W.Window.orderBy("_part").rowsBetween(W.Window.unboundedPreceding, -1)
+    bases = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # one row a partition
+    return parts.withColumn("_k", inner).join(F.broadcast(bases), "_part").withColumn(name, F.col("_base") + F.col("_k") - 1).select(*df.columns, name)
+
+
 def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int, confirm: Column | None = None) -> DataFrame:
     """Inner join of rows with one-row-per-key groups that stands any skew of the keys; rows are computed once.
 
@@ -73,3 +87,20 @@ def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: st
     on = functools.reduce(lambda a, b: a & b, [F.col(f"r.{k}") == F.col(f"g.{k}") for k in [*keys, "_salt"]])
     keep = [F.col(f"r.{c}") for c in rows.columns] + [F.col(f"g.{c}") for c in groups.columns if c not in keys]
     return left.alias("r").join(right.alias("g"), on if confirm is None else on & confirm).select(*keep)
+
+
+def lookup(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """Left join of rows with one-row-per-key values that stands any skew of the key.
+
+    Keys with more than a HOT_GROUPS-th of the rows are at most HOT_GROUPS; their values are broadcast, and their rows take no
+    part in the shuffle join: they carry a null key there. A null key has no value.
+    """
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_total"))
+    hot = counts.join(F.broadcast(total)).where((F.col("_n") > 1000) & (F.col("_n") > F.col("_total") / HOT_GROUPS)).select(key)
+    new = [c for c in values.columns if c != key]
+    known = F.broadcast(values.join(F.broadcast(hot), key, "left_semi").select(key, F.struct(*new).alias("_hot")))
+    near = rows.join(known, key, "left").withColumn("_cold", F.when(F.col("_hot").isNull(), F.col(key)))
+    far = values.select(F.col(key).alias("_cold"), F.struct(*new).alias("_far"))
+    joined = near.join(far, "_cold", "left")
+    return joined.select(*rows.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_far.{c}")).alias(c) for c in new])

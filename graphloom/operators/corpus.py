@@ -96,17 +96,17 @@ def roots_and_terminals(rules: DataFrame) -> DataFrame:
     return left.join(right, "symbol", "left_anti").withColumn("kind", F.lit("root")).unionByName(right.join(left, "symbol", "left_anti").withColumn("kind", F.lit("terminal")))
 
 
-def closure(deps: DataFrame, starts: DataFrame, rounds: int = 100) -> DataFrame:
+def closure(deps: DataFrame, starts: DataFrame, rounds: int = 10_000) -> DataFrame:
     """(sent, token): tokens below the starting ones, level by level. deps has sent, gov, dep."""
     seen = cut(starts.select("sent", "token").distinct())
     edge = seen
     for _ in range(rounds):
         below = deps.select("sent", F.col("gov").alias("token"), "dep").join(edge, ["sent", "token"]).select("sent", F.col("dep").alias("token")).distinct()
         edge = cut(below.join(seen, ["sent", "token"], "left_anti"))
-        if not edge.limit(1).count():
-            break
+        if edge.isEmpty():
+            return seen
         seen = cut(seen.unionByName(edge))
-    return seen
+    raise RuntimeError("the tree is deeper than any sentence")
 
 
 def spans_within(inner: DataFrame, outer: DataFrame, width: int = 64) -> DataFrame:

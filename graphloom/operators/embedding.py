@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.columns import cosine, norm
 
+MAX_QUERIES = 100_000
+
 
 def mean_vectors(members: DataFrame, vectors: DataFrame, zeros: bool = False) -> DataFrame:
     """(phrase, vec): mean of the vectors of a phrase's tokens.
@@ -35,36 +39,32 @@ def standardised(vectors: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(stats), "i").select("vec_id", "i", F.when(F.col("s") == 0, F.lit(0.0)).otherwise((F.col("v") - F.col("m")) / F.col("s")).alias("z"))
 
 
-def best_match(queries: DataFrame, vectors: DataFrame, threshold: float, block: int = 4096) -> DataFrame:
-    """(vec_id, match, similarity): for each stated query the most similar other vector by cosine, -1 below the threshold.
+def best_match(queries: DataFrame, vectors: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+    """(vec_id, match, similarity): for each stated query the most similar other vector by cosine, the least id among equals, -1 below the threshold.
 
-    The queries are a stated set; they are split into blocks by hash and each block meets all vectors in
-    batches of matrix products. The best of each batch is kept and the bests are aggregated.
+    The queries are a stated set of MAX_QUERIES at most; they go to every task, where each batch of vectors meets them in
+    blocks of matrix products and leaves one best for each query. These are aggregated.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    q = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("blk"), F.struct("vec_id", "embedding").alias("q"))
-    packed = q.groupBy("blk").agg(F.collect_list("q").alias("qs"))  # at most about `block` queries each
-    spread = vectors.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"))
-    parts = spread.groupBy("blk", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part"))
-
-    def run(key: tuple, base: pd.DataFrame) -> pd.DataFrame:
-        qs = shared.value.get(key[0], ([], None))
-        if not len(qs[0]) or base.empty:
-            return pd.DataFrame({"vec_id": [], "match": [], "similarity": []})
-        m = np.stack(base["embedding"].to_numpy()).astype(float)
-        length = np.linalg.norm(m, axis=1)
-        sims = (qs[1] @ m.T) / np.maximum(np.outer(np.linalg.norm(qs[1], axis=1), length), 1e-300)
-        ids = base["vec_id"].to_numpy()
-        sims[np.equal.outer(qs[0], ids)] = -np.inf
-        at = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, 0]
-        return pd.DataFrame({"vec_id": qs[0], "match": ids[at], "similarity": sims[np.arange(len(at)), at]})
-
-    rows = {r["blk"]: r["qs"] for r in packed.collect()} if n <= 1_000_000 else None
-    if rows is None:
-        raise ValueError("the stated query set is too large to be sent to every task")
-    shared = queries.sparkSession.sparkContext.broadcast({b: (np.array([x["vec_id"] for x in v]), np.array([x["embedding"] for x in v], float)) for b, v in rows.items()})
-    found = parts.applyInPandas(run, "vec_id bigint, match bigint, similarity double").where("similarity > -2")
+    rows = queries.select("vec_id", "embedding").limit(MAX_QUERIES + 1).collect()
+    if len(rows) > MAX_QUERIES:
+        raise ValueError(f"state at most {MAX_QUERIES} queries at once")
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    shared = queries.sparkSession.sparkContext.broadcast((np.array([r["vec_id"] for r in rows], np.int64), unit(np.array([r["embedding"] for r in rows], float)) if rows else None))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, goals = shared.value
+        for pdf in batches:
+            if not len(ids) or pdf.empty:
+                continue
+            pdf = pdf.sort_values("vec_id")  # argmax takes the first among equals
+            base, m = pdf["vec_id"].to_numpy(), unit(np.stack(pdf["embedding"].to_numpy()).astype(float))
+            for a in range(0, len(ids), block):
+                sims = goals[a : a + block] @ m.T
+                sims[np.equal.outer(ids[a : a + block], base)] = -np.inf
+                at = sims.argmax(axis=1)
+                yield pd.DataFrame({"vec_id": ids[a : a + block], "match": base[at], "similarity": sims[np.arange(len(at)), at]})
+
+    found = vectors.select("vec_id", "embedding").mapInPandas(run, "vec_id bigint, match bigint, similarity double").where("similarity > -2")
     best = found.groupBy("vec_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("match").alias("m"))).alias("b"))
     return best.select("vec_id", F.when(-F.col("b.s") >= threshold, F.col("b.m")).otherwise(F.lit(-1)).alias("match"), (-F.col("b.s")).alias("similarity"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from graphloom.common import cut
+from graphloom.common import cut, lookup, numbered
 
 
 def undirected(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -70,30 +70,38 @@ def losses(changes: DataFrame, n: int) -> DataFrame:
     return changes.where("change is not null").orderBy("change", "node").limit(n)
 
 
-def key_triples(facts: DataFrame, changes: DataFrame, n: int) -> DataFrame:
-    """The n facts with the largest summed change of head and tail; a node without one adds 0."""
+def scored_triples(facts: DataFrame, changes: DataFrame) -> DataFrame:
+    """(head, tail, relation, score): the summed change of head and tail of each fact; a node without one adds 0."""
     c = changes.where("change is not null").select("node", "change")
-    h, t = c.select(F.col("node").alias("head"), F.col("change").alias("ch")), c.select(F.col("node").alias("tail"), F.col("change").alias("ct"))
-    scored = facts.join(h, "head", "left").join(t, "tail", "left").select("head", "tail", "relation", (F.coalesce("ch", F.lit(0.0)) + F.coalesce("ct", F.lit(0.0))).alias("score"))
+    both = lookup(facts, c.select(F.col("node").alias("head"), F.col("change").alias("ch")), "head")
+    both = lookup(both, c.select(F.col("node").alias("tail"), F.col("change").alias("ct")), "tail")
+    return both.select("head", "tail", "relation", (F.coalesce("ch", F.lit(0.0)) + F.coalesce("ct", F.lit(0.0))).alias("score"))
+
+
+def key_triples(facts: DataFrame, changes: DataFrame, n: int, digits: int = 5) -> DataFrame:
+    """The n facts with the largest score, rounded before they are ordered so that no last digit decides."""
+    scored = scored_triples(facts, changes).withColumn("score", F.round("score", digits))
     return scored.orderBy(F.desc("score"), "head", "tail", "relation").limit(n)
 
 
-def ndcg(scores: DataFrame, k: int) -> DataFrame:
-    """NDCG@k of (node, actual, predicted): gains 2^v - 1 of rank-normalised actual values, order by predicted over order by actual.
+def ranks(values: DataFrame, name: str) -> DataFrame:
+    """(node, name): the rank of (node, value) from 0 to 1, ties by node; 0 for a single node."""
+    n = values.agg(F.greatest(F.count("*") - 1, F.lit(1)).alias("n"))
+    return numbered(values.select("value", "node"), ["value", "node"]).join(F.broadcast(n)).select("node", (F.col("row") / F.col("n")).alias(name))
+
+
+def ndcg(actual: DataFrame, predicted: DataFrame, k: int = 100) -> DataFrame:
+    """(ndcg) of two tables (node, value): the gain 2^v - 1 of the predicted ranks of the k nodes with the greatest actual ranks, over that of their actual ranks.
 
-    The ranks are percent ranks over counts of values, so that no task orders all nodes; the top k are found by sort and limit.
+    Values are replaced by their ranks from 0 to 1 on each side; a node that one side lacks has 0 there. The k best are found by
+    sort and limit. Empty tables give 0.
     """
-    n = scores.count()
-    by_value = scores.groupBy("actual").agg(F.count("*").alias("c"))
-    below = W.Window.orderBy("actual").rowsBetween(W.Window.unboundedPreceding, -1)
-    ranks = by_value.select("actual", (F.coalesce(F.sum("c").over(below), F.lit(0)) / F.lit(max(1, n - 1))).alias("v"))
-    valued = scores.join(ranks, "actual")
-    total = []
-    for column in ("predicted", "actual"):
-        top = valued.orderBy(F.desc(column), "node").limit(k)
-        ranked = top.withColumn("rn", F.row_number().over(W.Window.orderBy(F.desc(column), "node")))
-        total.append(ranked.agg(F.sum((F.pow(F.lit(2.0), "v") - 1) / F.log2(F.col("rn") + 1)).alias(column)))
-    return total[0].join(F.broadcast(total[1])).select(F.when(F.col("actual") > 0, F.col("predicted") / F.col("actual")).otherwise(F.lit(0.0)).alias("ndcg"))
+    both = ranks(actual, "v").join(ranks(predicted, "p"), "node", "full_outer").fillna(0.0, ["v", "p"])
+    top = both.orderBy(F.desc("v"), F.desc("node")).limit(k)
+    placed = top.withColumn("rn", F.row_number().over(W.Window.orderBy(F.desc("v"), F.desc("node"))))  # k rows
+    gain = lambda c: F.sum((F.pow(F.lit(2.0), c) - 1) / F.log2(F.col("rn") + 1))
+    sums = placed.agg(gain("v").alias("ideal"), gain("p").alias("reached"))
+    return sums.select(F.when(F.col("ideal") > 0, F.col("reached") / F.col("ideal")).otherwise(F.lit(0.0)).alias("ndcg"))
 
 
 def without_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:

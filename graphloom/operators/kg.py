@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
+
+from graphloom.common import lookup, numbered
 
 
 def facts(triples: DataFrame) -> DataFrame:
@@ -26,14 +27,8 @@ def top_relations(triples: DataFrame, n: int) -> DataFrame:
 def dense_ids(names: DataFrame, column: str) -> DataFrame:
     """(name, id): ids from 0 over the sorted distinct names.
 
-    Names are sorted by range and numbered within ranges whose sizes are summed first, so no single task numbers all.
     """
-    sorted_names = names.where(F.col(column).isNotNull()).select(F.col(column).alias("name")).distinct().repartitionByRange("name").withColumn("part", F.spark_partition_id())
-    inner = F.row_number().over(W.Window.partitionBy("part").orderBy("name"))
-    sizes = sorted_names.groupBy("part").agg(F.count("*").alias("n"))
-    before = W.Window.orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
-    offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # one row a partition
-    return sorted_names.withColumn("k", inner).join(F.broadcast(offsets), "part").select("name", (F.col("base") + F.col("k") - 1).alias("id"))
+    return numbered(names.where(F.col(column).isNotNull()).select(F.col(column).alias("name")).distinct(), ["name"], "id")
 
 
 def type_constraints(triples: DataFrame) -> DataFrame:
@@ -53,7 +48,7 @@ def named(triples: DataFrame, entities: DataFrame, relations: DataFrame, missing
     r = relations.where("rel is not null").groupBy("id").agg(F.max("rel").alias("name"))
     out = facts(triples)
     for key, names in (("head", e), ("tail", e), ("relation", r)):
-        out = out.join(names.select(F.col("id").alias(key), F.col("name").alias(f"{key}_name")), key, "left")
+        out = lookup(out, names.select(F.col("id").alias(key), F.col("name").alias(f"{key}_name")), key)
     return out.select("head", "tail", "relation", *[F.coalesce(f"{k}_name", F.lit(missing)).alias(f"{k}_name") for k in ("head", "tail", "relation")])
 
 

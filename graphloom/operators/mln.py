@@ -33,13 +33,16 @@ def merge_candidates(table: DataFrame, least: int = 10) -> DataFrame:
     return pairs.groupBy(F.col("clust").alias("c1"), "c2").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
-def merge_scores(table: DataFrame, pairs: DataFrame, bonus: float = 5.0) -> DataFrame:
-    """(c1, c2, score): -delta of the totals plus delta + bonus for each shared argument."""
-    totals = table.groupBy("clust").agg(F.sum("n").alias("n"))
+def merge_scores(table: DataFrame, least: int = 10, bonus: float = 5.0) -> DataFrame:
+    """(c1, c2, shared, score) of the pairs with at least `least` shared arguments: -delta of the totals plus delta + bonus for each shared argument.
+
+    One join of the count table with itself gives both the number of shared arguments and their gain.
+    """
+    totals = table.groupBy("clust").agg(F.sum("n").alias("n"))  # one row a cluster
     t1, t2 = totals.select(F.col("clust").alias("c1"), F.col("n").alias("n1")), totals.select(F.col("clust").alias("c2"), F.col("n").alias("n2"))
     a, b = table.select(F.col("clust").alias("c1"), "argtype", "child", F.col("n").alias("x")), table.select(F.col("clust").alias("c2"), "argtype", "child", F.col("n").alias("y"))
-    shared = pairs.select("c1", "c2").join(a, "c1").join(b, ["c2", "argtype", "child"]).groupBy("c1", "c2").agg(F.sum(delta(F.col("x"), F.col("y")) + bonus).alias("gain"))
-    return shared.join(t1, "c1").join(t2, "c2").select("c1", "c2", (F.col("gain") - delta(F.col("n1"), F.col("n2"))).alias("score"))
+    both = a.join(b, ["argtype", "child"]).where("c1 < c2").groupBy("c1", "c2").agg(F.count("*").alias("shared"), F.sum(delta(F.col("x"), F.col("y")) + bonus).alias("gain"))
+    return both.where(F.col("shared") >= least).join(t1, "c1").join(t2, "c2").select("c1", "c2", "shared", (F.col("gain") - delta(F.col("n1"), F.col("n2"))).alias("score"))
 
 
 def induce(triples: DataFrame, rounds: int = 100_000, least: int = 10, active: float = 10.0) -> DataFrame:
@@ -53,7 +56,7 @@ def induce(triples: DataFrame, rounds: int = 100_000, least: int = 10, active: f
     label = cut(uses.select("clust").distinct().withColumn("merged", F.col("clust")))
     for _ in range(rounds):
         table = cut(counts(uses.join(label, "clust").select(F.col("merged").alias("clust"), "argtype", "child")))
-        scored = merge_scores(table, merge_candidates(table, least)).where(F.col("score") >= active)
+        scored = merge_scores(table, least).where(F.col("score") >= active)
         both = scored.select(F.col("c1").alias("a"), F.col("c2").alias("b"), "score").unionByName(scored.select(F.col("c2").alias("a"), F.col("c1").alias("b"), "score"))
         best = both.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("s"), "b")).alias("m")).select("a", F.col("m.b").alias("b"))
         mutual = cut(best.join(best.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.col("a") == F.col("y")) & (F.col("b") == F.col("x"))).where("a < b").select("a", "b"))

@@ -2,52 +2,67 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEYS_PER_RANGE = 100_000
-REFS_PER_TASK = 200_000
+from graphloom.common import HOT_GROUPS
+
+KEYS_PER_RANGE, MAX_RANGES = 100_000, 4096
 KINDS = np.array(["", "missing", "deleted", "late"], dtype=object)
 FAR_PAST, FAR_FUTURE = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+FOUND = "triple_id bigint, field string, kind string, loaded bigint, known boolean"
 
 
 def _micros(name: str):
     return F.unix_micros(F.col(name).cast("timestamp"))
 
 
-def _probe(parents: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
-    """Binary search of a batch of references in one range's sorted parent keys."""
-    p = parents.sort_values("id", kind="stable")
-    ids, added, deleted = (p[c].to_numpy(np.int64) for c in ("id", "added", "deleted"))
-    keys, loaded = refs["id"].to_numpy(np.int64), refs["loaded"].to_numpy(np.int64)
-    known = refs["known"].to_numpy(bool)
-    if len(ids):
-        at = np.minimum(np.searchsorted(ids, keys), len(ids) - 1)
-        here = ids[at] == keys
-        dead = here & known & (deleted[at] <= loaded)
-        late = here & known & ~dead & (added[at] > loaded)
-    else:
-        here = dead = late = np.zeros(len(keys), bool)
-    kind = np.where(~here, 1, np.where(dead, 2, np.where(late, 3, 0)))
-    out = refs[kind > 0]
-    return pd.DataFrame({"triple_id": out["triple_id"], "field": out["field"], "kind": KINDS[kind[kind > 0]], "loaded": out["loaded"], "known": out["known"]})
-
-
-def orphans(refs: DataFrame, parents: DataFrame, keys_per_range: int = KEYS_PER_RANGE, refs_per_task: int = REFS_PER_TASK) -> DataFrame:
+def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Binary search of batches of references in sorted parent keys; the keys of a range come just before its references."""
+    here: tuple = ()
+    ids = added = deleted = np.empty(0, np.int64)
+    for pdf in batches:
+        spots = pdf.groupby(["target", "range", "part"], sort=False).indices
+        for key in sorted(spots, key=lambda k: spots[k][0]):
+            part = pdf.iloc[spots[key]]
+            if key != here:
+                here = key
+                ids = added = deleted = np.empty(0, np.int64)
+            first = part.iloc[0]
+            if first["ids"] is not None:
+                ids, added, deleted = (np.asarray(first[c], np.int64) for c in ("ids", "added", "deleted"))
+                part = part.iloc[1:]
+            keys, loaded = part["id"].to_numpy(np.int64), part["loaded"].to_numpy(np.int64)
+            known = part["known"].to_numpy(bool)
+            if len(ids):
+                at = np.minimum(np.searchsorted(ids, keys), len(ids) - 1)
+                hit = ids[at] == keys
+                dead = hit & known & (deleted[at] <= loaded)
+                late = hit & known & ~dead & (added[at] > loaded)
+            else:
+                hit = dead = late = np.zeros(len(keys), bool)
+            kind = np.where(~hit, 1, np.where(dead, 2, np.where(late, 3, 0)))
+            out = part[kind > 0]
+            yield pd.DataFrame({"triple_id": out["triple_id"], "field": out["field"], "kind": KINDS[kind[kind > 0]], "loaded": out["loaded"], "known": out["known"]})
+
+
+def orphans(refs: DataFrame, parents: DataFrame, keys_per_range: int = KEYS_PER_RANGE) -> DataFrame:
     """Distinct references without a valid target: triple_id, field, kind, period.
 
     refs has triple_id, field, target, id, loaded_at; parents has target, id, added_at, deleted_at.
-    Both are cut into ranges of keys by quantiles of the parents' keys; a range that many references
-    hit is split over several tasks, each with its own copy of that range's sorted keys, so neither a
-    hot key nor a hot range fills a task. Null ids and -1 are no references. A null loaded_at can
+    Both are cut into ranges of keys by at most MAX_RANGES quantiles of the parents' keys, and these evenly into more where there are
+    more keys. A range's parents are one sorted array that goes ahead of its references; these stream past it in batches, so
+    no task holds more than one range and one batch. Ranges with more than a HOT_GROUPS-th of all references, which are at most that many, are split
+    over several tasks, each with its own copy of the array. Null ids and -1 are no references. A null loaded_at can
     only be `missing` and has a null period. A parent without added_at was known from the start,
     one without deleted_at was not deleted. Where a key stands twice among the parents, one of its rows
     that comes first in the order of added_at and deleted_at decides. Empty parents make every reference missing.
     """
-    spark = refs.sparkSession
     parents = (
         parents.where(F.col("id").isNotNull())
         .groupBy("target", "id")
@@ -56,23 +71,36 @@ def orphans(refs: DataFrame, parents: DataFrame, keys_per_range: int = KEYS_PER_
     )
     refs = refs.where("id is not null and id <> -1").select("triple_id", "field", "target", "id", F.coalesce(_micros("loaded_at"), F.lit(0)).alias("loaded"), F.col("loaded_at").isNotNull().alias("known"))
     n_keys = parents.count()
-    n_ranges = max(1, -(-n_keys // keys_per_range))
-    splits = parents.approxQuantile("id", [i / n_ranges for i in range(1, n_ranges)], 0.1 / n_ranges) if n_ranges > 1 else []
-    cutter = Bucketizer(splits=[-float("inf"), *sorted(set(splits)), float("inf")], inputCol="key", outputCol="range") if splits else None
+    n_ranges = min(MAX_RANGES, max(1, -(-n_keys // keys_per_range)))
+    finer = max(1, -(-n_keys // (n_ranges * keys_per_range)))
+    # the sketch of the quantiles is as large as the number of ranges asks for, whatever the data
+    splits = sorted(set(parents.approxQuantile("id", [i / n_ranges for i in range(1, n_ranges)], 0.1 / n_ranges))) if n_ranges > 1 else []
+    cutter = Bucketizer(splits=[-float("inf"), *splits, float("inf")], inputCol="key", outputCol="coarse") if splits else None
 
     def ranged(df: DataFrame) -> DataFrame:
         if cutter is None:
-            return df.withColumn("range", F.lit(0))
-        return cutter.transform(df.withColumn("key", F.col("id").cast("double"))).drop("key").withColumn("range", F.col("range").cast("int"))
+            return df.withColumn("range", F.lit(0).cast("bigint"))
+        at = cutter.transform(df.withColumn("key", F.col("id").cast("double"))).drop("key").withColumn("coarse", F.col("coarse").cast("int"))
+        if finer == 1:
+            return at.withColumn("range", F.col("coarse").cast("bigint")).drop("coarse")
+        bounds = F.array(*[F.lit(int(x)) for x in [2 * splits[0] - splits[-1], *splits, 2 * splits[-1] - splits[0]]])
+        lo, hi = F.get(bounds, F.col("coarse")), F.get(bounds, F.col("coarse") + 1)
+        within = F.floor(F.least(F.greatest((F.col("id") - lo) / F.greatest(hi - lo, F.lit(1)), F.lit(0.0)), F.lit(0.999999)) * finer)
+        return at.withColumn("range", F.col("coarse") * F.lit(finer).cast("bigint") + within).drop("coarse")
 
     refs, parents = ranged(refs), ranged(parents)
-    # one row per range and target: bounded by the number of ranges
-    sizes = refs.groupBy("target", "range").agg(F.count("*").alias("n")).select("target", "range", F.ceil(F.col("n") / refs_per_task).cast("int").alias("parts")).collect()
-    split = spark.createDataFrame([tuple(r) for r in sizes], "target string, range int, parts int") if sizes else spark.createDataFrame([], "target string, range int, parts int")
-    split = F.broadcast(split)
-    refs = refs.join(split, ["target", "range"]).withColumn("part", F.pmod(F.xxhash64("triple_id", "field"), F.col("parts")).cast("int")).drop("parts")
-    parents = parents.join(split, ["target", "range"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    found = parents.groupBy("target", "range", "part").cogroup(refs.groupBy("target", "range", "part")).applyInPandas(_probe, "triple_id bigint, field string, kind string, loaded bigint, known boolean")
+    sizes = refs.groupBy("target", "range").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n").alias("total"))
+    least = F.greatest(F.lit(200_000), F.col("total") / HOT_GROUPS)
+    hot = F.broadcast(sizes.join(F.broadcast(total)).where(F.col("n") > least).select("target", "range", F.ceil(F.col("n") / least).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    refs = refs.join(hot, ["target", "range"], "left").withColumn("part", F.pmod(F.xxhash64("triple_id", "field"), parts).cast("int")).drop("parts")
+    arrays = parents.groupBy("target", "range").agg(F.array_sort(F.collect_list(F.struct("id", "added", "deleted"))).alias("p"))  # about keys_per_range
+    arrays = arrays.join(hot, ["target", "range"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    arrays = arrays.select("target", "range", "part", F.lit(0).alias("turn"), *[F.col(f"p.{c}").alias(n) for c, n in (("id", "ids"), ("added", "added"), ("deleted", "deleted"))])
+    rows = arrays.unionByName(refs.withColumn("turn", F.lit(1)), allowMissingColumns=True).fillna({"id": 0, "loaded": 0, "known": False})
+    ordered = rows.repartition("target", "range", "part").sortWithinPartitions("target", "range", "part", "turn")
+    found = ordered.mapInPandas(_probe, FOUND)
     period = F.when(F.col("known"), F.date_format(F.timestamp_micros("loaded"), "yyyy-MM"))
     return found.select("triple_id", "field", "kind", period.alias("period")).distinct()
 

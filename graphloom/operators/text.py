@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +34,13 @@ def cooccurrence(docs: DataFrame, window: int = 10, least: int = 5) -> DataFrame
     The words after a position are sliced from the document's array, so no join of positions is needed.
     """
     often = vocabulary(docs, least).select("token")
-    w = docs.where("text is not null").select("doc_id", tokens(F.col("text")).alias("w"))
+    w = docs.where("text is not null").select(tokens(F.col("text")).alias("w"))
+    unit = math.lcm(*range(1, window + 1))  # sums of unit / distance are whole numbers, so their order does not matter
     pairs = w.select("w", F.posexplode("w").alias("i", "x")).select("x", F.posexplode(F.slice(F.col("w"), F.col("i") + 2, window)).alias("d", "y"))
-    sums = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("d") + 1).alias("d")).agg(F.count("*").alias("n"))
-    found = sums.groupBy("a", "b").agg(F.sum(F.col("n") / F.col("d")).alias("weight"))
-    return found.join(often.withColumnRenamed("token", "a"), "a", "left_semi").join(often.withColumnRenamed("token", "b"), "b", "left_semi")
+    share = F.element_at(F.array(*[F.lit(unit // d) for d in range(1, window + 1)]), F.col("d") + 1)
+    found = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum(share.cast("bigint")).alias("s"))
+    found = found.join(often.withColumnRenamed("token", "a"), "a", "left_semi").join(often.withColumnRenamed("token", "b"), "b", "left_semi")
+    return found.select("a", "b", (F.col("s") / unit).alias("weight"))
 
 
 def admissible_sentences(docs: DataFrame, least: float = 2.0) -> DataFrame:

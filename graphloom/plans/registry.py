@@ -184,15 +184,19 @@ def graph_top_losses(spark, d):
 
 @query(f"WITH {_CHANGE}, k AS (SELECT head, tail, relation, round(coalesce(a.change, 0) + coalesce(b.change, 0), 5) AS score FROM f LEFT JOIN g a ON a.node = head LEFT JOIN g b ON b.node = tail) SELECT * FROM k ORDER BY score DESC, head, tail, relation LIMIT 50")
 def graph_key_triples(spark, d):
-    rows = graph.key_triples(kg.facts(_triples(spark, d)), _changes(spark, d), 2**31 - 1).withColumn("score", F.round("score", 5))
-    return rows.orderBy(F.desc("score"), "head", "tail", "relation").limit(50)
+    return graph.key_triples(kg.facts(_triples(spark, d)), _changes(spark, d), 50)
 
 
-@query()
+@query(f"""WITH {_CHANGE}, a AS (SELECT node, row_number() OVER (ORDER BY new, node) r, count(*) OVER () n FROM g WHERE new IS NOT NULL),
+q AS (SELECT node, row_number() OVER (ORDER BY old, node) r, count(*) OVER () n FROM g WHERE old IS NOT NULL),
+b AS (SELECT node, coalesce((a.r - 1) / (a.n - 1), 0) v, coalesce((q.r - 1) / (q.n - 1), 0) w FROM a FULL JOIN q USING (node)),
+t AS (SELECT v, w, row_number() OVER (ORDER BY v DESC, node DESC) k FROM b)
+SELECT round(sum((2 ** w - 1) / log2(k + 1)) / sum((2 ** v - 1) / log2(k + 1)), 6) AS ndcg FROM t WHERE k <= 100""")
 def graph_ndcg(spark, d):
-    old, new = graph.degree_centrality(_early(spark, d)), graph.degree_centrality(_edges(spark, d))
-    both = old.select("node", F.col("centrality").alias("predicted")).join(new.select("node", F.col("centrality").alias("actual")), "node")
-    return graph.ndcg(cut(both), 100)
+    """Of the graph known half way as prediction of the whole one."""
+    c = cut(_changes(spark, d))
+    side = lambda name: c.where(F.col(name).isNotNull()).select("node", F.col(name).alias("value"))
+    return _rounded(graph.ndcg(side("new"), side("old"), 100), "ndcg")
 
 
 @query()
@@ -285,7 +289,7 @@ s AS (SELECT a.clust c1, b.clust c2, count(*) m, sum((a.n + b.n) * ln(a.n + b.n)
 SELECT c1, c2, round(g - ((x.n + y.n) * ln(x.n + y.n) - x.n * ln(x.n) - y.n * ln(y.n)), 4) AS score FROM s JOIN k x ON x.clust = c1 JOIN k y ON y.clust = c2""")
 def mln_merge_scores(spark, d):
     t = cut(mln.counts(mln.parts(_triples(spark, d))))
-    return mln.merge_scores(t, mln.merge_candidates(t)).withColumn("score", F.round("score", 4))
+    return mln.merge_scores(t).drop("shared").withColumn("score", F.round("score", 4))
 
 
 @query()

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def index_table(df: DataFrame, path: str) -> None:
-    """A tab-separated index whose first line is the number of rows, in one file as its readers expect."""
+def index_table(df: DataFrame, path: str, single: bool = False) -> None:
+    """A tab-separated index whose first line is the number of rows; in one file, written by one task, only where a reader needs that."""
     line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns])
     head = df.agg(F.count("*").cast("string").alias("value")).select(F.lit(0).alias("k"), "value")
     rows = head.unionByName(df.select(F.lit(1).alias("k"), line.alias("value")))
-    rows.coalesce(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)
+    (rows.coalesce(1) if single else rows).sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)
 
 
 def json_lines(df: DataFrame, path: str) -> None:

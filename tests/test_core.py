@@ -45,10 +45,18 @@ def test_orphans_by_kind(spark):
 def test_orphans_split_ranges_and_hot_keys(spark):
     parents = spark.range(0, 1000, 2).select(F.lit("t").alias("target"), "id", F.lit(None).cast("timestamp").alias("added_at"), F.lit(None).cast("timestamp").alias("deleted_at"))
     refs = spark.range(3000).select(F.col("id").alias("triple_id"), F.lit("head").alias("field"), F.lit("t").alias("target"), F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id") % 1000).alias("id"), F.lit("2020-01-01").cast("timestamp").alias("loaded_at"))
-    found = references.orphans(refs, parents, keys_per_range=50, refs_per_task=100)
+    found = references.orphans(refs, parents, keys_per_range=50)
     assert found.count() == refs.where("id % 2 = 1").count()
 
 
+def test_orphans_of_more_keys_than_ranges(spark, monkeypatch):
+    monkeypatch.setattr(references, "MAX_RANGES", 4)
+    when = F.lit(None).cast("timestamp")
+    parents = spark.range(1000).select(F.lit("t").alias("target"), (F.col("id") * F.col("id") * 2).alias("id"), when.alias("added_at"), when.alias("deleted_at"))
+    refs = spark.range(2000).select(F.col("id").alias("triple_id"), F.lit("head").alias("field"), F.lit("t").alias("target"), (F.floor(F.col("id") / 2) * F.floor(F.col("id") / 2) * 2 + F.col("id") % 2).alias("id"), F.lit("2020-01-01").cast("timestamp").alias("loaded_at"))
+    assert references.orphans(refs, parents, keys_per_range=20).where("triple_id % 2 = 1").count() == 1000 == references.orphans(refs, parents, keys_per_range=20).count()
+
+
 def test_attach_groups_keeps_all_rows(spark):
     data = spark.range(5000).select("id", F.when(F.col("id") < 3000, F.lit(1)).otherwise(F.col("id")).alias("k"))
     groups = data.groupBy("k").agg(F.count("*").alias("n"))
@@ -78,8 +86,13 @@ def test_compare_and_ndcg(spark):
     new = spark.createDataFrame([(1, 1.0), (3, 0.1)], "node long, centrality double")
     got = {r["node"]: r["change"] for r in graph.compare(old, new).collect()}
     assert math.isclose(got[1], 0.5 / 1.5) and got[2] is None and got[3] is None
-    both = spark.createDataFrame([(i, float(i), float(i)) for i in range(10)], "node long, actual double, predicted double")
-    assert math.isclose(graph.ndcg(both, 5).first()[0], 1.0)
+    v = spark.createDataFrame([(i, float(i)) for i in range(10)], "node long, value double")
+    assert math.isclose(graph.ndcg(v, v, 5).first()[0], 1.0)
+    # two nodes change places: gains 2^v - 1 of their predicted ranks, in the actual order
+    w = spark.createDataFrame([(1, 1.0), (2, 3.0), (3, 2.0)], "node long, value double")
+    x = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0)], "node long, value double")
+    half = (2**0.5 - 1) + 1 / math.log2(3)
+    assert math.isclose(graph.ndcg(x, w).first()[0], half / (1 + (2**0.5 - 1) / math.log2(3)))
 
 
 def test_kronecker_is_the_same_each_time(spark):
