@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.common import cut, table
+from graphloom.functions import cleaning
 from graphloom.functions import columns as C
 from graphloom.operators import components, corpus, embedding, graph, kg, linking, mln, references, text
 from graphloom.streaming import arrivals
@@ -412,5 +413,70 @@ def mln_printed(spark, d):
     return mln.printed(mln.counts(mln.parts(_triples(spark, d))))
 
 
+_PARA = cleaning.chain_sql("text", cleaning.PARAGRAPH)
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_PARA} t FROM documents)
+SELECT doc_id, CASE WHEN t <> '' AND substr(t, 1, 1) = upper(substr(t, 1, 1)) AND NOT starts_with(lower(t), 'click') THEN CASE WHEN ends_with(t, ':') THEN substr(t, 1, length(t) - 1) || '.' ELSE t END END AS text FROM t""")
+def clean_paragraphs(spark, d):
+    return _docs(spark, d).select("doc_id", cleaning.paragraph(F.col("text")).alias("text"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, {cleaning.chain_sql("text", cleaning.ARTICLE)} t FROM documents), u AS (SELECT doc_id, t, strpos(t, 'This work was supported') a FROM t)
+SELECT doc_id, CASE WHEN a - 1 > length(t) / 2 THEN substr(t, 1, a - 1) || regexp_replace(substr(t, a), 'This work was supported.+', ' ', 'g') ELSE t END AS text FROM u""")
+def clean_articles(spark, d):
+    return _docs(spark, d).select("doc_id", cleaning.sponsors(cleaning.chain(F.col("text"), cleaning.ARTICLE)).alias("text"))
+
+
+@query(f"""WITH t AS (SELECT article_id, {cleaning.chain_sql("title", cleaning.QUERY)} t FROM clean_text WHERE title IS NOT NULL),
+u AS (SELECT article_id, t, list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '') w FROM t),
+v AS (SELECT article_id, CASE WHEN ends_with(t, '?') THEN t ELSE t || '?' END q FROM u WHERE t <> '' AND list_sum(list_transform(w, lambda x: length(x))) / len(w) >= 2)
+SELECT article_id, upper(substr(q, 1, 1)) || substr(q, 2) AS question FROM v""")
+def clean_queries(spark, d):
+    """Titles as questions."""
+    rows = table(spark, d, "clean_text").where("title is not null").select("article_id", cleaning.query(F.col("title")).alias("question"))
+    return rows.where("question is not null")
+
+
+@query(f"SELECT article_id, {cleaning.chain_sql('title', cleaning.QUESTION)} AS question FROM clean_text WHERE title IS NOT NULL")
+def clean_questions(spark, d):
+    """The replacements of the question cleaner; the part of known words is `corpus_in_vocabulary`."""
+    return table(spark, d, "clean_text").where("title is not null").select("article_id", cleaning.chain(F.col("title"), cleaning.QUESTION).alias("question"))
+
+
+@query(f"SELECT article_id, {cleaning.chain_sql('abstract', cleaning.ABSTRACT)} AS abstract, {cleaning.chain_sql('text', cleaning.DOCUMENT)} AS text FROM clean_text")
+def clean_abstracts_and_bodies(spark, d):
+    return table(spark, d, "clean_text").select("article_id", cleaning.chain(F.col("abstract"), cleaning.ABSTRACT).alias("abstract"), cleaning.chain(F.col("text"), cleaning.DOCUMENT).alias("text"))
+
+
+@query(f"SELECT id, {cleaning.chain_sql('ent', cleaning.TRIPLE)} AS ent FROM entity2id WHERE ent IS NOT NULL")
+def clean_entities(spark, d):
+    return table(spark, d, "entity2id").where("ent is not null").select("id", cleaning.chain(F.col("ent"), cleaning.TRIPLE).alias("ent"))
+
+
+@query(f"WITH {_WORDS} SELECT doc_id, {cleaning.chain_sql('text', cleaning.DETOKENISE)} AS text FROM (SELECT doc_id, array_to_string(w, ' ') AS text FROM w)")
+def clean_detokenised(spark, d):
+    return _docs(spark, d).where("text is not null").select("doc_id", cleaning.chain(F.array_join(C.tokens(F.col("text")), " "), cleaning.DETOKENISE).alias("text"))
+
+
+@query("""SELECT article_id, list_reduce(list_prepend(text, list_filter(coalesce(authors, []), lambda a: a IS NOT NULL AND a <> '')), lambda t, a: replace(t, a, '')) AS text
+FROM clean_text WHERE text IS NOT NULL""")
+def clean_without_authors(spark, d):
+    """Bodies without the names of the authors, as the TEI cleaner takes references, formulas and names away."""
+    return table(spark, d, "clean_text").where("text is not null").select("article_id", cleaning.without(F.col("text"), F.col("authors")).alias("text"))
+
+
+@query("""SELECT triple_id, CASE triple_id % 3 WHEN 0 THEN 'What does ' || tail || ' ' || relation || '?' WHEN 1 THEN 'What ' || relation || 's ' || tail || '?' ELSE relation || ' ::: prep ::: ' || tail END AS question,
+head || ':' || relation || ':' || CASE WHEN triple_id % 2000 < 1000 THEN lpad((triple_id % 2000)::varchar, 3, '0') ELSE (triple_id % 2000)::varchar END AS node, relation AS sentence, (triple_id % 2000)::int AS token
+FROM (SELECT DISTINCT triple_id, head, tail, relation FROM train2id WHERE head IS NOT NULL AND tail IS NOT NULL AND relation BETWEEN 0 AND 1000000)""")
+def kg_question_templates(spark, d):
+    """Questions and node ids of the triples; relations by their id."""
+    t = _triples(spark, d).where("head is not null and tail is not null and relation between 0 and 1000000").select("triple_id", "head", "tail", "relation").distinct()
+    dep = F.when(F.col("triple_id") % 3 == 0, "nsubj").when(F.col("triple_id") % 3 == 1, "dobj").otherwise("prep")
+    rows = t.select("triple_id", cleaning.template(dep, F.col("relation").cast("string"), F.col("tail").cast("string")).alias("question"), cleaning.node_id(F.col("head"), F.col("relation"), F.col("triple_id") % 2000).alias("node"))
+    parts = rows.withColumn("p", cleaning.node_parts(F.col("node")))
+    return parts.select("triple_id", "question", "node", F.col("p.sentence").cast("bigint").alias("sentence"), F.col("p.token").alias("token"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return graph_key_triples(spark, d)
