@@ -56,6 +56,17 @@ def eigenvector_centrality(edges: DataFrame, tol: float = 1e-6, rounds: int = 10
             tol *= 10
 
 
+def sizes(edges: DataFrame) -> DataFrame:
+    """(nodes, edges) of simple undirected edges."""
+    nodes = degrees(edges).agg(F.count("*").alias("nodes"))
+    return nodes.join(F.broadcast(edges.agg(F.count("*").alias("edges"))))
+
+
+def most_central(centrality: DataFrame, n: int) -> DataFrame:
+    """The n nodes of the greatest centrality, ties by node."""
+    return centrality.orderBy(F.desc("centrality"), "node").limit(n)
+
+
 def compare(old: DataFrame, new: DataFrame) -> DataFrame:
     """(node, old, new, change) of two centralities; change is null where a side is missing."""
     both = old.select("node", F.col("centrality").alias("old")).join(new.select("node", F.col("centrality").alias("new")), "node", "full_outer")

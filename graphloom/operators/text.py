@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.common import cut
 from graphloom.functions.columns import tokens
 
 
@@ -49,6 +50,72 @@ def admissible_sentences(docs: DataFrame, least: float = 2.0) -> DataFrame:
 
 
 def length_statistics(docs: DataFrame) -> DataFrame:
-    """count, mean, sd, least and most tokens of a text."""
+    """count, mean, sd, least, quartiles (interpolated) and most tokens of a text."""
     n = docs.where("text is not null").select(F.size(tokens(F.col("text"))).alias("k"))
-    return n.agg(F.count("*").alias("count"), F.avg("k").alias("mean"), F.stddev_samp("k").alias("sd"), F.min("k").alias("least"), F.max("k").alias("most"))
+    quartiles = [F.percentile("k", F.lit(q)).alias(name) for q, name in ((0.25, "lower"), (0.5, "median"), (0.75, "upper"))]
+    return n.agg(F.count("*").alias("count"), F.avg("k").alias("mean"), F.stddev_samp("k").alias("sd"), F.min("k").alias("least"), *quartiles, F.max("k").alias("most"))
+
+
+def runs(words: Column, n: int) -> Column:
+    """All runs of n words, joined by spaces."""
+    at = F.transform(words, lambda x, i: F.when(i + n <= F.size(words), F.array_join(F.slice(words, i + 1, F.lit(n)), " ")))
+    return F.filter(at, lambda g: g.isNotNull())
+
+
+def ngrams(docs: DataFrame, most: int = 3) -> DataFrame:
+    """(doc_id, gram, tf): runs of one to `most` words of each text, joined by spaces."""
+    w = docs.where("text is not null").select("doc_id", tokens(F.col("text")).alias("w"))
+    each = w.select("doc_id", F.explode(F.concat(*[runs(F.col("w"), n) for n in range(1, most + 1)])).alias("gram"))
+    return each.groupBy("doc_id", "gram").agg(F.count("*").alias("tf"))
+
+
+def tf_idf_of(tf: DataFrame, n_docs: DataFrame) -> DataFrame:
+    """(doc_id, gram, tf, df, tfidf) of counts (doc_id, gram, tf); n_docs holds the number of texts."""
+    df = tf.groupBy("gram").agg(F.count("*").alias("df"))
+    return tf.join(df, "gram").join(F.broadcast(n_docs)).select("doc_id", "gram", "tf", "df", (F.col("tf") * F.log((F.col("n") + 1) / (F.col("df") + 1))).alias("tfidf"))
+
+
+def ranked_sentences(docs: DataFrame, rounds: int = 30, damping: float = 0.85, least: float = 1e-6) -> DataFrame:
+    """(doc_id, sent, sentence, rank): TextRank of the sentences of each text, ranks of a text sum to the number of its sentences.
+
+    Sentences end with . ! or ?. Two sentences of a text are bound by their shared words over the sum of the logarithms of their lengths;
+    the pairs are those within one text, so their number is bounded by its length. Texts and sentences without words have no ranks.
+    """
+    parts = F.posexplode(F.regexp_extract_all("text", F.lit(r"[^.!?]+[.!?]*"), F.lit(0))).alias("sent", "sentence")
+    each = docs.where("text is not null").select("doc_id", parts).withColumn("w", F.array_distinct(tokens(F.col("sentence")))).where("size(w) > 0")
+    each = cut(each.select("doc_id", "sent", F.trim("sentence").alias("sentence"), "w"))
+    words = each.select("doc_id", F.col("sent").alias("a"), F.size("w").alias("n"), F.explode("w").alias("word"))
+    other = words.select("doc_id", F.col("a").alias("b"), F.col("n").alias("m"), "word")
+    shared = words.join(other, ["doc_id", "word"]).where("a <> b").groupBy("doc_id", "a", "b", "n", "m").agg(F.count("*").alias("s"))
+    weight = F.col("s") / F.greatest(F.log("n") + F.log("m"), F.lit(1.0))
+    edges = shared.select("doc_id", "a", "b", weight.alias("v"))
+    total = edges.groupBy("doc_id", "a").agg(F.sum("v").alias("total"))
+    edges = cut(edges.join(total, ["doc_id", "a"]).select("doc_id", "a", "b", (F.col("v") / F.col("total")).alias("v")))
+    ranks = each.select("doc_id", "sent", F.lit(1.0).alias("rank"))
+    for _ in range(rounds):
+        given = edges.join(ranks.withColumnRenamed("sent", "a"), ["doc_id", "a"]).groupBy("doc_id", F.col("b").alias("sent")).agg(F.sum(F.col("v") * F.col("rank")).alias("g"))
+        new = cut(ranks.join(given, ["doc_id", "sent"], "left").select("doc_id", "sent", F.col("rank").alias("old"), (1 - damping + damping * F.coalesce("g", F.lit(0.0))).alias("rank")))
+        moved = new.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
+        ranks = new.select("doc_id", "sent", "rank")
+        if moved < least:
+            break
+    return each.select("doc_id", "sent", "sentence").join(ranks, ["doc_id", "sent"])
+
+
+def bleu(pairs: DataFrame, most: int = 5) -> DataFrame:
+    """(pair_id, bleu_1 ... bleu_most) of (pair_id, reference, hypothesis) arrays of words.
+
+    Precisions of runs clipped by the reference, geometric mean, brevity penalty; a run length without a match counts 0.1 matches (smoothing method 1). An
+    empty hypothesis or a reference that is null has 0.
+    """
+    out = pairs.select("pair_id", F.coalesce("reference", F.array().cast("array<string>")).alias("r"), F.coalesce("hypothesis", F.array().cast("array<string>")).alias("h"))
+    logs = []
+    for n in range(1, most + 1):
+        out = out.withColumn("rg", runs(F.col("r"), n)).withColumn("hg", runs(F.col("h"), n))
+        count = lambda g, c: F.size(F.filter(c, lambda x: x == g))
+        clipped = F.aggregate(F.array_distinct("hg"), F.lit(0), lambda s, g: s + F.least(count(g, F.col("hg")), count(g, F.col("rg"))))
+        out = out.withColumn(f"p{n}", F.log(F.when(clipped > 0, clipped.cast("double")).otherwise(0.1) / F.greatest(F.size("hg"), F.lit(1)))).drop("rg", "hg")
+        logs.append(F.col(f"p{n}"))
+    short = F.when(F.size("h") >= F.size("r"), F.lit(1.0)).otherwise(F.exp(1 - F.size("r") / F.size("h")))
+    score = lambda n: F.when((F.size("h") == 0) | (F.size("r") == 0), F.lit(0.0)).otherwise(short * F.exp(sum(logs[1:n], logs[0]) / n))
+    return out.select("pair_id", *[score(n).alias(f"bleu_{n}") for n in range(1, most + 1)])

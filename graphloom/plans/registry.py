@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.common import cut, table
 from graphloom.functions import cleaning
 from graphloom.functions import columns as C
-from graphloom.operators import components, corpus, embedding, graph, kg, linking, mln, references, text
+from graphloom.operators import clustering, completion, components, corpus, embedding, graph, kg, linking, mln, references, text
 from graphloom.streaming import arrivals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,7 +237,7 @@ def text_admissible(spark, d):
     return _rounded(text.admissible_sentences(_docs(spark, d)), "mean_length")
 
 
-@query(f"WITH {_WORDS}, k AS (SELECT len(w) k FROM w) SELECT count(*) AS count, round(avg(k), 6) AS mean, round(stddev_samp(k), 6) AS sd, min(k) AS least, max(k) AS most FROM k")
+@query(f"WITH {_WORDS}, k AS (SELECT len(w) k FROM w) SELECT count(*) AS count, round(avg(k), 6) AS mean, round(stddev_samp(k), 6) AS sd, min(k) AS least, quantile_cont(k, 0.25) AS lower, quantile_cont(k, 0.5) AS median, quantile_cont(k, 0.75) AS upper, max(k) AS most FROM k")
 def text_length_statistics(spark, d):
     return _rounded(text.length_statistics(_docs(spark, d)), "mean", "sd")
 
@@ -478,5 +478,109 @@ def kg_question_templates(spark, d):
     return parts.select("triple_id", "question", "node", F.col("p.sentence").cast("bigint").alias("sentence"), F.col("p.token").alias("token"))
 
 
+_SCORES = f"""{_FACTS}, c AS (SELECT head, relation, tail, (('0x' || substr(md5(head || ':' || relation || ':' || tail), 1, 8))::bigint % 1000) / 1000.0::double score FROM f)"""
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    """A digest of each fact stands for the score of a model."""
+    mark = F.substring(F.md5(F.concat_ws(":", "head", "relation", "tail").cast("binary")), 1, 8)
+    return kg.facts(_triples(spark, d)).select("head", "relation", "tail", (F.conv(mark, 16, 10).cast("bigint") % 1000 / 1000.0).alias("score"))
+
+
+@query(f"""WITH {_SCORES}, k AS (SELECT DISTINCT head, relation FROM f WHERE head % 20 = 0), l AS (SELECT DISTINCT relation, tail FROM f WHERE tail % 20 = 0),
+a AS (SELECT 't:' || head || ':' || relation AS query, head, relation, tail, score FROM c JOIN k USING (head, relation)
+      UNION ALL SELECT 'h:' || relation || ':' || tail, head, relation, tail, score FROM c JOIN l USING (relation, tail)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, head, relation, tail) n FROM a)
+SELECT query, head, relation, tail, CASE WHEN score < 0.1 THEN 0 ELSE score END AS score FROM r WHERE n <= 10""")
+def link_dispatch(spark, d):
+    """Unknown tails and heads of the stated queries, those whose known entity has an id divisible by 20."""
+    f = kg.facts(_triples(spark, d))
+    tails = f.where("head % 20 = 0").select(F.concat(F.lit("t:"), "head", F.lit(":"), "relation").alias("query"), "head", "relation", F.lit(-1).cast("bigint").alias("tail")).distinct()
+    heads = f.where("tail % 20 = 0").select(F.concat(F.lit("h:"), "relation", F.lit(":"), "tail").alias("query"), F.lit(-1).cast("bigint").alias("head"), "relation", "tail").distinct()
+    return completion.dispatch(tails.unionByName(heads), _scores(spark, d), 10)
+
+
+@query(f"""WITH {_SCORES}, i AS (SELECT DISTINCT id FROM entity2id WHERE lower(ent) LIKE '%contact%'), q AS (SELECT DISTINCT g, relation FROM (SELECT head g, relation FROM f WHERE head IN (FROM i) UNION ALL SELECT tail, relation FROM f WHERE tail IN (FROM i))),
+t AS (SELECT c.*, row_number() OVER (PARTITION BY head, c.relation ORDER BY score DESC, tail) n FROM c JOIN q ON q.g = head AND q.relation = c.relation WHERE head <> tail),
+h AS (SELECT c.*, row_number() OVER (PARTITION BY tail, c.relation ORDER BY score DESC, head) n FROM c JOIN q ON q.g = tail AND q.relation = c.relation WHERE head <> tail)
+SELECT DISTINCT head, relation, tail, CASE WHEN score < 0.1 THEN 0 ELSE score END AS score FROM (SELECT * FROM t WHERE n = 1 UNION ALL SELECT * FROM h WHERE n = 1) ORDER BY score DESC, head, relation, tail LIMIT 100""")
+def link_expansion(spark, d):
+    return completion.expansion("contact", _triples(spark, d), table(spark, d, "entity2id"), _scores(spark, d), 100)
+
+
+@query(f"""WITH {_SCORES}, i AS (SELECT DISTINCT id FROM entity2id WHERE lower(ent) LIKE '%contact%'),
+t AS (SELECT c.*, row_number() OVER (PARTITION BY head, relation ORDER BY score DESC, tail) n FROM c WHERE head <> tail AND head IN (FROM i) AND relation IN (SELECT id FROM relation2id))
+SELECT head, relation, tail, round(score, 3) AS score FROM t WHERE n = 1 ORDER BY score, head, relation, tail LIMIT 100""")
+def link_term_search(spark, d):
+    return completion.term_search("contact", table(spark, d, "entity2id"), table(spark, d, "relation2id"), _scores(spark, d), 100)
+
+
+@query(f"WITH {_SCORES} SELECT head, relation, min(score) FILTER (head <> tail) AS best, round(avg(score) FILTER (head <> tail), 6) AS mean FROM c GROUP BY head, relation")
+def link_best_and_mean(spark, d):
+    return _rounded(completion.best_and_mean(_scores(spark, d), ["head", "relation"]), "mean")
+
+
+@query(f"WITH {_SCORES} SELECT DISTINCT head, tail, score FROM c WHERE score > 0.9")
+def link_network(spark, d):
+    return completion.network(_scores(spark, d), 0.9)
+
+
+@query(f"""WITH {_SCORES}, l AS (SELECT relation, score, (head % 2)::int y FROM c), k AS (SELECT DISTINCT relation, score FROM l),
+r AS (SELECT k.relation, k.score, count(*) FILTER ((l.score >= k.score AND y = 1) OR (l.score < k.score AND y = 0)) n FROM k JOIN l ON k.relation = l.relation GROUP BY ALL)
+SELECT relation, arg_min(score, (-n, score)) AS least FROM r GROUP BY relation""")
+def link_thresholds(spark, d):
+    """Odd heads stand for the true facts of a validation set."""
+    return completion.learned_thresholds(_scores(spark, d).select("relation", "score", (F.col("head") % 2).cast("int").alias("label")))
+
+
+@query("""WITH w AS (SELECT DISTINCT rel AS mention FROM relation2id WHERE rel IS NOT NULL), m AS (SELECT mention, len(x) n, unnest(x) word FROM (SELECT mention, list_distinct(regexp_extract_all(lower(mention), '[\\p{L}\\p{N}]+')) x FROM w)),
+e AS (SELECT id, len(x) k, unnest(x) word FROM (SELECT id, list_distinct(regexp_extract_all(lower(ent), '[\\p{L}\\p{N}]+')) x FROM entity2id WHERE ent IS NOT NULL AND id IS NOT NULL)),
+s AS (SELECT mention, id, count(*) / sqrt(n * k) v FROM m JOIN e USING (word) GROUP BY mention, n, id, k), r AS (SELECT mention, id, v, row_number() OVER (PARTITION BY mention ORDER BY v DESC, id) o FROM s)
+SELECT w.mention, CASE WHEN v >= 0.75 THEN id ELSE -1 END AS id, round(coalesce(v, 0), 6) AS similarity FROM w LEFT JOIN (SELECT * FROM r WHERE o = 1) r ON r.mention = w.mention""")
+def link_mentions(spark, d):
+    """Names of relations as mentions, linked to the entities of the most similar words."""
+    mentions = table(spark, d, "relation2id").select(F.col("rel").alias("mention"))
+    return _rounded(completion.linked_entities(mentions, table(spark, d, "entity2id").select("id", F.col("ent").alias("name"))), "similarity")
+
+
+@query()
+def embedding_clusters(spark, d):
+    """Average-linkage clusters of all vectors, cut at a distance of 0.2."""
+    return clustering.clusters(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")))
+
+
+@query(f"WITH {_EDGES} SELECT (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e)) AS nodes, (SELECT count(*) FROM e) AS edges")
+def graph_sizes(spark, d):
+    return graph.sizes(_edges(spark, d))
+
+
+@query(f"WITH {_EDGES}, d AS (SELECT node, count(*) k FROM (SELECT unnest([src, dst]) node FROM e) GROUP BY node) SELECT node, round(k / (SELECT count(*) - 1 FROM d), 6) AS centrality FROM d ORDER BY k DESC, node LIMIT 50")
+def graph_most_central(spark, d):
+    return graph.most_central(_rounded(graph.degree_centrality(_edges(spark, d)), "centrality"), 50)
+
+
+@query(f"""WITH w AS (SELECT article_id AS doc_id, regexp_extract_all(lower(abstract), '[\\p{{L}}\\p{{N}}]+') w FROM clean_text WHERE abstract IS NOT NULL),
+g AS (SELECT doc_id, unnest(w) gram FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i+1], ' '))) FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) FROM w),
+t AS (SELECT doc_id, gram, count(*) tf FROM g GROUP BY ALL), d AS (SELECT gram, count(*) df FROM t GROUP BY gram)
+SELECT doc_id, gram, tf, df, round(tf * ln(((SELECT count(*) FROM w) + 1) / (df + 1)), 6) AS tfidf FROM t JOIN d USING (gram)""")
+def text_ngram_tf_idf(spark, d):
+    docs = table(spark, d, "clean_text").select(F.col("article_id").alias("doc_id"), F.col("abstract").alias("text"))
+    n = docs.where("text is not null").agg(F.count("*").alias("n"))
+    return _rounded(text.tf_idf_of(text.ngrams(docs), n), "tfidf")
+
+
+@query()
+def text_ranked_sentences(spark, d):
+    docs = table(spark, d, "clean_text").select(F.col("article_id").alias("doc_id"), F.col("abstract").alias("text"))
+    return text.ranked_sentences(docs).select("doc_id", "sent", F.round("rank", 4).alias("rank"))
+
+
+@query()
+def text_bleu(spark, d):
+    """Titles against the begin of their abstracts."""
+    t = table(spark, d, "clean_text").select(F.col("article_id").alias("pair_id"), C.tokens(F.col("title")).alias("reference"), F.slice(C.tokens(F.col("abstract")), 1, 12).alias("hypothesis"))
+    return text.bleu(t)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return graph_key_triples(spark, d)

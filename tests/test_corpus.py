@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 
-from graphloom.operators import corpus, embedding, kg, linking
+from graphloom.operators import corpus, embedding, kg, linking, text
 from pyspark.sql import functions as F
 
 
@@ -75,3 +75,18 @@ def test_blocks_train_all_facts(spark):
     e, r = linking.fit_translations(t, epochs=6, block=60)
     mean = lambda facts: np.mean([x["score"] for x in embedding.translation_scores(facts, e, r).collect()])
     assert mean(t) < mean(wrong)
+
+
+def test_bleu_of_known_pairs(spark):
+    import math
+
+    data = [(1, "the cat sat on the mat".split(), "the cat sat on the mat".split()), (2, "the cat sat".split(), "the the the cat".split()), (3, "a b c d".split(), "a b".split()), (4, None, ["x"]), (5, ["x"], [])]
+    got = {r["pair_id"]: r for r in text.bleu(spark.createDataFrame(data, "pair_id long, reference array<string>, hypothesis array<string>")).collect()}
+    assert math.isclose(got[1]["bleu_5"], 1.0) and math.isclose(got[2]["bleu_1"], 0.5)
+    assert math.isclose(got[2]["bleu_2"], math.sqrt(0.5 / 3)) and math.isclose(got[3]["bleu_1"], math.exp(-1)) and got[4]["bleu_1"] == 0 == got[5]["bleu_1"]
+
+
+def test_ranked_sentences(spark):
+    docs = spark.createDataFrame([(1, "Fever spread in towns. Fever spread fast in towns! Cows eat grass."), (2, None), (3, ""), (4, "One only")], "doc_id long, text string")
+    got = {(r["doc_id"], r["sent"]): r["rank"] for r in text.ranked_sentences(docs).collect()}
+    assert set(got) == {(1, 0), (1, 1), (1, 2), (4, 0)} and got[1, 0] == got[1, 1] > got[1, 2]
