@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.common import cut, table
 from graphloom.functions import cleaning
 from graphloom.functions import columns as C
-from graphloom.operators import clustering, completion, components, corpus, embedding, graph, kg, linking, mln, references, text
+from graphloom.operators import clustering, completion, components, corpus, embedding, graph, kg, linking, mln, references, text, trees
 from graphloom.streaming import arrivals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -582,5 +582,93 @@ def text_bleu(spark, d):
     return text.bleu(t)
 
 
+# a flat tree of each text stands for a parse: long words are N, others V
+_TREES = "w AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda x: x <> '') w FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id tree_id, w, list_transform(w, lambda x: CASE WHEN length(x) > 4 THEN 'N' ELSE 'V' END) l FROM w)"
+
+
+def _trees(spark: SparkSession, d: str) -> DataFrame:
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    leaf = lambda x: F.concat(F.lit(" ("), F.when(F.char_length(x) > 4, "N").otherwise("V"), F.lit(" "), x, F.lit(")"))
+    return _docs(spark, d).where("text is not null").select(F.col("doc_id").alias("tree_id"), words.alias("tokens"), F.concat(F.lit("(ROOT (S"), F.array_join(F.transform(words, leaf), ""), F.lit("))")).alias("tree"))
+
+
+@query(f"WITH {_TREES} SELECT tree_id, 2 + 2 * len(w) AS nodes, len(w) AS leaves, CASE WHEN len(w) > 0 THEN 3 ELSE 1 END AS depth, CASE WHEN len(w) > 0 THEN array_to_string(w, ' ') ELSE '<None>' END AS sentence FROM t")
+def tree_shapes(spark, d):
+    return trees.shapes(trees.nodes(_trees(spark, d)))
+
+
+@query(f"WITH {_TREES} SELECT tree_id, true AS sane FROM t")
+def tree_sane(spark, d):
+    return trees.sane(trees.nodes(_trees(spark, d)))
+
+
+@query(f"""WITH {_TREES}, r AS (SELECT DISTINCT unnest(['ROOT -> S', 'S -> ' || array_to_string(l, ' ')]) rule FROM t UNION SELECT DISTINCT unnest(l) || ' -> *' FROM t)
+SELECT rule, split_part(rule, ' -> ', 1) AS lhs, list_filter(string_split(substr(rule, strpos(rule, ' -> ') + 4), ' '), lambda x: x <> '') AS rhs, row_number() OVER (ORDER BY rule) - 1 AS id FROM r""")
+def tree_grammar(spark, d):
+    return trees.grammar(trees.actions(_trees(spark, d)))
+
+
+@query(f"WITH {_TREES}, n AS (SELECT 4 + 3 * len(w) n FROM t) SELECT max(n) AS most, round(avg(n), 6) AS mean, count(*) FILTER (n > 100) AS long FROM n")
+def tree_action_statistics(spark, d):
+    return _rounded(trees.action_statistics(trees.actions(_trees(spark, d))), "mean")
+
+
+@query(f"WITH {_TREES} SELECT tree_id, true AS equal FROM t")
+def tree_rebuilt(spark, d):
+    """Trees built again from their actions equal the first ones."""
+    t = _trees(spark, d)
+    again = trees.replayed(trees.actions(t).select(F.col("tree_id").alias("hyp"), "actions"))
+    return trees.equal(t.select("tree_id", "tree"), again.select(F.col("hyp").alias("tree_id"), "tree"))
+
+
+@query(f"""WITH {_TREES}, k AS (SELECT DISTINCT unnest(l) lhs FROM t), h AS (SELECT tree_id hyp, l[1] lhs FROM t WHERE len(l) > 0)
+SELECT hyp, 'apply ' || lhs || ' -> *' AS action FROM h JOIN k USING (lhs)""")
+def tree_continuations(spark, d):
+    """What may come after the first two actions of each text's tree."""
+    built = trees.actions(_trees(spark, d)).where("size(actions) > 4")
+    fronts = trees.replayed(built.select(F.col("tree_id").alias("hyp"), F.slice("actions", 1, 2).alias("actions")))
+    words = built.limit(0).selectExpr("'' as word")
+    return trees.continuations(fronts, trees.grammar(built), words)
+
+
+@query(f"""WITH {_TREES}, i AS (SELECT tree_id, unnest(w) x, generate_subscripts(w, 1) i FROM t WHERE len(w) <= 32), v AS (SELECT x, row_number() OVER (ORDER BY x) + 2 id FROM (SELECT DISTINCT x FROM i)),
+f AS (SELECT tree_id, x, min(i) m FROM i GROUP BY ALL)
+SELECT tree_id, 3 * i AS step, id AS token_id, true AS copied, m - 1 AS copy_at FROM i JOIN v USING (x) JOIN f USING (tree_id, x)""")
+def tree_steps(spark, d):
+    """Words of the trees of at most 100 actions, with the vocabulary of these trees."""
+    t = _trees(spark, d)
+    built = trees.actions(t).where("size(actions) <= 100")
+    words = built.select(F.explode("actions").alias("a")).where(F.col("a").startswith("word ")).select(F.expr("substr(a, 6)").alias("token"))
+    vocabulary = kg.dense_ids(words, "token").select(F.col("name").alias("token"), (F.col("id") + 3).alias("id"))
+    return trees.steps(built, t, trees.grammar(built), vocabulary).where("token_id is not null").select("tree_id", "step", "token_id", "copied", "copy_at")
+
+
+@query("SELECT vec_id AS id, arg_max(i - 1, (v, -i))::int AS label, round(1 / sum(exp(v - m)), 6) AS probability FROM (SELECT vec_id, unnest(embedding)::double v, generate_subscripts(embedding, 1) i, list_max(embedding)::double m FROM embeddings) GROUP BY vec_id")
+def tree_predicted_class(spark, d):
+    """Vectors as the logits of a classifier."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("logits"))
+    return _rounded(trees.predicted_class(v), "probability")
+
+
+@query("WITH w AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) n FROM documents WHERE text IS NOT NULL) SELECT doc_id AS tree_id, i AS node, i - 1 AS parent, i - 1 AS depth FROM (SELECT doc_id, unnest(range(1, least(n, 40) + 1)) i FROM w)")
+def tree_pointer_depths(spark, d):
+    """Chains of up to 40 nodes as parent pointers."""
+    n = F.least(F.size(C.tokens(F.col("text"))), F.lit(40))
+    lines = _docs(spark, d).where("text is not null").select(F.col("doc_id").alias("tree_id"), n.alias("n")).where("n > 0").select("tree_id", F.sequence(F.lit(0), F.col("n") - 1).alias("parents"))
+    return trees.pointer_depths(lines)
+
+
+@query(f"""WITH {_TREES}, s AS (SELECT tree_id, (('0x' || substr(md5(tree_id || ':' || a), 1, 8))::bigint % 1000)::double score, a FROM t, (SELECT unnest(range(0, 10)) a)),
+r AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY score DESC, a) n FROM s) SELECT tree_id AS sample, ['a' || a] AS actions, score FROM r WHERE n <= 5""")
+def tree_beam(spark, d):
+    """One step of a beam of 5 over ten continuations, scored by digests."""
+    t = _trees(spark, d).select(F.col("tree_id").alias("sample"))
+    start = t.select("sample", F.lit(0).cast("bigint").alias("hyp"), F.array().cast("array<string>").alias("actions"), F.lit(0.0).alias("score"))
+    more = t.select("sample", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("a"))
+    mark = F.substring(F.md5(F.concat_ws(":", "sample", "a").cast("binary")), 1, 8)
+    each = more.select("sample", F.lit(0).cast("bigint").alias("hyp"), F.concat(F.lit("a"), "a").alias("action"), (F.conv(mark, 16, 10).cast("bigint") % 1000).cast("double").alias("score"))
+    return trees.beam(start, each, 5)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return graph_key_triples(spark, d)
