@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from graphloom.common import cut, table
 from graphloom.functions import cleaning
 from graphloom.functions import columns as C
-from graphloom.operators import clustering, completion, components, corpus, embedding, graph, kg, linking, mln, references, text, trees
+from graphloom.operators import clustering, completion, components, corpus, embedding, graph, kg, linking, mln, parses, references, text, trees
+from graphloom.sources import readers
 from graphloom.streaming import arrivals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -670,5 +671,116 @@ def tree_beam(spark, d):
     return trees.beam(start, each, 5)
 
 
+# every three words of a text stand for subject, verb and object, verbs for conjuncts of the verb before
+_PARSES = _WORDS + """, i AS (SELECT doc_id doc, 0 sent, unnest(w) form, generate_subscripts(w, 1) idx, len(w) n FROM w),
+k AS (SELECT doc, sent, idx::int idx, form, CASE WHEN length(form) > 6 THEN 'NN' WHEN length(form) > 3 THEN 'VB' ELSE 'DT' END pos, n FROM i),
+d AS (SELECT doc, sent, CASE WHEN idx % 3 = 1 THEN 'nsubj' WHEN idx = 2 THEN 'ROOT' WHEN idx % 3 = 2 THEN 'conj_and' ELSE 'dobj' END rel,
+             CASE WHEN idx % 3 = 1 THEN idx + 1 WHEN idx = 2 THEN 0 WHEN idx % 3 = 2 THEN idx - 3 ELSE idx - 1 END gov, idx dep FROM k WHERE NOT (idx % 3 = 1 AND idx = n))
+"""
+
+
+def _parse_tokens(spark: SparkSession, d: str) -> DataFrame:
+    each = _docs(spark, d).where("text is not null").select(F.col("doc_id").alias("doc"), F.lit(0).alias("sent"), F.posexplode(C.tokens(F.col("text"))).alias("i", "form"))
+    n = F.char_length("form")
+    return each.select("doc", "sent", (F.col("i") + 1).alias("idx"), "form", F.col("form").alias("lemma"), F.when(n > 6, "NN").when(n > 3, "VB").otherwise("DT").alias("pos"))
+
+
+def _parse_deps(spark: SparkSession, d: str) -> DataFrame:
+    w = _docs(spark, d).where("text is not null").select(F.col("doc_id").alias("doc"), F.size(C.tokens(F.col("text"))).alias("n")).where("n > 0")
+    each = w.select("doc", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("dep")).where("not (dep % 3 = 1 and dep = n)")
+    rel = F.expr("case when dep % 3 = 1 then 'nsubj' when dep = 2 then 'ROOT' when dep % 3 = 2 then 'conj_and' else 'dobj' end")
+    gov = F.expr("case when dep % 3 = 1 then dep + 1 when dep = 2 then 0 when dep % 3 = 2 then dep - 3 else dep - 1 end")
+    return each.select("doc", F.lit(0).alias("sent"), rel.alias("rel"), gov.alias("gov"), "dep")
+
+
+@query(f"""WITH {_PARSES} SELECT doc, sent, rel, gov, dep FROM d WHERE rel <> 'ROOT' UNION ALL SELECT doc, sent, 'ROOT', 0, 2 FROM (SELECT DISTINCT doc, sent FROM d WHERE gov = 2)""")
+def parse_dependencies(spark, d):
+    """Dependencies written as lines and read again."""
+    form = _parse_tokens(spark, d).select("doc", "sent", "idx", "form")
+    named = _parse_deps(spark, d).where("rel <> 'ROOT'").join(form.select("doc", "sent", F.col("idx").alias("gov"), F.col("form").alias("g")), ["doc", "sent", "gov"]).join(form.select("doc", "sent", F.col("idx").alias("dep"), F.col("form").alias("f")), ["doc", "sent", "dep"])
+    lines = named.select("doc", "sent", F.concat("rel", F.lit("("), "g", F.lit("-"), "gov", F.lit(", "), "f", F.lit("-"), "dep", F.lit(")")).alias("line"))
+    return parses.dependencies(lines).select("doc", "sent", "rel", "gov", "dep")
+
+
+@query(f"WITH {_PARSES} SELECT doc, sent, string_agg(dep || ':' || rel || ':' || gov, ' ' ORDER BY dep) AS deps FROM d GROUP BY doc, sent")
+def parse_ordered(spark, d):
+    rows = parses.ordered(_parse_deps(spark, d))
+    return rows.select("doc", "sent", F.array_join(F.transform("deps", lambda x: F.concat_ws(":", x["dep"], x["rel"], x["gov"])), " ").alias("deps"))
+
+
+@query(f"WITH {_PARSES} SELECT s.doc, s.sent, s.form AS subj, v.form AS rel, o.form AS obj, v.idx AS verb FROM k v JOIN k s ON s.doc = v.doc AND s.idx = v.idx - 1 JOIN k o ON o.doc = v.doc AND o.idx = v.idx + 1 WHERE v.idx % 3 = 2 AND v.pos = 'VB'")
+def parse_triples(spark, d):
+    return parses.triples(_parse_tokens(spark, d), _parse_deps(spark, d))
+
+
+@query(f"WITH {_PARSES} SELECT DISTINCT doc, sent FROM k WHERE pos = 'VB'")
+def parse_with_verb(spark, d):
+    return parses.with_verb(_parse_tokens(spark, d))
+
+
+@query(f"WITH {_PARSES} SELECT doc, sent, dep AS idx, false AS ignored FROM d")
+def parse_reached(spark, d):
+    return parses.reached(_parse_deps(spark, d))
+
+
+@query(f"WITH {_PARSES} SELECT pos, form IN ('be', '%', 'say', '$') AS stop, CASE WHEN pos IN ('NN', 'VB') AND form NOT IN ('be', '%', 'say', '$') THEN 'C' ELSE 'N' END AS kind, count(*) AS n FROM k GROUP BY ALL")
+def parse_kinds(spark, d):
+    t = _parse_tokens(spark, d)
+    return t.groupBy("pos", F.col("form").isin(*parses.STOP).alias("stop"), parses.kind(F.col("pos"), F.col("lemma")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_SURFACE}, r AS (SELECT doc_id, subj, CASE WHEN length(rel) > 4 THEN substr(rel, 1, 4) ELSE rel END rel, obj FROM s WHERE length(subj) > 5 AND length(obj) > 5)
+SELECT DISTINCT subj, rel, obj FROM r""")
+def parse_preprocessed(spark, d):
+    """The first four letters stand for a lemma, words of more than five letters for nouns."""
+    raw = kg.surface_triples(_docs(spark, d)).select("subj", "rel", "obj").distinct().withColumn("id", F.xxhash64("subj", "rel", "obj"))
+    forms = _parse_tokens(spark, d).select("form").distinct()
+    lemmas = forms.where("length(form) > 4").select("form", F.substring("form", 1, 4).alias("lemma"))
+    return parses.preprocessed(raw, lemmas, forms.where("length(form) > 5")).select("subj", "rel", "obj").distinct()
+
+
+@query(f"""WITH {_PARSES}, s AS (SELECT doc, sent, idx, form, coalesce(sum(CASE WHEN form = 'the' THEN 2 ELSE 0 END) OVER (PARTITION BY doc, sent ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) m FROM k)
+SELECT doc, sent, (idx + m + j)::int AS idx, CASE WHEN form = 'the' THEN ['x', '=', 'y'][j + 1] ELSE form END AS form FROM (SELECT *, unnest(range(0, CASE WHEN form = 'the' THEN 3 ELSE 1 END)) j FROM s)""")
+def parse_equations(spark, d):
+    """The word `the` stands for the tag of a formula."""
+    formulas = spark.createDataFrame([("the", ["x", "=", "y"])], "tag string, words array<string>")
+    return parses.replaced_equations(_parse_tokens(spark, d), formulas)
+
+
+@query(f"""WITH {_PARSES}, s AS (SELECT doc, sent, idx, idx + coalesce(sum(CASE WHEN form = 'the' THEN 2 ELSE 0 END) OVER (PARTITION BY doc, sent ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) m FROM k)
+SELECT d.doc, d.sent, d.rel, coalesce(g.m, gov)::int AS gov, f.m::int AS dep FROM d LEFT JOIN s g ON g.doc = d.doc AND g.idx = gov JOIN s f ON f.doc = d.doc AND f.idx = dep""")
+def parse_shifted(spark, d):
+    formulas = spark.createDataFrame([("the", ["x", "=", "y"])], "tag string, words array<string>")
+    return parses.shifted(_parse_deps(spark, d), _parse_tokens(spark, d), formulas)
+
+
+@query(f"WITH {_WORDS} SELECT doc_id AS doc, 0 AS sent, array_to_string(list_concat(['A', 'B'], w[3:]), ' ') AS words FROM w WHERE len(w) >= 2 UNION ALL SELECT doc_id, 0, array_to_string(w, ' ') FROM w WHERE len(w) < 2")
+def parse_resolved(spark, d):
+    """The first two words of each text as a mention of `A B`."""
+    words = _docs(spark, d).where("text is not null").select(F.col("doc_id").alias("doc"), F.lit(0).alias("sent"), C.tokens(F.col("text")).alias("words"))
+    better = F.array(F.lit("A"), F.lit("B")).alias("better")
+    mentions = words.where("size(words) >= 2").select("doc", "sent", F.lit(0).alias("start"), F.lit(2).alias("end"), better)
+    return parses.resolved(words, mentions).select("doc", "sent", F.array_join("words", " ").alias("words"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\x00-\x1f]', ' ', 'g'), '\s+', ' ', 'g'), ' ') t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id::varchar || '.xml' AS file, '10.1/' || doc_id AS doi, 'Text ' || doc_id AS title, 2001 AS year, t AS text FROM t""")
+def source_pubmed(spark, d):
+    """Texts written as journal articles and read again."""
+    clean = F.regexp_replace("text", r"[\x00-\x1f]", " ")
+    safe = F.replace(F.replace(F.replace(clean, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    xml = F.concat(F.lit("<article><front><article-id pub-id-type='doi'>10.1/"), "doc_id", F.lit("</article-id><article-title>Text "), "doc_id", F.lit("</article-title><pub-date><year>2001</year></pub-date></front><body><p>"), safe, F.lit("</p></body></article>"))
+    files = _docs(spark, d).where("text is not null").select(F.concat("doc_id", F.lit(".xml")).alias("file"), xml.alias("raw"))
+    return readers.pubmed(files).select("file", "doi", "title", "year", "text")
+
+
+@query("SELECT CASE WHEN s = 'arxiv' THEN article_id::varchar ELSE '10.2/' || article_id END AS key, s AS source, article_id || '.pdf' AS fn, text FROM (SELECT article_id, text, CASE WHEN article_id % 2 = 0 THEN 'arxiv' ELSE 'springer' END s FROM clean_text)")
+def source_with_metadata(spark, d):
+    rows = table(spark, d, "clean_text")
+    source = F.when(F.col("article_id") % 2 == 0, "arxiv").otherwise("springer").alias("source")
+    meta = rows.select(source, F.concat("article_id", F.lit(".pdf")).alias("fn"), F.concat(F.lit("10.2/"), "article_id").alias("doi"))
+    return readers.with_metadata(meta, rows.select(F.concat(F.lit("/raw/"), "article_id", F.lit(".pdf")).alias("file"), "text"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return graph_key_triples(spark, d)
