@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.common import cut, table
 from graphloom.functions import cleaning
 from graphloom.functions import columns as C
-from graphloom.operators import clustering, completion, components, corpus, embedding, graph, kg, linking, mln, parses, references, text, trees
+from graphloom.operators import clustering, completion, components, corpus, embedding, graph, kg, linking, mln, parses, references, semantics, text, trees
 from graphloom.sources import readers
 from graphloom.streaming import arrivals
 
@@ -782,5 +782,51 @@ def source_with_metadata(spark, d):
     return readers.with_metadata(meta, rows.select(F.concat(F.lit("/raw/"), "article_id", F.lit(".pdf")).alias("file"), "text"))
 
 
+_PARTS = _PARSES + """, q AS (SELECT doc, sent, dep idx, gov, rel FROM d),
+b AS (SELECT k.doc, k.sent, k.idx, '(' || pos || ':' || form || ')' t, gov, rel FROM k JOIN q USING (doc, sent, idx)),
+p AS (SELECT b.doc, b.sent, b.idx, b.t, g.idx par, g.t head, CASE WHEN g.idx IS NOT NULL THEN b.rel END dep FROM b LEFT JOIN b g ON g.doc = b.doc AND g.sent = b.sent AND g.idx = b.gov)
+"""
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    return semantics.parts_of(_parse_tokens(spark, d), _parse_deps(spark, d))[0]
+
+
+@query(f"""WITH {_PARTS} SELECT doc || ':0:' || CASE WHEN idx < 1000 THEN lpad(idx::varchar, 3, '0') ELSE idx::varchar END AS part, t AS reltype, dep,
+CASE WHEN par IS NOT NULL THEN doc || ':0:' || CASE WHEN par < 1000 THEN lpad(par::varchar, 3, '0') ELSE par::varchar END END AS par FROM p""")
+def sem_parts(spark, d):
+    return _parts(spark, d).select("part", "reltype", "dep", "par")
+
+
+@query(f"WITH {_PARTS}, c AS (SELECT t, row_number() OVER (ORDER BY t) - 1 c FROM (SELECT DISTINCT t FROM p)) SELECT h.c AS clust, p.dep AS arg, k.c AS child, count(*) AS n FROM p JOIN c h ON h.t = p.head JOIN c k ON k.t = p.t GROUP BY ALL")
+def sem_children(spark, d):
+    return semantics.tables(_parts(spark, d))["children"]
+
+
+@query(f"""WITH {_PARTS}, c AS (SELECT t, row_number() OVER (ORDER BY t) - 1 c FROM (SELECT DISTINCT t FROM p)), a AS (SELECT c.c clust, dep, count(*) n FROM p JOIN c ON c.t = p.head GROUP BY ALL)
+SELECT clust, string_agg(dep, ' ' ORDER BY n DESC, dep DESC) AS args FROM a GROUP BY clust""")
+def sem_ordered_args(spark, d):
+    return semantics.ordered_args(semantics.tables(_parts(spark, d))).select("clust", F.array_join("args", " ").alias("args"))
+
+
+@query()
+def sem_merge_scores(spark, d):
+    """Between clusters by part of speech and first letter, of which there are few."""
+    parts = _parts(spark, d).withColumn("reltype", F.concat("pos", F.lit(":"), F.substring("lemma", 1, 1))).withColumn("clust", F.xxhash64("reltype"))
+    return semantics.merge_scores(semantics.tables(cut(parts))).select("c1", "c2", F.round("score", 3).alias("score"))
+
+
+@query(f"""WITH {_PARTS}, v AS (SELECT DISTINCT form FROM k WHERE pos = 'VB')
+SELECT DISTINCT f.form AS q, o.doc || ':0:' || CASE WHEN o.idx < 1000 THEN lpad(o.idx::varchar, 3, '0') ELSE o.idx::varchar END AS part, o.form AS answer
+FROM k v JOIN v f ON f.form = v.form JOIN k s ON s.doc = v.doc AND s.idx = v.idx - 1 JOIN k o ON o.doc = v.doc AND o.idx = v.idx + 1
+WHERE v.idx % 3 = 2 AND v.pos = 'VB' AND s.form = 'disease'""")
+def sem_answers(spark, d):
+    """What a disease does: each verb asked for its object, the known subject being `disease`."""
+    parts = cut(_parts(spark, d))
+    verbs = parts.where("pos = 'VB'").select(F.col("lemma").alias("q")).distinct()
+    asked = verbs.select("q", F.col("q").alias("rel"), F.lit("nsubj").alias("dep"), F.lit("the disease").alias("arg"))
+    return semantics.answers(asked, parts)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return graph_key_triples(spark, d)
