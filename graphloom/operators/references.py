@@ -5,50 +5,54 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.common import HOT_GROUPS
 
-KEYS_PER_RANGE, MAX_RANGES = 100_000, 4096
-KINDS = np.array(["", "missing", "deleted", "late"], dtype=object)
+KEYS_PER_RANGE, MAX_RANGES, MAX_TARGETS = 100_000, 4096, 1000
+KINDS = ("missing", "deleted", "late")
 FAR_PAST, FAR_FUTURE = np.iinfo(np.int64).min, np.iinfo(np.int64).max
-FOUND = "triple_id bigint, field string, kind string, loaded bigint, known boolean"
 
 
 def _micros(name: str):
     return F.unix_micros(F.col(name).cast("timestamp"))
 
 
-def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Binary search of batches of references in sorted parent keys; the keys of a range come just before its references."""
-    here: tuple = ()
-    ids = added = deleted = np.empty(0, np.int64)
-    for pdf in batches:
-        spots = pdf.groupby(["target", "range", "part"], sort=False).indices
-        for key in sorted(spots, key=lambda k: spots[k][0]):
-            part = pdf.iloc[spots[key]]
-            if key != here:
-                here = key
-                ids = added = deleted = np.empty(0, np.int64)
-            first = part.iloc[0]
-            if first["ids"] is not None:
-                ids, added, deleted = (np.asarray(first[c], np.int64) for c in ("ids", "added", "deleted"))
-                part = part.iloc[1:]
-            keys, loaded = part["id"].to_numpy(np.int64), part["loaded"].to_numpy(np.int64)
-            known = part["known"].to_numpy(bool)
-            if len(ids):
-                at = np.minimum(np.searchsorted(ids, keys), len(ids) - 1)
-                hit = ids[at] == keys
-                dead = hit & known & (deleted[at] <= loaded)
-                late = hit & known & ~dead & (added[at] > loaded)
-            else:
-                hit = dead = late = np.zeros(len(keys), bool)
-            kind = np.where(~hit, 1, np.where(dead, 2, np.where(late, 3, 0)))
-            out = part[kind > 0]
-            yield pd.DataFrame({"triple_id": out["triple_id"], "field": out["field"], "kind": KINDS[kind[kind > 0]], "loaded": out["loaded"], "known": out["known"]})
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Binary search of batches of references in sorted parent keys; the keys of a cell come just before its references."""
+    here = None
+    none = np.empty(0, np.int64)
+    parents = none, none, none
+    for batch in batches:
+        column = {name: batch.column(name) for name in batch.schema.names}
+        keys, ids, loaded = (column[c].to_numpy(zero_copy_only=False) for c in ("key", "id", "loaded"))
+        known = column["known"].to_numpy(zero_copy_only=False).astype(bool)
+        cells = keys >> 1
+        kind = np.zeros(len(keys), np.int32)
+        edges = np.flatnonzero(np.diff(cells)) + 1
+        for lo, hi in zip([0, *edges], [*edges, len(keys)]):
+            if lo == hi:
+                continue
+            if cells[lo] != here:
+                here, parents = cells[lo], (none, none, none)
+            if not keys[lo] & 1:
+                parents = tuple(column[c][lo].values.to_numpy() for c in ("ids", "added", "deleted"))
+                lo += 1
+            sorted_ids, added, deleted = parents
+            if not len(sorted_ids):
+                kind[lo:hi] = 1
+                continue
+            at = np.minimum(np.searchsorted(sorted_ids, ids[lo:hi]), len(sorted_ids) - 1)
+            hit = sorted_ids[at] == ids[lo:hi]
+            dead = known[lo:hi] & (deleted[at] <= loaded[lo:hi])
+            late = known[lo:hi] & (added[at] > loaded[lo:hi])
+            kind[lo:hi] = np.where(~hit, 1, np.where(dead, 2, np.where(late, 3, 0)))
+        some = pa.array(np.flatnonzero(kind))
+        out = [column[c].take(some) for c in ("triple_id", "field", "loaded", "known")]
+        yield pa.RecordBatch.from_arrays([*out, pa.array(kind[kind > 0])], names=["triple_id", "field", "loaded", "known", "kind"])
 
 
 def orphans(refs: DataFrame, parents: DataFrame, keys_per_range: int = KEYS_PER_RANGE) -> DataFrame:
@@ -94,15 +98,23 @@ def orphans(refs: DataFrame, parents: DataFrame, keys_per_range: int = KEYS_PER_
     least = F.greatest(F.lit(200_000), F.col("total") / HOT_GROUPS)
     hot = F.broadcast(sizes.join(F.broadcast(total)).where(F.col("n") > least).select("target", "range", F.ceil(F.col("n") / least).cast("int").alias("parts")))
     parts = F.coalesce("parts", F.lit(1))
-    refs = refs.join(hot, ["target", "range"], "left").withColumn("part", F.pmod(F.xxhash64("triple_id", "field"), parts).cast("int")).drop("parts")
+    # cells of a target, a range and a part, each with its parents (even) before its references (odd)
+    targets = sorted(r["target"] for r in sizes.select("target").distinct().limit(MAX_TARGETS + 1).collect())
+    if len(targets) > MAX_TARGETS:
+        raise ValueError(f"more than {MAX_TARGETS} targets")
+    code = F.coalesce(F.array_position(F.array(*[F.lit(t) for t in targets]) if targets else F.array().cast("array<string>"), F.col("target")), F.lit(0))
+    cell = lambda part: ((F.col("range") * (MAX_TARGETS + 1) + code) * 2**20 + part).cast("bigint")
+    refs = refs.join(hot, ["target", "range"], "left").select("triple_id", "field", "id", "loaded", "known", cell(F.pmod(F.xxhash64("triple_id", "field"), parts)).alias("cell"))
     arrays = parents.groupBy("target", "range").agg(F.array_sort(F.collect_list(F.struct("id", "added", "deleted"))).alias("p"))  # about keys_per_range
     arrays = arrays.join(hot, ["target", "range"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    arrays = arrays.select("target", "range", "part", F.lit(0).alias("turn"), *[F.col(f"p.{c}").alias(n) for c, n in (("id", "ids"), ("added", "added"), ("deleted", "deleted"))])
-    rows = arrays.unionByName(refs.withColumn("turn", F.lit(1)), allowMissingColumns=True).fillna({"id": 0, "loaded": 0, "known": False})
-    ordered = rows.repartition("target", "range", "part").sortWithinPartitions("target", "range", "part", "turn")
-    found = ordered.mapInPandas(_probe, FOUND)
+    arrays = arrays.select(cell(F.col("part")).alias("cell"), *[F.col(f"p.{c}").alias(n) for c, n in (("id", "ids"), ("added", "added"), ("deleted", "deleted"))])
+    arrays = arrays.withColumn("key", F.col("cell") * 2)
+    rows = arrays.unionByName(refs.withColumn("key", F.col("cell") * 2 + 1), allowMissingColumns=True).fillna({"id": 0, "loaded": 0, "known": False})
+    ordered = rows.repartition("cell").sortWithinPartitions("key").drop("cell")
+    found = ordered.mapInArrow(_probe, "triple_id bigint, field string, loaded bigint, known boolean, kind int")
     period = F.when(F.col("known"), F.date_format(F.timestamp_micros("loaded"), "yyyy-MM"))
-    return found.select("triple_id", "field", "kind", period.alias("period")).distinct()
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+    return found.select("triple_id", "field", kind.alias("kind"), period.alias("period")).distinct()
 
 
 def triple_orphans(triples: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
