@@ -22,36 +22,40 @@ def _micros(name: str):
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Binary search of batches of references in sorted parent keys; the keys of a cell come just before its references."""
-    here = None
-    none = np.empty(0, np.int64)
-    parents = none, none, none
+    """Binary search of batches of references in sorted parent keys.
+
+    Rows come by key: the parents of a cell (even keys), which become one sorted array for each column, and then its references (odd keys).
+    """
+    here, parts, parents = None, [], None
     for batch in batches:
-        column = {name: batch.column(name) for name in batch.schema.names}
-        keys, ids, loaded = (column[c].to_numpy(zero_copy_only=False) for c in ("key", "id", "loaded"))
+        column = dict(zip(batch.schema.names, batch.columns))
+        keys, ids, first, second = (column[c].to_numpy(zero_copy_only=False) for c in ("key", "id", "first", "second"))
         known = column["known"].to_numpy(zero_copy_only=False).astype(bool)
-        cells = keys >> 1
         kind = np.zeros(len(keys), np.int32)
-        edges = np.flatnonzero(np.diff(cells)) + 1
+        edges = np.flatnonzero(np.diff(keys)) + 1
         for lo, hi in zip([0, *edges], [*edges, len(keys)]):
             if lo == hi:
                 continue
-            if cells[lo] != here:
-                here, parents = cells[lo], (none, none, none)
+            if keys[lo] >> 1 != here:
+                here, parts, parents = keys[lo] >> 1, [], None
             if not keys[lo] & 1:
-                parents = tuple(column[c][lo].values.to_numpy() for c in ("ids", "added", "deleted"))
-                lo += 1
-            sorted_ids, added, deleted = parents
-            if not len(sorted_ids):
+                parts.append((ids[lo:hi], first[lo:hi], second[lo:hi]))
+                continue
+            if parents is None and parts:
+                whole = [np.concatenate(c) for c in zip(*parts)]
+                order = np.argsort(whole[0], kind="stable")
+                parents, parts = [c[order] for c in whole], []
+            if parents is None:
                 kind[lo:hi] = 1
                 continue
+            sorted_ids, added, deleted = parents
             at = np.minimum(np.searchsorted(sorted_ids, ids[lo:hi]), len(sorted_ids) - 1)
             hit = sorted_ids[at] == ids[lo:hi]
-            dead = known[lo:hi] & (deleted[at] <= loaded[lo:hi])
-            late = known[lo:hi] & (added[at] > loaded[lo:hi])
+            dead = known[lo:hi] & (deleted[at] <= first[lo:hi])
+            late = known[lo:hi] & (added[at] > first[lo:hi])
             kind[lo:hi] = np.where(~hit, 1, np.where(dead, 2, np.where(late, 3, 0)))
         some = pa.array(np.flatnonzero(kind))
-        out = [column[c].take(some) for c in ("triple_id", "field", "loaded", "known")]
+        out = [column[c].take(some) for c in ("triple_id", "field", "first", "known")]
         yield pa.RecordBatch.from_arrays([*out, pa.array(kind[kind > 0])], names=["triple_id", "field", "loaded", "known", "kind"])
 
 
@@ -60,9 +64,9 @@ def orphans(refs: DataFrame, parents: DataFrame, keys_per_range: int = KEYS_PER_
 
     refs has triple_id, field, target, id, loaded_at; parents has target, id, added_at, deleted_at.
     Both are cut into ranges of keys by at most MAX_RANGES quantiles of the parents' keys, and these evenly into more where there are
-    more keys. A range's parents are one sorted array that goes ahead of its references; these stream past it in batches, so
+    more keys. A range's parents go ahead of its references and become one sorted array; the references stream past it in batches, so
     no task holds more than one range and one batch. Ranges with more than a HOT_GROUPS-th of all references, which are at most that many, are split
-    over several tasks, each with its own copy of the array. Null ids and -1 are no references. A null loaded_at can
+    over several tasks, each with its own copy of the parents. Null ids and -1 are no references. A null loaded_at can
     only be `missing` and has a null period. A parent without added_at was known from the start,
     one without deleted_at was not deleted. Where a key stands twice among the parents, one of its rows
     that comes first in the order of added_at and deleted_at decides. Empty parents make every reference missing.
@@ -102,14 +106,14 @@ def orphans(refs: DataFrame, parents: DataFrame, keys_per_range: int = KEYS_PER_
     targets = sorted(r["target"] for r in sizes.select("target").distinct().limit(MAX_TARGETS + 1).collect())
     if len(targets) > MAX_TARGETS:
         raise ValueError(f"more than {MAX_TARGETS} targets")
-    code = F.coalesce(F.array_position(F.array(*[F.lit(t) for t in targets]) if targets else F.array().cast("array<string>"), F.col("target")), F.lit(0))
-    cell = lambda part: ((F.col("range") * (MAX_TARGETS + 1) + code) * 2**20 + part).cast("bigint")
-    refs = refs.join(hot, ["target", "range"], "left").select("triple_id", "field", "id", "loaded", "known", cell(F.pmod(F.xxhash64("triple_id", "field"), parts)).alias("cell"))
-    arrays = parents.groupBy("target", "range").agg(F.array_sort(F.collect_list(F.struct("id", "added", "deleted"))).alias("p"))  # about keys_per_range
-    arrays = arrays.join(hot, ["target", "range"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    arrays = arrays.select(cell(F.col("part")).alias("cell"), *[F.col(f"p.{c}").alias(n) for c, n in (("id", "ids"), ("added", "added"), ("deleted", "deleted"))])
-    arrays = arrays.withColumn("key", F.col("cell") * 2)
-    rows = arrays.unionByName(refs.withColumn("key", F.col("cell") * 2 + 1), allowMissingColumns=True).fillna({"id": 0, "loaded": 0, "known": False})
+    code = F.lit(0)
+    for i, t in enumerate(targets):
+        code = F.when(F.col("target") == t, i + 1).otherwise(code)
+    cell = lambda part: ((F.col("range") * (MAX_TARGETS + 1) + code) * 2**20 + part).cast("bigint").alias("cell")
+    refs = refs.join(hot, ["target", "range"], "left").select("triple_id", "field", "id", F.col("loaded").alias("first"), F.lit(0).cast("bigint").alias("second"), "known", cell(F.pmod(F.xxhash64("triple_id", "field"), parts)))
+    parents = parents.join(hot, ["target", "range"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    parents = parents.select("id", F.col("added").alias("first"), F.col("deleted").alias("second"), F.lit(False).alias("known"), cell(F.col("part")))
+    rows = refs.withColumn("key", F.col("cell") * 2 + 1).unionByName(parents.withColumn("key", F.col("cell") * 2), allowMissingColumns=True)
     ordered = rows.repartition("cell").sortWithinPartitions("key").drop("cell")
     found = ordered.mapInArrow(_probe, "triple_id bigint, field string, loaded bigint, known boolean, kind int")
     period = F.when(F.col("known"), F.date_format(F.timestamp_micros("loaded"), "yyyy-MM"))
