@@ -105,3 +105,26 @@ def relation_class(operator: Column) -> Column:
         .when(o.isin("sin", "cos", "tan", "log", "exp", "sqrt"), "function")
         .otherwise("transform")
     )
+
+
+def log_softmax(a: Column) -> Column:
+    top = F.array_max(a).cast("double")
+    total = F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - top))
+    return F.transform(a, lambda x: x.cast("double") - top - F.log(total))
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def smoothed_loss(logits: Column, label: Column, smoothing: float = 0.1) -> Column:
+    """Cross-entropy with the label's probability 1 - smoothing and the rest spread evenly over the other classes (from 0); null without another class."""
+    p = log_softmax(logits)
+    rest = F.aggregate(p, F.lit(0.0), lambda s, x: s + x)
+    own = F.get(p, label.cast("int"))
+    return F.when(F.size(logits) > 1, -(1 - smoothing) * own - smoothing / (F.size(logits) - 1) * (rest - own))
+
+
+def mask(length: Column, size: int) -> Column:
+    """Ones for the first places, zeros for the others, `size` in all."""
+    return F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.when(i <= length, 1).otherwise(0))

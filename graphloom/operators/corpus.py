@@ -129,3 +129,25 @@ def rank_normalised(values: DataFrame, group: str, value: str, key: str) -> Data
     w = W.Window.partitionBy(group)
     n = F.count("*").over(w)
     return values.withColumn("v", F.when(n > 1, (F.row_number().over(w.orderBy(value, key)) - 1) / (n - 1)).otherwise(F.lit(0.0)))
+
+
+def combined(a: DataFrame, b: DataFrame, sign: int = 1, remove: bool = False) -> DataFrame:
+    """(key, n) of two dictionaries (key, n): the sums, or differences with sign -1; with `remove` those not above zero are left out."""
+    both = a.select("key", F.col("n").alias("x")).join(b.select("key", F.col("n").alias("y")), "key", "full_outer")
+    out = both.select("key", (F.coalesce("x", F.lit(0)) + sign * F.coalesce("y", F.lit(0))).alias("n"))
+    return out.where("n > 0") if remove else out
+
+
+def combinations(members: DataFrame, group: str, member: str) -> DataFrame:
+    """(combination, n): how many groups have which set of members, written in order with colons. Members are kinds, of which there are few."""
+    sets = members.where(F.col(member).isNotNull()).groupBy(group).agg(F.array_join(F.array_sort(F.collect_set(member)), ":").alias("combination"))
+    return sets.groupBy("combination").agg(F.count("*").alias("n"))
+
+
+def drawn_query(facts: DataFrame, n: int, seed: int = 1) -> DataFrame:
+    """(tokens) of n facts (head_name, relation_name, tail_name), drawn by a seeded hash; of a name with alternatives between ` | ` one is taken."""
+    slots = ("head_name", "relation_name", "tail_name")
+    mark = F.xxhash64(F.lit(seed), *slots)
+    one = lambda c, i: F.get(F.split(c, r" \| "), F.pmod(F.xxhash64(F.lit(seed + i), *slots), F.size(F.split(c, r" \| "))).cast("int"))
+    some = facts.orderBy(mark, *slots).limit(n)
+    return some.select(F.split(F.concat_ws(" ", *[one(c, i) for i, c in enumerate(slots)]), r"\s+").alias("tokens"))

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.columns import cosine, norm
+from graphloom.operators.linking import seeded
 
 MAX_QUERIES = 100_000
+MAX_SUMS = 32  # tasks that each send one sum of products
 
 
 def mean_vectors(members: DataFrame, vectors: DataFrame, zeros: bool = False) -> DataFrame:
@@ -79,3 +81,76 @@ def translation_scores(triples: DataFrame, entities: DataFrame, relations: DataF
 
 def phrase_similarity(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("similarity", cosine(F.col("a"), F.col("b")))
+
+
+def in_order(vocabulary: DataFrame, vectors: DataFrame, dims: int, seed: int = 1) -> DataFrame:
+    """(id, token, vec) of a vocabulary (token, id): its vectors, and for words without one normal draws, by id alone, of the mean and deviation of all numbers of the vectors."""
+    numbers = vectors.select(F.explode("vec").alias("v"))
+    s = numbers.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).first()  # two numbers
+    mean, deviation = s["m"] or 0.0, s["s"] or 0.0
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            drawn = seeded(pdf["id"].to_numpy(np.int64), dims, seed) * dims**0.5 * deviation + mean
+            yield pd.DataFrame({"id": pdf["id"], "token": pdf["token"], "vec": [*drawn]})
+
+    joined = vocabulary.select("id", "token").join(vectors.select("token", "vec"), "token", "left")
+    new = joined.where("vec is null").select("id", "token").mapInPandas(draw, "id bigint, token string, vec array<double>")
+    return joined.where("vec is not null").select("id", "token", F.transform("vec", lambda x: x.cast("double")).alias("vec")).unionByName(new)
+
+
+def adapted(general: DataFrame, domain: DataFrame, components: int = 100) -> DataFrame:
+    """(token, vec): domain-adapted vectors by canonical correlation of general and domain vectors (token, vec).
+
+    Both sides are standardised over the shared words; a shared word gets the mean of its two projections, one of the domain alone the projection of its domain vector. Only sums of
+    products, a square of the dimensions for each task, come to the driver, where the small decomposition is done. Without shared words there are no vectors.
+    """
+    both = general.select("token", F.col("vec").alias("x")).join(domain.select("token", F.col("vec").alias("y")), "token").where("x is not null and y is not null")
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n, dims = None, 0, (0, 0)
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x, y = (np.stack(pdf[c].to_numpy()).astype(float) for c in ("x", "y"))
+            m = np.concatenate([np.ones((len(x), 1)), x, y], axis=1)
+            total = m.T @ m if total is None else total + m.T @ m
+            n, dims = n + len(x), (x.shape[1], y.shape[1])
+        if total is not None:
+            yield pd.DataFrame({"p": [dims[0]], "q": [dims[1]], "s": [total.ravel()]})
+
+    rows = both.repartition(MAX_SUMS).select("x", "y").mapInPandas(sums, "p int, q int, s array<double>").collect()
+    schema = "token string, vec array<double>"
+    if not rows:
+        return general.sparkSession.createDataFrame([], schema)
+    p, q = rows[0]["p"], rows[0]["q"]
+    s = sum(np.array(r["s"]) for r in rows).reshape(1 + p + q, 1 + p + q)
+    n = s[0, 0]
+    mean = s[0, 1:] / n
+    cov = s[1:, 1:] / n - np.outer(mean, mean)
+    deviation = np.sqrt(np.maximum(np.diag(cov), 1e-24))
+    cov = cov / np.outer(deviation, deviation)
+
+    def root(c: np.ndarray) -> np.ndarray:
+        w, v = np.linalg.eigh(c)
+        return v @ np.diag(np.where(w > 1e-9, 1 / np.sqrt(np.maximum(w, 1e-9)), 0.0)) @ v.T
+
+    rx, ry = root(cov[:p, :p]), root(cov[p:, p:])
+    u, _, vt = np.linalg.svd(rx @ cov[:p, p:] @ ry)
+    k = min(components, p, q)
+    signs = np.sign(u[np.abs(u[:, :k]).argmax(axis=0), np.arange(k)])
+    wx, wy = rx @ u[:, :k] * signs, ry @ vt[:k].T * signs
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            y = (np.stack(pdf["y"].to_numpy()).astype(float) - mean[p:]) / deviation[p:] @ wy
+            has = pdf["x"].notna().to_numpy()
+            if has.any():
+                x = (np.stack(pdf.loc[has, "x"].to_numpy()).astype(float) - mean[:p]) / deviation[:p] @ wx
+                y[has] = (y[has] + x) / 2
+            yield pd.DataFrame({"token": pdf["token"], "vec": [*y]})
+
+    all_ = domain.where("vec is not null").select("token", F.col("vec").alias("y")).join(general.select("token", F.col("vec").alias("x")), "token", "left")
+    return all_.select("token", "x", "y").mapInPandas(project, schema)

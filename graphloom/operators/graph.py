@@ -166,3 +166,30 @@ def kron_initiator(edges: DataFrame, levels: int | None = None) -> tuple[float,
 
 def completed(observed: DataFrame, generated: DataFrame) -> DataFrame:
     return observed.select("src", "dst").unionByName(generated.select("src", "dst")).distinct()
+
+
+def masking_experiment(edges: DataFrame, runs: int = 5, part: float = 0.25, k: int = 100, seed: int = 1) -> DataFrame:
+    """(run, measure, ndcg): in each run a part of the nodes is hidden, the rest is completed by edges of a fitted Kronecker graph, and the centralities of the completed graph are held against those of the whole.
+
+    Generated nodes are numbered anew, so the completed graph takes the hidden nodes' places in the order of their ids.
+    """
+    spark = edges.sparkSession
+    edges = cut(edges.select("src", "dst"))
+    truth = {"degree": cut(degree_centrality(edges)), "eigenvector": cut(eigenvector_centrality(edges))}
+    order = numbered(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), ["node"], "row")
+    order = cut(order)
+    out = None
+    for run in range(runs):
+        seen = cut(without_nodes(edges, masked_nodes(edges, part, seed + run)))
+        weights = kron_initiator(seen)
+        n, m = order.count(), edges.count()
+        made = kronecker_edges(spark, weights, max(1, (n - 1).bit_length()), m, seed + run)
+        named = made.join(order.select(F.col("row").alias("src"), F.col("node").alias("a")), "src").join(order.select(F.col("row").alias("dst"), F.col("node").alias("b")), "dst")
+        hidden = masked_nodes(edges, part, seed + run).withColumn("h", F.lit(True))
+        fresh = named.join(hidden.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a", "left").join(hidden.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b", "left").where("ha or hb")
+        whole = cut(completed(seen, fresh.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))))
+        for measure, found in (("degree", degree_centrality(whole)), ("eigenvector", eigenvector_centrality(whole))):
+            score = ndcg(truth[measure].select("node", F.col("centrality").alias("value")), found.select("node", F.col("centrality").alias("value")), k)
+            row = score.select(F.lit(run).alias("run"), F.lit(measure).alias("measure"), "ndcg")
+            out = row if out is None else out.unionByName(row)
+    return out

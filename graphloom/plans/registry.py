@@ -828,5 +828,45 @@ def sem_answers(spark, d):
     return semantics.answers(asked, parts)
 
 
+@query("""WITH l AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::double) v FROM embeddings), m AS (SELECT vec_id, label, v, list_max(v) t FROM l),
+p AS (SELECT vec_id, label, list_transform(v, lambda x: x - t - ln(list_sum(list_transform(v, lambda y: exp(y - t))))) p FROM m)
+SELECT vec_id, round(p[1], 6) AS first, round(1 / (1 + exp(-p[1])), 6) AS gate, round(tanh(p[1]), 6) AS squashed, round(-0.9 * p[label + 1] - 0.1 / 63 * (list_sum(p) - p[label + 1]), 6) AS loss FROM p""")
+def embedding_losses(spark, d):
+    """Vectors as logits, their label as the true class."""
+    v = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    first = C.log_softmax(F.col("v"))[0]
+    return _rounded(v.select("vec_id", first.alias("first"), C.sigmoid(first).alias("gate"), F.tanh(first).alias("squashed"), C.smoothed_loss(F.col("v"), F.col("label")).alias("loss")), "first", "gate", "squashed", "loss")
+
+
+@query(f"WITH {_WORDS} SELECT doc_id, list_transform(range(1, 21), lambda i: CASE WHEN i <= len(w) THEN 1 ELSE 0 END) AS mask FROM w")
+def corpus_masks(spark, d):
+    return _docs(spark, d).where("text is not null").select("doc_id", C.mask(F.size(C.tokens(F.col("text"))), 20).alias("mask"))
+
+
+@query(f"WITH {_WORDS}, a AS (SELECT token, count(*) n FROM t GROUP BY token), b AS (SELECT unnest(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+')) token FROM clean_text), c AS (SELECT token, count(*) n FROM b GROUP BY token) SELECT token AS key, coalesce(a.n, 0) - coalesce(c.n, 0) AS n FROM a FULL JOIN c USING (token) WHERE coalesce(a.n, 0) - coalesce(c.n, 0) > 0")
+def corpus_combined_counts(spark, d):
+    """Words of the documents less those of the titles."""
+    titles = table(spark, d, "clean_text").select(F.explode(C.tokens(F.col("title"))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    return corpus.combined(text.vocabulary(_docs(spark, d)).withColumnRenamed("token", "key"), titles, -1, True)
+
+
+@query(f"WITH {_FACTS}, g AS (SELECT head, string_agg(r, ':' ORDER BY r) combination FROM (SELECT DISTINCT head, relation::varchar r FROM f) GROUP BY head) SELECT combination, count(*) AS n FROM g GROUP BY combination")
+def mln_argument_combinations(spark, d):
+    f = kg.facts(_triples(spark, d)).select("head", F.col("relation").cast("string").alias("relation"))
+    return corpus.combinations(f, "head", "relation")
+
+
+@query()
+def graph_masking_experiment(spark, d):
+    return graph.masking_experiment(_edges(spark, d), runs=2)
+
+
+@query()
+def embedding_adapted(spark, d):
+    """Halves of the vectors as general and domain vectors."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("token"), "embedding", "vec_id")
+    return embedding.adapted(v.where("vec_id % 3 > 0").select("token", F.slice("embedding", 1, 32).alias("vec")), v.select("token", F.slice("embedding", 33, 32).alias("vec")), 8)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return graph_key_triples(spark, d)

@@ -90,3 +90,29 @@ def test_ranked_sentences(spark):
     docs = spark.createDataFrame([(1, "Fever spread in towns. Fever spread fast in towns! Cows eat grass."), (2, None), (3, ""), (4, "One only")], "doc_id long, text string")
     got = {(r["doc_id"], r["sent"]): r["rank"] for r in text.ranked_sentences(docs).collect()}
     assert set(got) == {(1, 0), (1, 1), (1, 2), (4, 0)} and got[1, 0] == got[1, 1] > got[1, 2]
+
+
+def test_adapted_vectors_agree_where_the_sides_do(spark):
+    r = np.random.default_rng(5)
+    z = r.normal(size=(300, 3))
+    x, y = z @ r.normal(size=(3, 6)) + 0.01 * r.normal(size=(300, 6)), z @ r.normal(size=(3, 5)) + 0.01 * r.normal(size=(300, 5))
+    general = spark.createDataFrame([(f"w{i}", v.tolist()) for i, v in enumerate(x[:200])], "token string, vec array<double>")
+    domain = spark.createDataFrame([(f"w{i}", v.tolist()) for i, v in enumerate(y)], "token string, vec array<double>")
+    got = {t["token"]: np.array(t["vec"]) for t in embedding.adapted(general, domain, 3).collect()}
+    assert len(got) == 300 and all(len(v) == 3 for v in got.values())
+    m = np.stack([got[f"w{i}"] for i in range(300)])
+    fit = z @ np.linalg.lstsq(z, m, rcond=None)[0]
+    assert np.abs(fit - m).max() < 0.2  # the common part is found, also for words of the domain alone
+    assert embedding.adapted(general.limit(0), domain).count() == 0
+
+
+def test_dictionaries_and_draws(spark):
+    a, b = (spark.createDataFrame(d, "key string, n long") for d in ([("x", 3), ("y", 1)], [("x", 1), ("y", 1), ("z", 2)]))
+    assert rows(corpus.combined(a, b)) == [("x", 4), ("y", 2), ("z", 2)] and rows(corpus.combined(a, b, -1, True)) == [("x", 2)]
+    f = spark.createDataFrame([("a | b", "r", "c"), ("d", "s t", "e")], "head_name string, relation_name string, tail_name string")
+    got = sorted(tuple(r["tokens"]) for r in corpus.drawn_query(f, 2).collect())
+    assert got[1] == ("d", "s", "t", "e") and got[0] in {("a", "r", "c"), ("b", "r", "c")}
+    vocab = spark.createDataFrame([("p", 3), ("q", 4)], "token string, id long")
+    vecs = spark.createDataFrame([("p", [1.0, 3.0])], "token string, vec array<double>")
+    placed = {r["token"]: r["vec"] for r in embedding.in_order(vocab, vecs, 2).collect()}
+    assert placed["p"] == [1.0, 3.0] and len(placed["q"]) == 2
