@@ -12,25 +12,27 @@ from pyspark.sql import functions as F
 from graphloom.common import cut
 from graphloom.operators.components import connected_components
 
-BITS, MISS, MOST_TABLES = 10, 1e-4, 256
+MISS, MOST_TABLES = 1e-4, 256
 MAX_COMPONENT = 20_000
 
 
-def tables_for(distance: float, bits: int = BITS, miss: float = MISS) -> int:
-    """Hash tables of so many signs of random projections that miss a pair at the distance with the probability `miss`."""
+def tables_for(distance: float, miss: float = MISS, most: int = MOST_TABLES) -> tuple[int, int]:
+    """(tables, bits): hash tables of so many signs of random projections that miss a pair at the distance with the probability `miss`; the most bits that `most` tables allow."""
     agree = 1 - np.arccos(1 - distance) / np.pi
-    return int(np.ceil(np.log(miss) / np.log1p(-(agree**bits))))
+    need = lambda bits: int(np.ceil(np.log(miss) / np.log1p(-(agree**bits))))
+    bits = 1
+    while bits < 24 and need(bits + 1) <= most:
+        bits += 1
+    return need(bits), bits
 
 
-def close_pairs(vectors: DataFrame, distance: float, seed: int = 1, bits: int = BITS) -> DataFrame:
+def close_pairs(vectors: DataFrame, distance: float, seed: int = 1) -> DataFrame:
     """(a, b, distance): pairs of (id, vec) with a cosine distance of at most `distance`.
 
     Vectors with the same signs under a group of random projections are compared exactly. A pair at the distance is missed
-    with the probability MISS; as many tables as that takes are used, or the call is refused. Null and all-zero vectors are near to none.
+    with the probability MISS at most. Null and all-zero vectors are near to none.
     """
-    n = tables_for(distance, bits)
-    if n > MOST_TABLES:
-        raise ValueError("too large a distance for signs of projections")
+    n, bits = tables_for(distance)
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes = None

