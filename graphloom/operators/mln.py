@@ -10,6 +10,9 @@ from graphloom.common import cut
 from graphloom.functions.columns import delta
 
 
+MAX_CLUSTERS = 2000  # so many relations have two million pairs
+
+
 def parts(triples: DataFrame) -> DataFrame:
     """(clust, argtype, child): each use of an entity by a relation: relations are the first clusters, `head` and `tail` their arguments."""
     f = triples.where("head is not null and tail is not null and relation is not null and head <> -1 and tail <> -1 and relation <> -1")
@@ -45,25 +48,29 @@ def merge_scores(table: DataFrame, least: int = 10, bonus: float = 5.0) -> DataF
     return both.where(F.col("shared") >= least).join(t1, "c1").join(t2, "c2").select("c1", "c2", "shared", (F.col("gain") - delta(F.col("n1"), F.col("n2"))).alias("score"))
 
 
-def induce(triples: DataFrame, rounds: int = 100_000, least: int = 10, active: float = 10.0) -> DataFrame:
+def induce(triples: DataFrame, rounds: int = 1000, least: int = 10, active: float = 10.0) -> DataFrame:
     """(clust, merged): clusters after rounds of merges, until no pair reaches the active score.
 
-    A round executes all best pairs that do not conflict: each cluster's best partner is the other's best, too. Counts
-    are then recomputed for the merged clusters and the agenda is scored anew. Each round merges the best pair at least, so
-    there are fewer rounds than clusters. Compose operations are not executed.
+    A round executes, from the best score down, all pairs of which neither cluster was in a better one; ties by the ids. Counts
+    are then recomputed for the merged clusters and the agenda is scored anew. Clusters are relations, so the agenda is bounded by their number squared and comes to
+    the driver; more than MAX_CLUSTERS are refused. Compose operations are not executed.
     """
-    uses = cut(parts(triples))
-    label = cut(uses.select("clust").distinct().withColumn("merged", F.col("clust")))
+    spark = triples.sparkSession
+    uses = cut(counts(parts(triples)))
+    label = {r["clust"]: r["clust"] for r in uses.select("clust").distinct().limit(MAX_CLUSTERS + 1).collect()}
+    if len(label) > MAX_CLUSTERS:
+        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
     for _ in range(rounds):
-        table = cut(counts(uses.join(label, "clust").select(F.col("merged").alias("clust"), "argtype", "child")))
-        scored = merge_scores(table, least).where(F.col("score") >= active)
-        both = scored.select(F.col("c1").alias("a"), F.col("c2").alias("b"), "score").unionByName(scored.select(F.col("c2").alias("a"), F.col("c1").alias("b"), "score"))
-        best = both.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("s"), "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-        mutual = cut(best.join(best.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.col("a") == F.col("y")) & (F.col("b") == F.col("x"))).where("a < b").select("a", "b"))
-        if not mutual.limit(1).count():
-            return label
-        # mutual bests are pairs, so the larger id takes the smaller one's label
-        label = cut(label.join(mutual, F.col("merged") == F.col("b"), "left").select("clust", F.coalesce("a", "merged").alias("merged")))
+        labels = spark.createDataFrame(sorted(label.items()), "clust bigint, merged bigint")
+        table = uses.join(F.broadcast(labels), "clust").groupBy(F.col("merged").alias("clust"), "argtype", "child").agg(F.sum("n").alias("n"))
+        agenda = merge_scores(cut(table), least).where(F.col("score") >= active).select("c1", "c2", "score").collect()
+        if not agenda:
+            return labels
+        moved: dict[int, int] = {}
+        for pair in sorted(agenda, key=lambda r: (-round(r["score"], 6), r["c1"], r["c2"])):
+            if pair["c1"] not in moved and pair["c2"] not in moved:
+                moved[pair["c1"]] = moved[pair["c2"]] = pair["c1"]
+        label = {c: moved.get(m, m) for c, m in label.items()}
     raise RuntimeError("pairs of clusters still reach the active score")
 
 

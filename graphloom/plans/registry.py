@@ -437,7 +437,7 @@ def clean_articles(spark, d):
 
 
 @query(f"""WITH t AS (SELECT article_id, {cleaning.chain_sql("title", cleaning.QUERY)} t FROM clean_text WHERE title IS NOT NULL),
-u AS (SELECT article_id, t, list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '') w FROM t),
+u AS (SELECT article_id, t, list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '') w FROM t),
 v AS (SELECT article_id, CASE WHEN ends_with(t, '?') THEN t ELSE t || '?' END q FROM u WHERE t <> '' AND list_sum(list_transform(w, lambda x: length(x))) / len(w) >= 2)
 SELECT article_id, upper(substr(q, 1, 1)) || substr(q, 2) AS question FROM v""")
 def clean_queries(spark, d):
