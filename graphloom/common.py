@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +22,7 @@ def local_session(name: str = "graphloom", cores: str = "8", **conf: str) -> Spa
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.adaptive.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in (base | conf).items():
         builder = builder.config(key, value)
@@ -34,7 +37,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @functools.cache
 def _local_checkpoint_dir() -> str:
-    return tempfile.mkdtemp(prefix="graphloom-checkpoint-")
+    folder = tempfile.mkdtemp(prefix="graphloom-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
