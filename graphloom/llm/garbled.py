@@ -73,6 +73,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"pair": list(pairs), "n": list(pairs.values())}).astype({"n": "int64"})
 
 
+UTF8 = 5.0  # bits by which UTF-8 is more likely to be the right encoding than any other, where the bytes allow both
 WITHIN = {"一": 10.0, "あ": 5.0, "ア": 5.5, "가": 10.0}  # bits that tell a character within its class
 
 
@@ -178,6 +179,7 @@ def _best(model: Model, text: str, a: int, b: int) -> tuple[float, str, tuple[st
         return None
     if piece in HOMOGLYPHS:
         return None  # a lone letter of similar look is a misreading
+    top = 0.0
     best, lone = None, len(FOREIGN.findall(piece)) == 1  # a single byte may be read as anything
     raws = {wrong: _raw(piece, wrong) for wrong in WRONG}
     seen: set[str] = set()
@@ -196,8 +198,9 @@ def _best(model: Model, text: str, a: int, b: int) -> tuple[float, str, tuple[st
             if len(strange) > 0.2 * len(f):
                 continue
             gain = model.likelihood(left + f + right_) - before - (7.0 if lone and mapping[1] != "utf-8" else 0.0)
-            if best is None or gain > best[0]:
-                best = gain, f, mapping
+            rank = gain + (UTF8 if mapping[1] == "utf-8" else 0.0)
+            if best is None or rank > top:
+                best, top = (gain, f, mapping), rank
     return best
 
 
