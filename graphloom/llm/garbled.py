@@ -170,7 +170,7 @@ def inverse(text: str, wrong: str, right: str) -> str | None:
         return None
 
 
-def _best(model: Model, text: str, a: int, b: int) -> tuple[float, str, tuple[str, str]] | None:
+def _best(model: Model, text: str, a: int, b: int, trusted: frozenset = frozenset()) -> tuple[float, str, tuple[str, str]] | None:
     """The mapping of text[a:b] that gains most, with the gain in bits."""
     piece = text[a:b]
     left, right_ = text[max(0, a - 1) : a] or " ", text[b : b + 1] or " "
@@ -180,7 +180,7 @@ def _best(model: Model, text: str, a: int, b: int) -> tuple[float, str, tuple[st
     if piece in HOMOGLYPHS:
         return None  # a lone letter of similar look is a misreading
     top = 0.0
-    best, lone = None, len(FOREIGN.findall(piece)) == 1  # a single byte may be read as anything
+    best, lone = None, len(FOREIGN.findall(piece)) == 1  # a single byte may be read as anything, unless the mapping is at home in the text
     raws = {wrong: _raw(piece, wrong) for wrong in WRONG}
     seen: set[str] = set()
     for mapping in MAPPINGS:
@@ -197,7 +197,7 @@ def _best(model: Model, text: str, a: int, b: int) -> tuple[float, str, tuple[st
             strange = set(classes(f)) - model.known
             if len(strange) > 0.2 * len(f):
                 continue
-            gain = model.likelihood(left + f + right_) - before - (7.0 if lone and mapping[1] != "utf-8" else 0.0)
+            gain = model.likelihood(left + f + right_) - before - (7.0 if lone and mapping[1] != "utf-8" and mapping not in trusted else 0.0)
             rank = gain + (UTF8 if mapping[1] == "utf-8" else 0.0)
             if best is None or rank > top:
                 best, top = (gain, f, mapping), rank
@@ -212,11 +212,30 @@ def _twice(text: str) -> str:
     return text
 
 
+def _fixes(model: Model, text: str, segments: list[list[int]], margin: float, trusted: frozenset) -> list[tuple[int, int, str, tuple[str, str]]]:
+    fixes = []
+    for a, b in segments:
+        found = _best(model, text, a, b, trusted) if FOREIGN.search(text, a, b) else None
+        if found and found[0] >= margin and found[0] >= 0.5 * len(ISLAND.findall(text[a:b])):
+            fixes.append((a, b, *found[1:]))
+            continue
+        for m in TOKENS.finditer(text, a, b):
+            found = _best(model, text, m.start(), m.end(), trusted)
+            if found and found[0] >= margin:
+                fixes.append((m.start(), m.end(), *found[1:]))
+                continue
+            for i in ISLAND.finditer(text, m.start(), m.end()):
+                found = _best(model, text, i.start(), i.end(), trusted)
+                if found and found[0] >= margin:
+                    fixes.append((i.start(), i.end(), *found[1:]))
+    return fixes
+
+
 def restore(model: Model, text: str, margin: float = 7.0) -> tuple[str, list[tuple[int, int, str]]]:
     """(restored text, replaced runs as start, end, replacement).
 
     Only segments of improbable pairs are tried, widened to the words they touch; first the whole run, then each
-    word, then each island of foreign characters.
+    word, then each island of foreign characters. Mappings that were found are trusted with single characters in a second pass.
     """
     if not FOREIGN.search(text):
         return text, []
@@ -229,21 +248,10 @@ def restore(model: Model, text: str, margin: float = 7.0) -> tuple[str, list[tup
             segments[-1][1] = max(b, segments[-1][1])
         elif FOREIGN.search(text, a, b):
             segments.append([a, b])
-    fixes = []
-    for a, b in segments:
-        found = _best(model, text, a, b) if FOREIGN.search(text, a, b) else None
-        if found and found[0] >= margin and found[0] >= 0.5 * len(ISLAND.findall(text[a:b])):
-            fixes.append((a, b, found[1]))
-            continue
-        for m in TOKENS.finditer(text, a, b):
-            found = _best(model, text, m.start(), m.end())
-            if found and found[0] >= margin:
-                fixes.append((m.start(), m.end(), found[1]))
-                continue
-            for i in ISLAND.finditer(text, m.start(), m.end()):
-                found = _best(model, text, i.start(), i.end())
-                if found and found[0] >= margin:
-                    fixes.append((i.start(), i.end(), found[1]))
+    fixes = _fixes(model, text, segments, margin, frozenset())
+    if fixes:
+        fixes = _fixes(model, text, segments, margin, frozenset(f[3] for f in fixes))
+    fixes = [f[:3] for f in fixes]
     out, at = [], 0
     for a, b, f in fixes:
         out += [text[at:a], f]
