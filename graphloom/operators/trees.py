@@ -6,7 +6,7 @@ nodes and no actions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -119,17 +119,75 @@ def replay(actions: list[str]) -> tuple[str | None, str | None]:
     return None, stack[-1][1][0] if stack[-1][1] else "reduce"
 
 
+ROWS = 50_000  # node rows of one batch, beyond which only the nodes of a single tree go
+
+
 def nodes(trees: DataFrame) -> DataFrame:
     """(tree_id, node, parent, ord, depth, label, word) of trees (tree_id, tree)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = lambda rows: pd.DataFrame(rows, columns=["tree_id", "node", "parent", "ord", "depth", "label", "word"]).astype({"parent": "Int64"})
         for pdf in batches:
-            rows = [(i, *n) for i, text in zip(pdf["tree_id"], pdf["tree"]) if (t := parse(text)) for n in walk(t)]
-            yield pd.DataFrame(rows, columns=["tree_id", "node", "parent", "ord", "depth", "label", "word"]).astype({"parent": "Int64"})
+            rows = []
+            for i, text in zip(pdf["tree_id"], pdf["tree"]):
+                if t := parse(text):
+                    rows += [(i, *n) for n in walk(t)]
+                if len(rows) >= ROWS:
+                    yield table(rows)
+                    rows = []
+            yield table(rows)
 
     return trees.select("tree_id", "tree").mapInPandas(run, "tree_id bigint, node int, parent int, ord int, depth int, label string, word boolean")
 
 
+def shape(rows: Iterable[tuple]) -> tuple[int, int, int, str]:
+    """(nodes, leaves, depth, sentence) of the node rows of one tree, in their order."""
+    n = deepest = 0
+    words = []
+    for _, _, _, depth, label, word in rows:
+        n, deepest = n + 1, max(deepest, depth)
+        if word:
+            words.append(label)
+    return n, len(words), deepest, " ".join(words) if words else "<None>"
+
+
+def is_sane(rows: Iterable[tuple]) -> bool:
+    """`sane` for the node rows of one tree."""
+    here, kids, roots = set(), {}, 0
+    for node, parent, order, *_ in rows:
+        here.add(node)
+        if parent is None:
+            roots += 1
+        elif not parent < node:
+            return False
+        else:
+            kids.setdefault(parent, []).append(order)
+    return roots == 1 and all(p in here and sorted(o) == list(range(len(o))) for p, o in kids.items())
+
+
+def _each(trees: DataFrame, of: Callable[[Iterator[tuple]], tuple], names: list[str], types: str) -> DataFrame:
+    """tree_id with values of the node rows of each tree. A tree is one row, so its nodes need no shuffle and no table."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in range(0, len(pdf), 1000):
+                part = pdf.iloc[k : k + 1000]
+                rows = [(i, *of(walk(t))) for i, text in zip(part["tree_id"], part["tree"]) if (t := parse(text))]
+                yield pd.DataFrame(rows, columns=["tree_id", *names])
+
+    return trees.select("tree_id", "tree").mapInPandas(run, f"tree_id bigint, {types}")
+
+
+def shapes_of(trees: DataFrame) -> DataFrame:
+    """`shapes` of trees (tree_id, tree), a row for each."""
+    return _each(trees, shape, ["nodes", "leaves", "depth", "sentence"], "nodes bigint, leaves bigint, depth int, sentence string")
+
+
+def sane_of(trees: DataFrame) -> DataFrame:
+    """`sane` of trees (tree_id, tree), a row for each."""
+    return _each(trees, lambda rows: (is_sane(rows),), ["sane"], "sane boolean")
+
+
 def actions(trees: DataFrame) -> DataFrame:
     """(tree_id, actions) of trees (tree_id, tree)."""
 

@@ -81,3 +81,28 @@ def test_training_rows(spark):
 def test_pointers(spark):
     lines = spark.createDataFrame([(1, [2, 0, 2, 3]), (2, [-1, 0]), (3, [2, 1]), (4, [])], "tree_id long, parents array<int>")
     assert rows(T.pointer_depths(lines)) == [(1, 1, 2, 1), (1, 2, 0, 0), (1, 3, 2, 1), (1, 4, 3, 2), (2, 2, 0, 0), (3, 1, 2, None), (3, 2, 1, None)]
+
+
+@given(tree)
+@settings(max_examples=60, deadline=None)
+def test_checks_of_one_tree(t):
+    table = list(T.walk(t))
+    assert T.is_sane(table) and T.shape(table)[:2] == (len(table), sum(r[5] for r in table))
+    lost = [(n + 100, p, *rest) if p is None else (n, p, *rest) for n, p, *rest in table]  # the root's children have no parent left
+    gap = [(n, p, o + 1 if p == 0 else o, *rest) for n, p, o, *rest in table]
+    for bad in (lost, gap, [*table, table[0]], table[1:], [(0, 0, *r[2:]) if r[1] is None else r for r in table]):
+        assert not T.is_sane(bad)
+
+
+def test_trees_are_checked_each_by_itself(spark):
+    data = spark.createDataFrame([(1, WHY, "x"), (2, "(S)", "x"), (3, None, "x"), (4, "(S (", "x")], "tree_id long, tree string, note string")
+    assert rows(T.shapes_of(data)) == rows(T.shapes(T.nodes(data)))
+    assert rows(T.sane_of(data)) == rows(T.sane(T.nodes(data)))
+    for f in (T.shapes_of, T.sane_of):  # no shuffle of node rows
+        assert "Exchange" not in f(data)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_batches_hold_all_nodes(spark, monkeypatch):
+    monkeypatch.setattr(T, "ROWS", 20)
+    data = spark.range(50).selectExpr("id as tree_id", f"'{WHY}' as tree").coalesce(1)
+    assert T.nodes(data).groupBy("tree_id").count().where("count = 14").count() == 50
