@@ -5,11 +5,14 @@ tokens: doc, sent, idx (from 1), form, lemma, pos. deps: doc, sent, rel, gov, de
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from graphloom.common import cut
 from graphloom.operators import corpus
 
 # Relations that are left out of dependencies
@@ -58,17 +61,36 @@ def with_verb(tokens: DataFrame) -> DataFrame:
 def reached(deps: DataFrame) -> DataFrame:
     """(doc, sent, idx, ignored): a token is ignored unless its governors lead up to the root, 0.
 
-    Pointers jump, so the rounds are the logarithm of a sentence's depth. Of several governors the one of the least index counts.
+    A sentence's pointers are one row, shuffled once; there they jump, so the rounds are the logarithm of the sentence's depth. Of several governors the
+    one of the least index counts.
     """
-    up = deps.where("dep > 0").groupBy(*SENTENCE, F.col("dep").alias("idx")).agg(F.min("gov").alias("at"))
-    up = cut(up)
-    for _ in range(40):
-        further = up.select(*SENTENCE, F.col("idx").alias("at"), F.col("at").alias("next"))
-        new = cut(up.join(further, [*SENTENCE, "at"], "left").select(*SENTENCE, "idx", F.coalesce("next", "at").alias("at"), (F.col("next").isNotNull() & (F.col("next") != F.col("at"))).alias("moved")))
-        up = new.drop("moved")
-        if new.where("moved and at > 0").isEmpty():
-            return up.select(*SENTENCE, "idx", (F.col("at") != 0).alias("ignored"))
-    return up.select(*SENTENCE, "idx", (F.col("at") != 0).alias("ignored"))  # what still moves is on a ring
+    row = F.struct(F.col("dep").cast("bigint").alias("dep"), F.col("gov").cast("bigint").alias("gov"))
+    whole = deps.where("dep > 0").groupBy(*SENTENCE).agg(F.sort_array(F.collect_list(row)).alias("d"))
+    flat = whole.select(*SENTENCE, F.transform("d", lambda x: x["dep"]).alias("dep"), F.transform("d", lambda x: x["gov"]).alias("gov"))
+    kinds = dict(deps.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                dep, gov = batch.column(2)[k].values, batch.column(3)[k].values
+                none, idx = np.asarray(gov.is_null()), dep.to_numpy()
+                at = np.where(none, np.iinfo(np.int64).min, gov.fill_null(0).to_numpy())
+                # the least governor of each token; one without any has a null
+                order = np.lexsort((at, none, idx))
+                first = order[np.r_[True, idx[order][1:] != idx[order][:-1]]]
+                idx, at, none = idx[first], at[first], none[first]
+                place = np.minimum(np.searchsorted(idx, at), len(idx) - 1)
+                to = np.where((idx[place] == at) & ~none[place], place, -1)  # row of the governor, if it leads on
+                end = at
+                for _ in range(len(idx).bit_length()):  # what still moves then is on a ring
+                    end = np.where(to >= 0, end[to], end)
+                    to = np.where(to >= 0, to[to], -1)
+                ignored = pa.array((end != 0) | (to >= 0), mask=none)
+                keys = [pa.repeat(batch.column(i)[k], len(idx)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(idx), ignored], ["doc", "sent", "idx", "ignored"])
+
+    found = flat.mapInArrow(run, f"doc {kinds['doc']}, sent {kinds['sent']}, idx bigint, ignored boolean")
+    return found.select(*SENTENCE, F.col("idx").cast(kinds["dep"]).alias("idx"), "ignored")
 
 
 def subtree(tokens: DataFrame, deps: DataFrame, starts: DataFrame, prefixes: str) -> DataFrame:

@@ -110,3 +110,31 @@ def test_small_files(spark, tmp_path):
     assert rows(readers.word_vectors(spark, str(tmp_path / "v"))) == [("w", [1.0, 2.5])]
     sinks.lines(spark.createDataFrame([("term",), (None,)], "t string"), "t", str(tmp_path / "l"))
     assert rows(spark.read.text(str(tmp_path / "l"))) == [("term",)]
+
+
+def test_reached_of_chains_and_rings(spark):
+    import random
+
+    rng = random.Random(5)
+    data = [(1, 0, "x", i - 1, i) for i in range(1, 3000)]  # one deep chain
+    for doc in range(2, 60):
+        n = rng.randint(1, 12)
+        data += [(doc, 0, "x", rng.choice([None, 0, 0, 99, *range(1, n + 1)]), rng.randint(1, n)) for _ in range(n)]
+    least = {}
+    for doc, _, _, gov, dep in data:
+        old = least.setdefault((doc, dep), gov)
+        least[doc, dep] = gov if old is None else old if gov is None else min(old, gov)
+
+    def want(doc, dep):
+        at = least[doc, dep]
+        if at is None:
+            return None
+        for _ in range(3000):
+            if least.get((doc, at)) is None:
+                return at != 0
+            at = least[doc, at]
+        return True
+
+    out = P.reached(spark.createDataFrame(data, "doc long, sent int, rel string, gov int, dep int"))
+    assert {(r["doc"], r["idx"]): r["ignored"] for r in out.collect()} == {k: want(*k) for k in least}
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Join") == 0  # a sentence is shuffled once and not joined
