@@ -6,8 +6,13 @@ argument cluster is (clust, dep of the children).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.common import cut
@@ -37,6 +42,95 @@ def parts_of(tokens: DataFrame, deps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select(part, "clust", "reltype", "par", F.when(F.col("par").isNotNull(), F.col("dep")).alias("dep"), "doc", "sent", "idx", "form", "lemma", "pos"), clusters
 
 
+def cluster_name(pos: Column, lemma: Column) -> Column:
+    """`(POS:lemma)`, the name of the cluster of a part of speech and lemma."""
+    return F.concat(F.lit("("), F.coalesce(pos, F.lit("null")), F.lit(":"), F.coalesce(lemma, F.lit("null")), F.lit(")"))
+
+
+def _linked(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The parts of some sentences (doc, sent, tokens, deps); see sentence_parts."""
+    sides = []
+    for column in (batch.column(2), batch.column(3)):
+        number = np.repeat(np.arange(len(column)), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+        flat = column.flatten()
+        sides.append((number, {f.name: pc.struct_field(flat, f.name) for f in flat.type}))
+    (own, tokens), (other, deps) = sides
+    whole = lambda x: x.cast(pa.int64()).fill_null(-1).to_numpy()
+    idx, dep, gov = whole(tokens["idx"]), whole(deps["dep"]), whole(deps["gov"])
+    least = min([x.min() for x in (idx, dep, gov) if len(x)], default=0)
+    wide = max([x.max() for x in (idx, dep, gov) if len(x)], default=0) - least + 1
+    key = lambda number, x: number * wide + (x - least)
+    rels = deps["rel"].dictionary_encode()
+    code = rels.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    rank = np.empty(len(rels.dictionary) + 1, np.int64)
+    rank[-1] = -1
+    rank[pc.sort_indices(rels.dictionary).to_numpy()] = np.arange(len(rels.dictionary))
+    # the governor of the least index of each token
+    dkey = key(other, dep)
+    order = np.lexsort((rank[code], gov, dkey)) if len(dkey) else np.empty(0, np.int64)
+    order = order[np.r_[True, dkey[order][1:] != dkey[order][:-1]]] if len(order) else order
+    find = lambda keys, x: np.minimum(np.searchsorted(keys, x), max(0, len(keys) - 1))
+    tkey = key(own, idx)
+    at = find(dkey[order], tkey)
+    node = np.flatnonzero(dkey[order][at] == tkey) if len(order) else np.empty(0, np.int64)  # tokens with a dependency
+    link = order[at[node]] if len(order) else node
+    above = key(other[link], gov[link])
+    by_key = np.argsort(tkey[node], kind="stable")
+    place = find(tkey[node][by_key], above)
+    head = by_key[place] if len(node) else node
+    some = tkey[node][head] == above if len(node) else np.empty(0, bool)
+    # how many children of one relation the parent has, at the first of them
+    group = (head * (len(rank) + 1) + code[link] + 1)[some]
+    _, first, size = np.unique(group, return_index=True, return_counts=True)
+    k = np.zeros(len(node), np.int64)
+    k[np.flatnonzero(some)[first]] = size
+    up = pa.array(node[head] if len(node) else node, mask=~some)
+    take = lambda x, i: x.take(pa.array(i))
+    columns = [take(batch.column(i), own[node]) for i in (0, 1)] + [take(tokens[n], node) for n in ("idx", "form", "lemma", "pos")]
+    columns += [tokens[n].take(up) for n in ("idx", "lemma", "pos")] + [deps["rel"].take(pa.array(link, mask=~some)), pa.array(k, mask=k == 0)]
+    return pa.RecordBatch.from_arrays(columns, ["doc", "sent", "idx", "form", "lemma", "pos", "head_idx", "head_lemma", "head_pos", "dep", "k"])
+
+
+def sentence_parts(sentences: DataFrame) -> DataFrame:
+    """The parts of `parts_of` with what tells their parent's cluster, for sentences (doc, sent, tokens, deps), one row each, so that nothing is shuffled.
+
+    tokens array<struct<idx, form, lemma, pos>>, deps array<struct<rel, gov, dep>>. Rows: part, reltype, par, dep, head (reltype of the parent), k (at the first
+    child of a relation: how many the parent has of it), doc, sent, idx, form, lemma, pos, head_lemma, head_pos.
+    """
+    kinds = dict(sentences.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                yield _linked(batch.slice(i, 500))
+
+    idx = sentences.schema["tokens"].dataType.elementType["idx"].dataType.simpleString()
+    out = sentences.select("doc", "sent", "tokens", "deps").mapInArrow(run, f"doc {kinds['doc']}, sent {kinds['sent']}, idx {idx}, form string, lemma string, pos string, head_idx {idx}, head_lemma string, head_pos string, dep string, k bigint")
+    below = F.col("head_idx").isNotNull()
+    return out.select(
+        node_id(F.col("doc"), F.col("sent"), F.col("idx")).alias("part"),
+        cluster_name(F.col("pos"), F.col("lemma")).alias("reltype"),
+        F.when(below, node_id(F.col("doc"), F.col("sent"), F.col("head_idx"))).alias("par"),
+        "dep",
+        F.when(below, cluster_name(F.col("head_pos"), F.col("head_lemma"))).alias("head"),
+        "k", "doc", "sent", "idx", "form", "lemma", "pos", "head_lemma", "head_pos",
+    )
+
+
+def sentence_tables(parts: DataFrame) -> dict[str, DataFrame]:
+    """The count tables of `tables` for sentence parts with clust and head, the cluster of the parent (null for a root): only counts are shuffled and kept."""
+    links = cut(parts.groupBy("head", "dep", "clust", "reltype").agg(F.count("*").alias("n"), F.count("k").alias("p")))
+    below, n = links.where("head is not null"), F.sum("n").alias("n")
+    return {
+        "totals": links.groupBy("clust").agg(n),
+        "reltypes": links.groupBy("clust", "reltype").agg(n),
+        "roots": links.where("head is null").groupBy("clust").agg(n),
+        "children": below.groupBy(F.col("head").alias("clust"), F.col("dep").alias("arg"), F.col("clust").alias("child")).agg(n),
+        "args": below.groupBy(F.col("head").alias("clust"), F.col("dep").alias("arg")).agg(F.sum("n").alias("t"), F.sum("p").alias("p")),
+        "nums": parts.where("k is not null").groupBy(F.col("head").alias("clust"), F.col("dep").alias("arg"), "k").agg(F.count("*").alias("n")),
+    }
+
+
 def tables(parts: DataFrame) -> dict[str, DataFrame]:
     """Count tables: totals (clust, n), reltypes (clust, reltype, n), roots (clust, n), children (clust, arg, child, n), args (clust, arg, t arguments, p parts that have some), nums (clust, arg, k, n parts with k arguments)."""
     heads = parts.select(F.col("part").alias("par"), F.col("clust").alias("head"))
@@ -53,6 +147,14 @@ def tables(parts: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def with_ids(table: DataFrame, names: DataFrame, *columns: str) -> DataFrame:
+    """A count table with the ids of clusters in place of their names; names has clust, one row for each or more."""
+    ids = cut(kg.dense_ids(names, "clust"))
+    for c in columns:
+        table = table.join(ids.select(F.col("name").alias(c), F.col("id").alias("_id")), c).drop(c).withColumnRenamed("_id", c)
+    return table
+
+
 def _sides(table: DataFrame, keys: list[str], value: str = "n", more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     side = lambda i: table.select(F.col("clust").alias(f"c{i}"), *keys, *[F.col(m).alias(f"{m}{i}") for m in (value, *more)])
     return side(1), side(2)

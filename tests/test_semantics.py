@@ -72,3 +72,29 @@ def test_questions_find_answers(spark):
     assert clusters.count() == 7 and parts.count() == 9 and parts.where("par is null").count() == 2
     q = spark.createDataFrame([(1, "carry", "nsubj", "the rat"), (2, "carry", "dobj", "virus"), (3, "carry", "nsubj", "cow"), (4, "carry", "nsubj", "zebra"), (5, "eat", "nsubj", "bat")], "q long, rel string, dep string, arg string")
     assert rows(S.answers(q, parts).select("q", "answer")) == [(1, "marsh viruses"), (2, "Bats")]
+
+
+def test_parts_of_sentences_equal_those_of_tables(spark):
+    """Gaps, several governors, governors without a part, rings, empty sentences."""
+    import random
+
+    rng = random.Random(3)
+    tokens, deps, sents = [], [], []
+    for doc in range(40):
+        idx = rng.sample(range(1, 20), rng.randint(0, 9))
+        t = [(i, rng.choice("abc"), rng.choice("xyz"), rng.choice(["NN", "VB"])) for i in idx]
+        x = [(rng.choice(["nsubj", "dobj", "conj"]), rng.choice([0, 99, *idx]), i) for i in idx for _ in range(rng.choice([0, 1, 1, 2]))]
+        tokens += [(doc, 0, *r) for r in t]
+        deps += [(doc, 0, *r) for r in x]
+        sents.append((doc, 0, t, x))
+    t = spark.createDataFrame(tokens, "doc long, sent int, idx int, form string, lemma string, pos string")
+    d = spark.createDataFrame(deps, "doc long, sent int, rel string, gov int, dep int")
+    s = spark.createDataFrame(sents, "doc long, sent int, tokens array<struct<idx:int,form:string,lemma:string,pos:string>>, deps array<struct<rel:string,gov:int,dep:int>>")
+    old, new = S.parts_of(t, d)[0], S.sentence_parts(s)
+    names = ["part", "reltype", "par", "dep", "doc", "sent", "idx", "form", "lemma", "pos"]
+    assert rows(old.select(*names)) == rows(new.select(*names))
+    assert "Exchange" not in new._jdf.queryExecution().executedPlan().toString()
+    want = S.tables(old.withColumn("clust", F.xxhash64("reltype")))
+    got = S.sentence_tables(new.withColumn("clust", F.xxhash64("reltype")).withColumn("head", F.when(F.col("head").isNotNull(), F.xxhash64("head"))))
+    for k in want:
+        assert rows(got[k].select(*want[k].columns)) == rows(want[k]), k
