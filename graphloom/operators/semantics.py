@@ -117,9 +117,14 @@ def sentence_parts(sentences: DataFrame) -> DataFrame:
     )
 
 
-def sentence_tables(parts: DataFrame) -> dict[str, DataFrame]:
-    """The count tables of `tables` for sentence parts with clust and head, the cluster of the parent (null for a root): only counts are shuffled and kept."""
-    links = cut(parts.groupBy("head", "dep", "clust", "reltype").agg(F.count("*").alias("n"), F.count("k").alias("p")))
+def sentence_tables(parts: DataFrame, few: bool = False) -> dict[str, DataFrame]:
+    """The count tables of `tables` for sentence parts with clust and head, the cluster of the parent (null for a root).
+
+    Each table is a pass over the sentences that shuffles only its own counts; few clusters are counted once and their links kept.
+    """
+    links = parts.select("head", "dep", "clust", "reltype", F.lit(1).alias("n"), F.col("k").isNotNull().cast("int").alias("p"))
+    if few:
+        links = cut(links.groupBy("head", "dep", "clust", "reltype").agg(F.sum("n").alias("n"), F.sum("p").alias("p")))
     below, n = links.where("head is not null"), F.sum("n").alias("n")
     return {
         "totals": links.groupBy("clust").agg(n),
