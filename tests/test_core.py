@@ -81,6 +81,17 @@ def test_centralities_of_small_graphs(spark):
     assert graph.eigenvector_centrality(star.limit(0)).count() == 0
 
 
+def test_power_iteration_of_many_rounds_takes_few_jobs(spark):
+    """A chain with a loop and a far part settles late; both ways give the same."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(4)] + [(3, 3), (50, 51), (50, 52)], "src long, dst long")
+    spark.sparkContext.setJobGroup("power", "")
+    e = dict(rows(graph.eigenvector_centrality(edges, tol=2e-3)))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("power"))
+    spark.sparkContext.setJobGroup("other", "")
+    joined = dict(rows(graph.eigenvector_centrality(edges, tol=2e-3, in_one=0)))
+    assert jobs < 20 and e.keys() == joined.keys() and all(math.isclose(e[k], joined[k], rel_tol=1e-9) for k in e)
+
+
 def test_compare_and_ndcg(spark):
     old = spark.createDataFrame([(1, 0.5), (2, 0.2)], "node long, centrality double")
     new = spark.createDataFrame([(1, 1.0), (3, 0.1)], "node long, centrality double")
