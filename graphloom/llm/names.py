@@ -9,6 +9,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from graphloom.common import cut
 
@@ -128,7 +129,6 @@ def parse(name: str) -> dict | None:
 
 
 PARSED = "name string, kind string, sur string, given string, abbr string, inits string, sure boolean, one string, two string"
-FEW = 64  # a surname with more forenames does not tell which of them mean one person
 ROUNDS = 100
 
 
@@ -193,15 +193,26 @@ def _fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _aliases(whole: DataFrame) -> DataFrame:
     """(given, full): forenames that stand beside a more common one under most of their surnames, which chance does not do.
 
-    whole has distinct sur and given. Only surnames with at most FEW forenames are evidence.
+    whole has distinct sur and given. All surnames are evidence; by chance, a surname of many other forenames has any of them more
+    often, in proportion to their number. A forename meets those under its surnames of fewest forenames alone, so many that none which it shares most
+    surnames with is missed; the surnames of these pairs are then counted in full.
     """
-    alone = whole.groupBy("sur").agg(F.count("*").alias("f")).where(F.col("f") <= FEW).select("sur")
-    seen = whole.join(alone, "sur")
-    total = seen.agg(F.count_distinct("sur").alias("total"))
-    n = seen.groupBy("given").agg(F.count("*").alias("n"))
-    both = seen.join(seen.select("sur", F.col("given").alias("full")), "sur").where("given <> full").groupBy("given", "full").agg(F.count("*").alias("k")).where("k >= 3")
-    rated = both.join(n, "given").join(n.select(F.col("given").alias("full"), F.col("n").alias("m")), "full").join(F.broadcast(total))
-    told = rated.where("m > n and 2 * k > n and k * total >= 10 * n * m")
+    sizes = whole.groupBy("sur").agg(F.count("*").alias("f"))
+    total = whole.agg(F.count("*").alias("total"))
+    seen = whole.join(sizes, "sur")
+    n = seen.groupBy("given").agg(F.count("*").alias("n"), F.sum(F.col("f") - 1).alias("room"))
+    n = cut(n.where("n >= 3"))
+    rank = F.row_number().over(W.Window.partitionBy("given").orderBy("f", "sur"))
+    least = F.greatest(F.floor(F.col("n") / 2) + 1, F.lit(3))  # of the surnames are shared, so one of the first n - least + 1 is
+    first = seen.withColumn("rank", rank).join(n, "given").where(F.col("rank") <= F.col("n") - least + 1).select("sur", "given", "n", "room")
+    m = n.select(F.col("given").alias("full"), F.col("n").alias("m"))
+    # with k = n at most, what is too common for every k is left out
+    fulls = whole.select("sur", F.col("given").alias("full")).join(m, "full")
+    met = first.join(fulls, "sur").where("given <> full and m > n").select("given", "full", "n", "m", "room").distinct()
+    met = cut(met.join(F.broadcast(total)).where("n * total >= 10 * room * m"))
+    both = met.join(whole, "given").join(whole.select("sur", F.col("given").alias("full")), ["sur", "full"])
+    rated = both.groupBy("given", "full", "n", "m", "room", "total").agg(F.count("*").alias("k")).where("k >= 3")
+    told = rated.where("2 * k > n and k * total >= 10 * room * m")
     return told.groupBy("given").agg(F.max_by("full", F.struct("k", "m", "full")).alias("full"))
 
 

@@ -330,3 +330,14 @@ def test_spans_within_the_least_document_that_has_them_twice(spark):
         data += [(k, around[0] + passage + around[1] + text(100) + passage + text(100)), (k + 1, text(9) + around[0] + passage + around[1])]
         data += [(k + 2, text(50))]
     assert rows(spans.shared_spans(spark.createDataFrame(data, "doc_id long, text string"), 40)) == brute_spans(data, 40)
+
+
+def test_short_forms_show_under_surnames_of_many_forenames(spark):
+    """More forenames than 64 stand under each surname of the short form; those that meet by chance are no short forms."""
+    from graphloom.llm import names
+
+    big = [(f"s{i}", g) for i in range(5) for g in ["zed", "zedekiah", *(f"g{i}x{j}" for j in range(70))]]
+    common = [(f"s{i}", "anna") for i in range(5)] + [(f"t{i}", "anna") for i in range(900)]
+    whole = big + common + [("u", "zedekiah")] + [(f"r{i}", f"h{i}") for i in range(4000)]
+    got = names._aliases(spark.createDataFrame(whole, "sur string, given string")).collect()
+    assert [tuple(r) for r in got] == [("zed", "zedekiah")]
