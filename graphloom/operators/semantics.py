@@ -358,7 +358,7 @@ def answers(questions: DataFrame, parts: DataFrame) -> DataFrame:
     beside = parts.where("(dep like 'conj%' and dep <> 'conj_negcc') or dep = 'appos'").select(F.col("par").alias("child"), F.col("clust").alias("c2"))
     heads = kids.select("verb", "role", F.col("c").alias("want")).unionByName(kids.join(beside, "child").select("verb", "role", F.col("c2").alias("want"))).distinct()
     hit = asked.join(verbs, "rel").join(denied, "verb", "left_anti").join(heads.withColumnRenamed("role", "known"), ["verb", "known", "want"], "left_semi").select("q", "verb", "open").distinct()
-    found = hit.join(kids.select("verb", F.col("role").alias("open"), "child"), ["verb", "open"]).select("q", F.col("child").alias("part")).distinct()
+    found = cut(hit.join(kids.select("verb", F.col("role").alias("open"), "child"), ["verb", "open"]).select("q", F.col("child").alias("part")).distinct())
     below = found.select("part", F.col("part").alias("top")).distinct()
     whole = below
     links = parts.where(F.col("dep").isin(*ALLOWED)).select(F.col("par").alias("part"), F.col("part").alias("next"))

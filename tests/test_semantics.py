@@ -99,3 +99,12 @@ def test_parts_of_sentences_equal_those_of_tables(spark):
         got = S.sentence_tables(new.withColumn("clust", F.xxhash64("reltype")).withColumn("head", F.when(F.col("head").isNotNull(), F.xxhash64("head"))), few)
         for k in want:
             assert rows(got[k].select(*want[k].columns)) == rows(want[k]), k
+
+
+def test_answers_join_no_tables_of_all_parts(spark, tmp_path, monkeypatch):
+    from graphloom.plans import registry
+
+    docs = [(1, "disease kills cattle"), (2, "disease hits"), (3, "fever kills cattle"), (4, None), (5, ""), (6, "disease kills people cattle kills grass")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.delattr(S, "parts_of")
+    assert rows(registry.sem_answers(spark, str(tmp_path)).select("part", "answer")) == [("1:0:003", "cattle"), ("6:0:003", "people")]
