@@ -172,6 +172,17 @@ def test_bands_follow_the_threshold(spark, threshold):
     assert rows(near.near_pairs(papers(spark, *data), threshold)) == want
 
 
+def test_texts_far_below_the_threshold_are_no_candidates(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(100)]
+    texts = [(i, " ".join(base[:50] + [word() for _ in range(50)])) for i in range(120)] + [(500, " ".join(base)), (501, " ".join(base[1:]))]
+    records = spark.createDataFrame(texts, "id long, text string")
+    got = rows(near.banded_candidates(records, 0.7))
+    assert (500, 501) in got and len(got) <= 20  # shared bands alone give hundreds of the 7 140 pairs
+    assert rows(near.banded_candidates(records, 0.7, in_one=10)) == got
+
+
 # p5
 
 
