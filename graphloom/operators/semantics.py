@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.common import cut
+from graphloom.common import cut, numbered
 from graphloom.functions.cleaning import node_id
 from graphloom.functions.columns import delta, xlogx
 from graphloom.operators import kg
@@ -231,6 +231,16 @@ def ordered_args(tab: dict[str, DataFrame]) -> DataFrame:
     return kept.select("clust", F.transform(F.reverse(F.array_sort("a")), lambda x: x["arg"]).alias("args"))
 
 
+def numbered_args(parts: DataFrame) -> DataFrame:
+    """(clust, args) of `ordered_args` for sentence parts, with the id of the cluster in the order of all names; the sentences are read once and nothing is joined."""
+    own = F.struct(F.col("reltype").alias("clust"), F.lit(None).cast("string").alias("arg"), F.lit(False).alias("below"))
+    up = F.struct(F.col("head").alias("clust"), F.col("dep").alias("arg"), F.lit(True).alias("below"))
+    each = parts.select(F.explode(F.when(F.col("head").isNull(), F.array(own)).otherwise(F.array(own, up))).alias("e")).groupBy("e.clust", "e.arg", "e.below").agg(F.count("*").alias("t"))
+    kept = each.groupBy("clust").agg(F.collect_list(F.when(F.col("below"), F.struct("t", "arg"))).alias("a"))  # a cluster has as many arguments as there are dependencies
+    ordered = kept.select("clust", F.transform(F.reverse(F.array_sort("a")), lambda x: x["arg"]).alias("args"))
+    return numbered(ordered, ["clust"], "id").where(F.size("args") > 0).select(F.col("id").alias("clust"), "args")
+
+
 def argument_scores(parts: DataFrame, tab: dict[str, DataFrame]) -> DataFrame:
     """(clust, a1, a2, score) for the pairs of arguments of each cluster, a1 < a2: what merging them changes in the likelihood, less the parameters."""
     heads = parts.select(F.col("part").alias("par"), F.col("clust").alias("head"))
