@@ -120,11 +120,11 @@ def sentence_parts(sentences: DataFrame) -> DataFrame:
 def sentence_tables(parts: DataFrame, few: bool = False) -> dict[str, DataFrame]:
     """The count tables of `tables` for sentence parts with clust and head, the cluster of the parent (null for a root).
 
-    Each table is a pass over the sentences that shuffles only its own counts; few clusters are counted once and their links kept.
+    Each table is a pass over the sentences that shuffles only its own counts; few clusters are counted once, for all tables, and their links kept.
     """
-    links = parts.select("head", "dep", "clust", "reltype", F.lit(1).alias("n"), F.col("k").isNotNull().cast("int").alias("p"))
+    links = parts.select("head", "dep", "clust", "reltype", "k", F.lit(1).alias("n"), F.col("k").isNotNull().cast("int").alias("p"))
     if few:
-        links = cut(links.groupBy("head", "dep", "clust", "reltype").agg(F.sum("n").alias("n"), F.sum("p").alias("p")))
+        links = cut(links.groupBy("head", "dep", "clust", "reltype", "k").agg(F.sum("n").alias("n"), F.sum("p").alias("p")))
     below, n = links.where("head is not null"), F.sum("n").alias("n")
     return {
         "totals": links.groupBy("clust").agg(n),
@@ -132,7 +132,7 @@ def sentence_tables(parts: DataFrame, few: bool = False) -> dict[str, DataFrame]
         "roots": links.where("head is null").groupBy("clust").agg(n),
         "children": below.groupBy(F.col("head").alias("clust"), F.col("dep").alias("arg"), F.col("clust").alias("child")).agg(n),
         "args": below.groupBy(F.col("head").alias("clust"), F.col("dep").alias("arg")).agg(F.sum("n").alias("t"), F.sum("p").alias("p")),
-        "nums": parts.where("k is not null").groupBy(F.col("head").alias("clust"), F.col("dep").alias("arg"), "k").agg(F.count("*").alias("n")),
+        "nums": links.where("k is not null").groupBy(F.col("head").alias("clust"), F.col("dep").alias("arg"), "k").agg(n),
     }
 
 

@@ -128,3 +128,21 @@ def test_numbered_args_read_the_sentences_once(spark):
     assert sorted((r["clust"], r["args"]) for r in got) == [(0, ["y", "x"]), (1, ["z"])]
     tab = S.sentence_tables(parts.withColumn("clust", F.col("reltype")))
     assert sorted(map(tuple, S.ordered_args({"args": S.with_ids(tab["args"], tab["totals"], "clust")}).collect())) == sorted(map(tuple, got))
+
+
+def test_tables_of_few_clusters_read_the_sentences_once(spark):
+    token, dep = "array<struct<idx: int, form: string, lemma: string, pos: string>>", "array<struct<rel: string, gov: int, dep: int>>"
+    word = lambda i, w: (i, w, w, "N")
+    data = [(1, 0, [word(1, "b"), word(2, "a"), word(3, "c"), word(4, "b")], [("x", 2, 1), ("root", 0, 2), ("y", 2, 3), ("y", 2, 4)]), (2, 0, [word(1, "c"), word(2, "b")], [("z", 2, 1), ("root", 0, 2)])]
+    schema = f"doc int, sent int, tokens {token}, deps {dep}"
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    parts = S.sentence_parts(spark.createDataFrame(data, schema).mapInPandas(seen, schema)).withColumn("clust", F.col("reltype"))
+    once = {name: rows(df) for name, df in S.sentence_tables(parts, few=True).items()}
+    assert read.value == 2
+    assert once == {name: rows(df) for name, df in S.sentence_tables(parts).items()}
