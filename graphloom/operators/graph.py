@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -89,11 +89,14 @@ def eigenvector_centrality(edges: DataFrame, tol: float = 1e-6, rounds: int = 10
     Where it does not settle within the rounds, the tolerance is taken ten times as large. Up to `in_one` edges between whole numbers
     go to one task that iterates over them. More are joined: the adjacency is cut once, and a round is one join and one aggregation.
     """
-    kinds = {kind for _, kind in edges.select("src", "dst").dtypes}
-    if len(kinds) == 1 and kinds <= {"int", "bigint"}:
-        edges = cut(edges.select("src", "dst"))
-        if edges.count() <= in_one:
-            return cut(edges.repartition(1).mapInArrow(*_power(*kinds, tol, rounds, retries)))
+    return _eigenvector(cut(edges.select("src", "dst")), tol, rounds, retries, in_one)
+
+
+def _eigenvector(edges: DataFrame, tol: float = 1e-6, rounds: int = 100, retries: int = 3, in_one: int = IN_ONE) -> DataFrame:
+    """`eigenvector_centrality` of edges (src, dst) whose lineage is cut already."""
+    kinds = {kind for _, kind in edges.dtypes}
+    if len(kinds) == 1 and kinds <= {"int", "bigint"} and edges.count() <= in_one:
+        return cut(edges.repartition(1).mapInArrow(*_power(*kinds, tol, rounds, retries)))
     back = edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     adjacency = cut(edges.select("src", "dst").unionByName(back))
     x = cut(adjacency.select(F.col("src").alias("node")).distinct().withColumn("x", F.lit(1.0)))
@@ -168,7 +171,12 @@ def ndcg(actual: DataFrame, predicted: DataFrame, k: int = 100) -> DataFrame:
     Values are replaced by their ranks from 0 to 1 on each side; a node that one side lacks has 0 there. The k best are found by
     sort and limit. Empty tables give 0.
     """
-    both = ranks(actual, "v").join(ranks(predicted, "p"), "node", "full_outer").fillna(0.0, ["v", "p"])
+    return _ranked_ndcg(ranks(actual, "v"), ranks(predicted, "p"), k)
+
+
+def _ranked_ndcg(actual: DataFrame, predicted: DataFrame, k: int) -> DataFrame:
+    """`ndcg` of ranks (node, v) and (node, p)."""
+    both = actual.join(predicted, "node", "full_outer").fillna(0.0, ["v", "p"])
     top = both.orderBy(F.desc("v"), F.desc("node")).limit(k)
     placed = top.withColumn("rn", F.row_number().over(W.Window.orderBy(F.desc("v"), F.desc("node"))))  # k rows
     gain = lambda c: F.sum((F.pow(F.lit(2.0), c) - 1) / F.log2(F.col("rn") + 1))
@@ -181,11 +189,15 @@ def without_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(k, F.col("src") == F.col("node"), "left_anti").join(k, F.col("dst") == F.col("node"), "left_anti")
 
 
+def _masked(node: str, part: float, seed: int) -> Column:
+    mark = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), node).cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return mark % 1_000_000 < int(part * 1_000_000)
+
+
 def masked_nodes(edges: DataFrame, part: float, seed: int = 1) -> DataFrame:
     """A part of the nodes, chosen by a seeded hash: the same on every run and cluster."""
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    mark = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "node").cast("binary")), 1, 8), 16, 10).cast("bigint")
-    return nodes.where(mark % 1_000_000 < int(part * 1_000_000))
+    return nodes.where(_masked("node", part, seed))
 
 
 def kronecker_edges(spark: SparkSession, weights: tuple[float, float, float, float], levels: int, n: int, seed: int = 1) -> DataFrame:
@@ -233,25 +245,26 @@ def completed(observed: DataFrame, generated: DataFrame) -> DataFrame:
 def masking_experiment(edges: DataFrame, runs: int = 5, part: float = 0.25, k: int = 100, seed: int = 1) -> DataFrame:
     """(run, measure, ndcg): in each run a part of the nodes is hidden, the rest is completed by edges of a fitted Kronecker graph, and the centralities of the completed graph are held against those of the whole.
 
-    Generated nodes are numbered anew, so the completed graph takes the hidden nodes' places in the order of their ids.
+    Generated nodes are numbered anew, so the completed graph takes the hidden nodes' places in the order of their ids. Whether a node is hidden follows
+    from its id, so edges and numbers tell it without a join; the whole graph is ranked once for all runs.
     """
     spark = edges.sparkSession
     edges = cut(edges.select("src", "dst"))
-    truth = {"degree": cut(degree_centrality(edges)), "eigenvector": cut(eigenvector_centrality(edges))}
-    order = numbered(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), ["node"], "row")
-    order = cut(order)
+    rated = lambda c, name: cut(ranks(c.select("node", F.col("centrality").alias("value")), name))
+    degree = cut(degree_centrality(edges))
+    order = cut(numbered(degree.select("node"), ["node"], "row"))
+    truth = {"degree": rated(degree, "v"), "eigenvector": rated(_eigenvector(edges), "v")}
+    n, m = order.count(), edges.count()
     out = None
     for run in range(runs):
-        seen = cut(without_nodes(edges, masked_nodes(edges, part, seed + run)))
-        weights = kron_initiator(seen)
-        n, m = order.count(), edges.count()
-        made = kronecker_edges(spark, weights, max(1, (n - 1).bit_length()), m, seed + run)
-        named = made.join(order.select(F.col("row").alias("src"), F.col("node").alias("a")), "src").join(order.select(F.col("row").alias("dst"), F.col("node").alias("b")), "dst")
-        hidden = masked_nodes(edges, part, seed + run).withColumn("h", F.lit(True))
-        fresh = named.join(hidden.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a", "left").join(hidden.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b", "left").where("ha or hb")
-        whole = cut(completed(seen, fresh.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))))
-        for measure, found in (("degree", degree_centrality(whole)), ("eigenvector", eigenvector_centrality(whole))):
-            score = ndcg(truth[measure].select("node", F.col("centrality").alias("value")), found.select("node", F.col("centrality").alias("value")), k)
-            row = score.select(F.lit(run).alias("run"), F.lit(measure).alias("measure"), "ndcg")
+        hidden = lambda c: _masked(c, part, seed + run)  # noqa: B023, E731
+        seen = cut(edges.where(~hidden("src") & ~hidden("dst")))
+        made = kronecker_edges(spark, kron_initiator(seen), max(1, (n - 1).bit_length()), m, seed + run)
+        place = order.withColumn("h", hidden("node"))
+        named = made.join(place.select(F.col("row").alias("src"), F.col("node").alias("a"), F.col("h").alias("ha")), "src").join(place.select(F.col("row").alias("dst"), F.col("node").alias("b"), F.col("h").alias("hb")), "dst")
+        fresh = named.where("ha or hb").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+        whole = cut(completed(seen, fresh))
+        for measure, found in (("degree", cut(degree_centrality(whole))), ("eigenvector", _eigenvector(whole))):
+            row = _ranked_ndcg(truth[measure], rated(found, "p"), k).select(F.lit(run).alias("run"), F.lit(measure).alias("measure"), "ndcg")
             out = row if out is None else out.unionByName(row)
     return out

@@ -1,4 +1,5 @@
 import math
+import random
 
 from graphloom.common import attach_groups
 from graphloom.functions import columns as C
@@ -92,6 +93,29 @@ def test_power_iteration_of_many_rounds_takes_few_jobs(spark):
     assert jobs < 20 and e.keys() == joined.keys() and all(math.isclose(e[k], joined[k], rel_tol=1e-9) for k in e)
 
 
+def test_masking_experiment_finds_the_hidden_without_joins(spark):
+    r = random.Random(5)
+    data = sorted({tuple(sorted((int(r.random() ** 2 * 300), r.randrange(300)))) for _ in range(900)})
+    edges = spark.createDataFrame(data, "src long, dst long")
+    spark.sparkContext.setJobGroup("masking", "masking")
+    got = {tuple(x)[:2]: x["ndcg"] for x in graph.masking_experiment(edges, runs=2).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("masking"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    nodes = sorted({x for e in data for x in e})
+    pairs = lambda df: {(x["src"], x["dst"]) for x in df.collect()}
+    value = lambda df: df.select("node", F.col("centrality").alias("value"))
+    for run in range(2):
+        hidden = {x["node"] for x in graph.masked_nodes(edges, 0.25, 1 + run).collect()}
+        seen = graph.without_nodes(edges, spark.createDataFrame([(x,) for x in hidden], "node long"))
+        made = pairs(graph.kronecker_edges(spark, graph.kron_initiator(seen), (len(nodes) - 1).bit_length(), len(data), 1 + run))
+        named = {(nodes[a], nodes[b]) for a, b in made if max(a, b) < len(nodes)}
+        whole = spark.createDataFrame(sorted(pairs(seen) | {(a, b) for a, b in named if a in hidden or b in hidden}), "src long, dst long")
+        for measure, f in (("degree", graph.degree_centrality), ("eigenvector", graph.eigenvector_centrality)):
+            expected = graph.ndcg(value(f(edges)), value(f(whole)), 100).first()["ndcg"]
+            assert math.isclose(got[run, measure], expected, rel_tol=1e-9)
+    assert jobs < 145  # 160 when each run ranked the whole graph and joined what it hides
+
+
 def test_compare_and_ndcg(spark):
     old = spark.createDataFrame([(1, 0.5), (2, 0.2)], "node long, centrality double")
     new = spark.createDataFrame([(1, 1.0), (3, 0.1)], "node long, centrality double")
