@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from graphloom.common import attach_groups, cut
+from graphloom.common import attach_groups, cut, release
 
 SPAN = 200  # characters
 BUCKETS = 1 << 17
@@ -136,9 +136,10 @@ def shared_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     2. Anchors that occur once are dropped.
     3. An anchor whose whole surroundings recur is shared without more ado. Around the others the
        stretches of the span are hashed (two independent 64-bit hashes) and counted by text.
-    Every step groups by hashes with partial aggregation; nothing is listed by group. A document with null id or text has no spans; empty tables give none; a text is never cut.
+    Every step groups by hashes with partial aggregation; nothing is listed by group. What a step has used up is released before the next
+    writes. A document with null id or text has no spans; empty tables give none; a text is never cut.
     """
-    gram = span // 2
+    gram, spark = span // 2, docs.sparkSession
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     total = docs.count()
     marks = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("mark"), F.char_length("text").alias("n"))
@@ -148,8 +149,10 @@ def shared_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     often = spots.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     often = cut(often)  # most anchors are single; only a count of them is shuffled
     n_spots = often.agg(F.sum("n")).first()[0] or 0
+    release(spark)
     spots = spots.select("doc_id", F.explode(F.arrays_zip("anchor", "pos", "context")).alias("s")).select("doc_id", "s.*")
     spots = cut(attach_groups(spots, often, ["anchor"], "n", n_spots).drop("n").join(reps.select("doc_id", "size"), "doc_id"))
+    release(spark)  # all anchors, of which the rest needs those that recur
     around = spots.groupBy("anchor", "context").agg(F.count("*").alias("m"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
     around = around.select("anchor", "context", "m", (F.col("a") != F.col("b")).alias("whole"))
     spots = cut(attach_groups(spots.select("doc_id", "anchor", "context", "pos", "size"), around, ["anchor", "context"], "m", n_spots))
@@ -167,6 +170,7 @@ def shared_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     edges = attach_groups(keep, partial, ["anchor"], "k", keep.count()).select(F.explode(ends).alias("o")).select("o.*").where("doc_id is not null")
     edges = edges.groupBy("doc_id").agg(F.collect_set("pos").alias("spots"))
     edges = cut(edges)
+    release(spark)
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
     some = F.broadcast(edges.select(bucket.alias("bucket")).distinct())  # at most BUCKETS rows, whatever the data
     near = docs.withColumn("bucket", bucket).join(some, "bucket", "left_semi").drop("bucket")  # spares most texts the shuffle
@@ -175,6 +179,7 @@ def shared_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     both = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("h1", "h2", "n")
     both = cut(both)
     n_both = both.agg(F.sum("n")).first()[0] or 0
+    release(spark)
     parts = attach_groups(rows, both, ["h1", "h2"], "n", n_both).select("doc_id", F.col("start").alias("lo"), (F.col("start") + span).alias("hi"))
     runs = wholes.unionByName(parts)
     copied = reps.where(f"copies > 1 and size >= {span}").select("doc_id", F.lit(0).cast("bigint").alias("lo"), F.col("size").cast("bigint").alias("hi"))

@@ -1,4 +1,6 @@
+import os
 import random
+import time
 
 import pytest
 from graphloom.llm import garbled, merkle, mixing, names, near, packing, scans, sentences, spans
@@ -343,6 +345,31 @@ def test_spans_within_the_least_document_that_has_them_twice(spark):
     assert rows(spans.shared_spans(spark.createDataFrame(data, "doc_id long, text string"), 40)) == brute_spans(data, 40)
 
 
+def test_spans_let_go_of_all_anchors_before_windows_are_hashed(spark, monkeypatch):
+    context = spark.sparkContext
+    made, was_there = [], []
+    plain = spans.cut
+
+    def watched(df):
+        if made:
+            deadline = time.time() + 10 * (len(made) == 6)
+            while os.path.exists(made[0]) and time.time() < deadline:
+                time.sleep(0.1)
+            was_there.append(os.path.exists(made[0]))
+        done = plain(df)
+        folder = context._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+        made.append(max((os.path.join(folder, x) for x in os.listdir(folder)), key=lambda x: int(x.rpartition("-")[2])))
+        return done
+
+    monkeypatch.setattr(spans, "cut", watched)
+    r = random.Random(3)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    same = text(60)
+    data = [(i, text(80) + same + text(80)) for i in range(20)]
+    assert rows(spans.shared_spans(spark.createDataFrame(data, "doc_id long, text string"), 40)) == brute_spans(data, 40)
+    assert len(made) == 7 + 1 and was_there[0] and not was_there[5]
+
+
 def test_short_forms_show_under_surnames_of_many_forenames(spark):
     """More forenames than 64 stand under each surname of the short form; those that meet by chance are no short forms."""
     from graphloom.llm import names
